@@ -112,6 +112,8 @@ def _meet(links: int):
 def build_graph(points: DataFrame, links: int = LINKS, trees: int = TREES, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
     """(id, near): about the `links` nearest points of each of the points (id, v)."""
     n = points.count()
+    if n < 2:
+        return points.sparkSession.createDataFrame([], "id long, near array<struct<d:float,other:long>>")
     size = points.select(F.max(F.size("v"))).first()[0] or 0
     given, pairs = "id long, other long, d float", None
     parts = max(1, math.ceil(n / (4 * block)))

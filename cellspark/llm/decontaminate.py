@@ -81,13 +81,14 @@ class Index:
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int] | None:
-    """(start, end, equal tokens) of what windows cover in which a and b, aligned, agree enough."""
-    width = min(WINDOW, len(a))
-    upto = np.concatenate([[0], np.cumsum(a == b)])
+    """(start, end, equal tokens) from the first to the last equal token in windows in which a and b, aligned, agree enough."""
+    width, equal = min(WINDOW, len(a)), a == b
+    upto = np.concatenate([[0], np.cumsum(equal)])
     good = np.flatnonzero(upto[width:] - upto[:-width] >= width - width // TOLERANCE)
     if not len(good):
         return None
     start, end = int(good[0]), int(good[-1]) + width
+    start, end = start + int(equal[start:end].argmax()), end - int(equal[start:end][::-1].argmax())
     return start, end, int(upto[end] - upto[start])
 
 

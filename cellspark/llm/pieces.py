@@ -1,8 +1,9 @@
 """The piece table of a SentencePiece model file, and units: parts of a text between which no piece reaches.
 
 The operators read a model as a unigram model: a text is cut into the pieces
-whose scores add up to most. In a unit boundary no piece has both characters,
-so each unit can be cut alone, and equal units once.
+whose scores add up to most, summed exactly. No piece has the two characters
+at a unit boundary next to each other, so each unit can be cut alone, and equal
+units once.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import numpy as np
 from .shared import mixed, powers
 
 UNKNOWN_PENALTY = 10.0
+#: Scores up to this are no log probabilities but say that a piece was added by hand.
+PLACEHOLDER = -1e8
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,8 +63,10 @@ class PieceTable:
                 self.unknown = i
             elif kind in (1, 4):
                 self.pieces[text] = (i, score)
-        scores = [s for _, s in self.pieces.values()]
-        self.unknown_score = min(scores) - UNKNOWN_PENALTY
+        # Beside such a score all others would be lost in rounding: these pieces come just after the least other.
+        least = min((s for _, s in self.pieces.values() if s > PLACEHOLDER), default=0.0)
+        self.pieces = {p: (i, s if s > PLACEHOLDER else least - 1) for p, (i, s) in self.pieces.items()}
+        self.unknown_score = min(s for _, s in self.pieces.values()) - UNKNOWN_PENALTY
         self.longest = max(map(len, self.pieces))
         chars = sorted({c for p in self.pieces if len(p) > 1 for c in p})
         self.classes = np.zeros(0x110000, np.uint16)

@@ -74,14 +74,22 @@ def fit(df: DataFrame, text: str = "text", key: str = "doc_id", rows: int = 4000
     label = lambda tokens, random: F.transform(tokens, lambda t: F.struct(F.lit(random).alias("random"), t.alias("token")))
     tokens = sample(df, rows, key).where(F.col(text).isNotNull()).select(F.explode(F.concat(label(secret, True), label(plain, False))).alias("t")).select("t.*")
     counts = tokens.select("random", F.explode(pairs(F.col("token"))).alias("pair")).groupBy("pair").agg(F.count_if("random").alias("a"), F.count_if(~F.col("random")).alias("b")).collect()
-    a, b = [0.5] * SYMBOLS**2, [0.5] * SYMBOLS**2
+    a, b = [0] * SYMBOLS**2, [0] * SYMBOLS**2
     for r in counts:
         a[r["pair"]] += r["a"]
         b[r["pair"]] += r["b"]
+    a, b = _log_model(a), _log_model(b)
+    return [x - y for x, y in zip(a, b, strict=True)]
+
+
+def _log_model(counts: list[int], weight: float = 8.0) -> list[float]:
+    """log P(next | previous): bigram counts, backed off to single characters, and these to a uniform choice."""
+    single = [sum(counts[j::SYMBOLS]) for j in range(SYMBOLS)]
+    single = [(n + 0.5) / (sum(single) + 0.5 * SYMBOLS) for n in single]
     out = []
     for i in range(SYMBOLS):
-        x, y = a[i * SYMBOLS : (i + 1) * SYMBOLS], b[i * SYMBOLS : (i + 1) * SYMBOLS]
-        out += [math.log(p / sum(x)) - math.log(q / sum(y)) for p, q in zip(x, y, strict=True)]
+        row = counts[i * SYMBOLS : (i + 1) * SYMBOLS]
+        out += [math.log((n + weight * p) / (sum(row) + weight)) for n, p in zip(row, single, strict=True)]
     return out
 
 
