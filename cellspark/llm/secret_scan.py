@@ -65,7 +65,7 @@ def fit(df: DataFrame, text: str = "text", key: str = "doc_id", rows: int = 4000
 
     Learns from at most `rows` documents: values of the base rules are labelled
     random, other words of 6 to 64 such characters without a digit ordinary.
-    With no sample of a class, its model is uniform.
+    With no sample of a class, all ratios are 0 and no token is a span.
     """
     base = [F.regexp_extract_all(F.col(text), F.lit(p), F.lit(g)) for p, g, _ in BASE.values()]
     least = [n for *_, n in BASE.values()]
@@ -78,6 +78,8 @@ def fit(df: DataFrame, text: str = "text", key: str = "doc_id", rows: int = 4000
     for r in counts:
         a[r["pair"]] += r["a"]
         b[r["pair"]] += r["b"]
+    if not any(a) or not any(b):
+        return [0.0] * SYMBOLS**2
     a, b = _log_model(a), _log_model(b)
     return [x - y for x, y in zip(a, b, strict=True)]
 

@@ -8,11 +8,14 @@ earlier (in a smaller doc_id, or before it in the same document).
 2. To shuffle few hashes, each run of windows is first judged by its anchors:
    of every `width - ANCHOR + 1` consecutive short windows the one with the
    least hash. Equal windows hold equal anchors, so a window without an anchor
-   that occurs twice can't repeat, and needs no counting.
-3. Windows around anchors that occur twice are hashed (two hashes of 64 bits),
-   and the first start of each is found with a partial aggregate, so that a
-   passage in very many documents is one row per task.
+   that occurs twice can't repeat, and is not shuffled.
+3. Windows around anchors that occur twice are hashed (64 bits) and ordered by
+   start; all but the first of equal ones go.
 4. Removed windows of a document merge into maximal intervals of words.
+
+In 2 and 3 a task first settles what repeats within its own rows, and deals
+out one row for each hash and some PART rows. So a passage that very many
+documents have comes as few rows from each task, and no task gets all.
 """
 
 from __future__ import annotations
@@ -21,13 +24,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import kept, lists, longs, one_row_per_id, slices, spaced
+from .shared import STEP, kept, longs, mixed, one_row_per_id, slices, spaced
 
-#: Words of an anchor.
-ANCHOR = 6
+#: Words of an anchor; rows that a task settles at once.
+ANCHOR, PART = 6, 1 << 20
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -47,47 +50,73 @@ def anchors(hashes: np.ndarray, at: np.ndarray, doc: np.ndarray, span: int) -> n
     return np.unique(best[whole])
 
 
-def _facts(width: int, span: int):
-    def run(batches):
+def _facts(batches):
+    for part in slices(batches):
+        words = spaced(part.column("text"))
+        data, ends = words.joined()
+        shas = [hashlib.sha256(data[ends[i] : ends[i + 1]]).hexdigest() for i in range(part.num_rows)]
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), longs(words.count), longs(words.whole()), longs(words.whole(SECOND)), pa.array(shas)], ["doc_id", "n_words", "whole_a", "whole_b", "sha"])
+
+
+def _dealt(found):
+    """Rows (key, doc_id, at, known) of the hashes, ids and starts found, settled by some PART at a time.
+
+    The first of equal hashes keeps the hash as key. The others are known to
+    repeat; their keys are random, for they need no comparing. known is 2 for
+    these, 1 for a first one that repeats here, and 0 for a single one.
+    """
+    held, n = [], 0
+
+    def settle():
+        h, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((at, doc, h))
+        h, doc, at = h[order], doc[order], at[order]
+        same = np.concatenate([[False], h[1:] == h[:-1]])
+        known = np.where(same, 2, np.append(same[1:], False)).astype(np.int8)
+        key = np.where(same, mixed(doc.view(np.uint64) * STEP + at.astype(np.uint64) + mixed(h)), h)
+        return pa.RecordBatch.from_arrays([longs(key), pa.array(doc), pa.array(at.astype(np.int32)), pa.array(known)], ["key", "doc_id", "at", "known"])
+
+    for rows in found:
+        if len(rows[0]):
+            held.append(rows)
+            n += len(rows[0])
+        if n >= PART:
+            yield settle()
+            held, n = [], 0
+    if held:
+        yield settle()
+
+
+def _anchors(span: int):
+    def found(batches):
         for part in slices(batches):
             words = spaced(part.column("text"))
-            first = words.first
-            data, ends = words.joined()
-            shas = [hashlib.sha256(data[ends[i] : ends[i + 1]]).hexdigest() for i in range(part.num_rows)]
             h, at = words.windows(ANCHOR)
             chosen = anchors(h, at, words.doc, span)
-            doc, pos = words.doc[at[chosen]], at[chosen] - first[words.doc[at[chosen]]]
-            counts = np.bincount(doc, minlength=part.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), longs(words.count), longs(words.whole()), longs(words.whole(SECOND)), pa.array(shas), lists(h[chosen], counts), lists(pos, counts)],
-                ["doc_id", "n_words", "whole_a", "whole_b", "sha", "anchor", "at"],
-            )
+            doc = words.doc[at[chosen]]
+            yield h[chosen], part.column("doc_id").to_numpy()[doc], at[chosen] - words.first[doc]
 
-    return run
+    return lambda batches: _dealt(found(batches))
 
 
 def _windows(width: int, span: int):
-    """Windows that hold an anchor which occurs twice, by document."""
+    """Windows that hold an anchor which occurs twice."""
 
-    def run(batches):
+    def found(batches):
         for part in slices(batches):
             words = spaced(part.column("text"))
             marks = part.column("at")
-            hits, base = marks.flatten().to_numpy(), np.diff(marks.offsets.to_numpy())
-            doc = np.repeat(np.arange(part.num_rows), base)
-            near = np.zeros(len(words.hash) + 1, np.int64)  # a window start that holds the anchor: from width - ANCHOR words before it
-            p = words.first[doc] + hits
+            doc = np.repeat(np.arange(part.num_rows), np.diff(marks.offsets.to_numpy()))
+            near = np.zeros(len(words.hash) + 1, np.int64)  # starts from which a window holds the anchor
+            p = words.first[doc] + marks.flatten().to_numpy()
             np.add.at(near, np.maximum(p - span + 1, words.first[doc]), 1)
             np.add.at(near, p + 1, -1)
-            near = np.cumsum(near)
             h, at = words.windows(width)
-            g, _ = words.windows(width, SECOND)
-            take = near[at] > 0
-            at, h, g = at[take], h[take], g[take]
-            d = words.doc[at]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(d)), pa.array((at - words.first[d]).astype(np.int32)), longs(h), longs(g)], ["doc_id", "at", "a", "b"])
+            take = np.cumsum(near)[at] > 0
+            at, h = at[take], h[take]
+            yield h, part.column("doc_id").to_numpy()[words.doc[at]], at - words.first[words.doc[at]]
 
-    return run
+    return lambda batches: _dealt(found(batches))
 
 
 def _cut(width: int):
@@ -119,23 +148,23 @@ def _cut(width: int):
     return run
 
 
-def repeated_windows(df: DataFrame, width: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(facts of each document, starts of removed windows by document). For whole copies the starts aren't listed: `copy` is true."""
+ROWS = "key long, doc_id long, at int, known byte"
+
+
+def repeated_windows(docs: DataFrame, width: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(facts of each document, documents that aren't whole copies, starts of removed windows of these by document)."""
     span = width - ANCHOR + 1
-    docs = one_row_per_id(df)
-    facts = kept(docs.mapInArrow(_facts(width, span), "doc_id long, n_words long, whole_a long, whole_b long, sha string, anchor array<long>, at array<long>"))
-    firsts = facts.where(F.col("n_words") >= width).groupBy("whole_a", "whole_b").agg(F.min("doc_id").alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    copies = facts.where(F.col("n_words") >= width).join(firsts, ["whole_a", "whole_b"]).where("doc_id > first").select("doc_id", F.lit(True).alias("copy"))
-    facts = facts.join(kept(copies), "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
-    own = facts.where(~F.col("copy")).select("doc_id", F.explode(F.arrays_zip("anchor", "at")).alias("x")).select("doc_id", F.col("x.anchor").alias("anchor"), F.col("x.at").alias("at"))
-    twice = own.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor")
-    marks = own.join(twice, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list("at").alias("at"))
-    windows = docs.where("text IS NOT NULL").join(marks, "doc_id").mapInArrow(_windows(width, span), "doc_id long, at int, a long, b long")
-    windows = kept(windows)
-    start = F.struct("doc_id", "at")
-    firsts = windows.groupBy("a", "b").agg(F.min(start).alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    later = windows.join(firsts, ["a", "b"]).where(start > F.col("first")).groupBy("doc_id").agg(F.collect_list("at").alias("at"))
-    return facts.drop("anchor", "at"), later
+    facts = kept(docs.mapInArrow(_facts, "doc_id long, n_words long, whole_a long, whole_b long, sha string"))
+    long = facts.where(F.col("n_words") >= width)
+    firsts = long.groupBy("whole_a", "whole_b").agg(F.min("doc_id").alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    copies = kept(long.join(firsts, ["whole_a", "whole_b"]).where("doc_id > first").select("doc_id", F.lit(True).alias("copy")))
+    facts = facts.join(copies, "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
+    own = docs.where("text IS NOT NULL").join(copies, "doc_id", "left_anti")
+    key = Window.partitionBy("key")
+    found = own.mapInArrow(_anchors(span), ROWS).withColumn("_n", F.count("*").over(key))
+    marks = found.where("known > 0 OR _n > 1").groupBy("doc_id").agg(F.collect_list("at").alias("at"))
+    found = own.join(marks, "doc_id").mapInArrow(_windows(width, span), ROWS).withColumn("_n", F.row_number().over(key.orderBy("doc_id", "at")))
+    return facts, own, found.where("known = 2 OR _n > 1").groupBy("doc_id").agg(F.collect_list("at").alias("at"))
 
 
 def dedup_substrings(df: DataFrame, width: int = 20) -> DataFrame:
@@ -148,8 +177,8 @@ def dedup_substrings(df: DataFrame, width: int = 20) -> DataFrame:
     Rows without a doc_id are left out, of a repeated doc_id the least text
     counts; other columns of df are ignored.
     """
-    facts, later = repeated_windows(df, width)
-    cut = one_row_per_id(df).join(later, "doc_id").mapInArrow(_cut(width), "doc_id long, n_removed long, kept_sha256 string, kept_text string, removed array<struct<start:int,end:int>>")
+    facts, own, later = repeated_windows(one_row_per_id(df), width)
+    cut = own.join(later, "doc_id").mapInArrow(_cut(width), "doc_id long, n_removed long, kept_sha256 string, kept_text string, removed array<struct<start:int,end:int>>")
     empty = hashlib.sha256(b"").hexdigest()
     spans = "array<struct<start:int,end:int>>"
     return facts.join(cut, "doc_id", "left").select(

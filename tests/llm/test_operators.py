@@ -176,8 +176,8 @@ def plain_base(text):
 def test_secrets(spark):
     keys = ["password=abc", "PassWord: 'abcdef'", "api_key = \"A1b2C3d4E5\" token:xyz123 apikey=12345", "AKIA" + "A1" * 8, "AKIA" + "A1" * 7, "\u4e2d\u6587 AKIA" + "Z9" * 10 + " " + "0123456789abcdef" * 2, "a" * 23, "secret=" + "deadbeef" * 4, "token=AKIA" + "B2" * 9, "to\u017fen=abcdefg", "password=password=secret=token:abcdefgh", "apikey= 'zzzzzz' " * 3]
     r = random.Random(8)
-    noise = [prose(i, 40) + " password=" + "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=24)) for i in range(80)]
-    odd = ["key q7Xz93KpLw02VbNtRy84 here", "a plain_identifier_name2 here"]
+    noise = [re.sub(r"(\w+) (\w+) (\w+)", r"\1\2\3", prose(i, 90)) + " password=" + "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=24)) for i in range(80)]
+    odd = ["key q7Xz93KpLw02VbNtRy84 here", "a badokilumesotarubado2 here"]
     df = docs(spark, [*ODD, *keys, *noise, *odd], [(5, "repeat secret=abcdef", None, None, None)]).withColumnRenamed("lang", "spans")
     model = secret_scan.fit(df)
     got = secret_scan.scan(df, model).select("doc_id", "text", "spans").collect()
