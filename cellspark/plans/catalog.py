@@ -1,4 +1,4 @@
 """All queries of the library's own operators, and the SQL that tells the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from cellspark.plans import curation  # noqa: F401
+from cellspark.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
