@@ -55,8 +55,8 @@ f(grp, i, pivots) AS (
   UNION ALL
   SELECT f.grp, g.i, CASE WHEN len(list_filter(f.pivots, lambda p: abs(g.volume - p) <= 1e-8 + 0.005e0 * abs(p))) > 0 THEN f.pivots ELSE list_append(f.pivots, g.volume) END
   FROM f JOIN g ON g.grp = f.grp AND g.i = f.i + 1),
-p AS (SELECT g.*, list_filter(f.pivots, lambda p: abs(g.volume - p) <= 1e-8 + 0.005e0 * abs(p))[1] AS pivot FROM g JOIN f ON f.grp = g.grp AND f.i = g.i),
-k AS (SELECT *, row_number() OVER (PARTITION BY grp, pivot ORDER BY r_factor NULLS LAST, entry_id) AS rk FROM p)"""
+p AS (SELECT g.*, list_filter(f.pivots, lambda p: abs(g.volume - p) <= 1e-8 + 0.005e0 * abs(p))[1] AS piv FROM g JOIN f ON f.grp = g.grp AND f.i = g.i),
+k AS (SELECT *, row_number() OVER (PARTITION BY grp, piv ORDER BY r_factor NULLS LAST, entry_id) AS rk FROM p)"""
 
 
 @query(f"{_CLUSTERS} SELECT entry_id, rk > 1 AS duplicate FROM k")
