@@ -67,9 +67,11 @@ def fit(df: DataFrame, text: str = "text", key: str = "doc_id", rows: int = 4000
     random, other words of 6 to 64 such characters without a digit ordinary.
     With no sample of a class, all ratios are 0 and no token is a span.
     """
-    base = [F.regexp_extract_all(F.col(text), F.lit(p), F.lit(g)) for p, g, _ in BASE.values()]
-    least = [n for *_, n in BASE.values()]
-    secret = F.concat(*[F.filter(b, lambda x, n=n: F.length(x) >= n) for b, n in zip(base, least, strict=True)])
+
+    def values(pattern: str, group: int, least: int) -> Column:
+        return F.filter(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group)), lambda x: F.length(x) >= least)
+
+    secret = F.concat(*[values(*rule) for rule in BASE.values()])
     plain = F.regexp_extract_all(F.col(text), F.lit("(?<![A-Za-z0-9+/_.=-])[A-Za-z_-]{6,64}(?![A-Za-z0-9+/_=-])"), F.lit(0))
     label = lambda tokens, random: F.transform(tokens, lambda t: F.struct(F.lit(random).alias("random"), t.alias("token")))
     tokens = sample(df, rows, key).where(F.col(text).isNotNull()).select(F.explode(F.concat(label(secret, True), label(plain, False))).alias("t")).select("t.*")
