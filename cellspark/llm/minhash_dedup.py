@@ -10,11 +10,12 @@
 3. Prefix: lists are ordered from short to long, and a class is posted only in
    its first COORDINATES - MATCHES + 1; a pair with enough collisions meets in
    one of them. Long lists (a line that very many documents have) are skipped
-   so. A pair is merged in the first list that both prefixes have, once, and
-   all its collisions are counted there.
-4. Each list is first merged with its most central class alone, a star. What
-   that links is one component already; only pairs across components remain.
-5. Candidate pairs are confirmed on their full shingle sets.
+   so.
+4. Each list is merged with its most central class alone, a star, on full
+   shingle sets. What that links is one component already. Of the pairs that
+   remain between components, most are ruled out by what both have in common
+   with the head of the star.
+5. The pairs that are left are confirmed on their full shingle sets.
 """
 
 from __future__ import annotations
@@ -71,13 +72,17 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists(h, counts)], ["id", "items"])
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose sets have 100 * intersection >= percent * union."""
+def measured(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ids with x and y, the shingle sets of both, and common, how many they have in common."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = kept(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, items array<long>"))
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return both.withColumn("common", F.size(F.array_intersect("x", "y")))
+
+
+def alike(common, n, m, percent: int):
+    """100 * intersection >= percent * union, of sets of n and m elements."""
+    return 100 * common >= percent * (n + m - common)
 
 
 def _posts(classes: DataFrame, coordinates: int) -> DataFrame:
@@ -90,7 +95,7 @@ def _shared(posts: DataFrame) -> DataFrame:
 
 
 def _prefixes(classes: DataFrame) -> DataFrame:
-    """Classes that can have a partner: id, n, sig, centre (how common its values are) and prefix, array of list keys, short lists first."""
+    """Classes that can have a partner: id, centre (how common its values are) and prefix, array of list keys, short lists first."""
     posts = _posts(classes, SCREEN)
     able = posts.join(_shared(posts), "v", "left_semi").groupBy("id").agg(F.count("*").alias("hits")).where(F.col("hits") >= SCREEN_MATCHES)
     able = kept(classes.join(able, "id", "left_semi"))
@@ -98,28 +103,40 @@ def _prefixes(classes: DataFrame) -> DataFrame:
     own = posts.join(_shared(posts), "v").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("len", "v"))).alias("lists"))
     room = F.size("lists") - MATCHES + 1  # lists of one class come before these and give no candidates
     own = own.where(F.size("lists") >= MATCHES).select("id", F.aggregate("lists", F.lit(0.0), lambda s, x: s + F.log1p(x["len"])).alias("centre"), F.transform(F.slice("lists", 1, room), lambda x: x["v"]).alias("prefix"))
-    return own.join(able, "id")
+    return own
+
+
+def _rest(star: DataFrame, group: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one star that aren't in one component and may still be linked.
+
+    Against the head p of their star, each member x has common(x) shingles of p
+    and others, of which shared(x) occur in another member too. So x and y have
+    at most min(common) + min(shared) in common, and mostly that rules them out.
+    """
+    own = star.join(group.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left").withColumn("component", F.coalesce("cb", "b"))
+    many = own.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("a")
+    own = kept(own.join(many, "a", "left_semi").select("a", "b", "m", "common", "component", "other"))
+    others = own.select("a", "b", F.explode("other").alias("u"))
+    twice = others.groupBy("a", "u").agg(F.count("*").alias("_n")).where("_n > 1").select("a", "u")
+    shared = others.join(twice, ["a", "u"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    rows = own.drop("other").join(shared, ["a", "b"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    x, y = rows.alias("x"), rows.alias("y")
+    most = F.least("x.common", "y.common") + F.least("x.shared", "y.shared")
+    meet = (F.col("x.a") == F.col("y.a")) & (F.col("x.b") < F.col("y.b")) & (F.col("x.component") != F.col("y.component"))
+    meet &= (100 * F.least("x.m", "y.m") >= percent * F.greatest("x.m", "y.m")) & alike(most, F.col("x.m"), F.col("y.m"), percent)
+    return x.join(y, meet).select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
 
 
 def links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Confirmed edges (a, b) between ids that give the components of all links."""
-    able = kept(_prefixes(classes))
-    posts = able.select("id", "n", "centre", F.explode("prefix").alias("v"))
-    sized = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
-    heads = posts.groupBy("v").agg(F.max(F.struct("centre", "id", "n")).alias("head"), F.count("*").alias("len")).where("len > 1").select("v", F.col("head.id").alias("a"), F.col("head.n").alias("m"))
-    star = posts.join(heads, "v").where((F.col("id") != F.col("a")) & sized(F.col("n"), F.col("m"))).select("a", F.col("id").alias("b")).distinct()
-    star = kept(confirmed(docs, kept(star), percent))
-    group = components(star)
-    grouped = able.join(group.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    posts = grouped.select("id", "n", "component", "sig", "prefix", F.explode("prefix").alias("v"))
-    mixed_lists = posts.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("v")
-    left = posts.join(mixed_lists, "v", "left_semi")
-    x, y = left.alias("x"), left.alias("y")
-    meet = (F.col("x.v") == F.col("y.v")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & sized(F.col("x.n"), F.col("y.n"))
-    meet &= F.get(F.array_intersect("x.prefix", "y.prefix"), F.lit(0)) == F.col("x.v")
-    meet &= F.size(F.array_intersect("x.sig", "y.sig")) >= MATCHES
-    rest = kept(x.join(y, meet).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
-    return star.union(confirmed(docs, rest, percent))
+    able = _prefixes(classes)
+    posts = able.select("id", "centre", F.explode("prefix").alias("v"))
+    heads = posts.groupBy("v").agg(F.max(F.struct("centre", "id")).alias("head"), F.count("*").alias("len")).where("len > 1").select("v", F.col("head.id").alias("a"))
+    star = kept(posts.join(heads, "v").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct())
+    star = kept(measured(docs, star).select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), "common", F.array_except("y", "x").alias("other")))
+    linked = star.where(alike(F.col("common"), F.col("n"), F.col("m"), percent)).select("a", "b")
+    rest = measured(docs, kept(_rest(star, components(linked), percent)))
+    return linked.union(rest.where(alike(F.col("common"), F.size("x"), F.size("y"), percent)).select("a", "b"))
 
 
 def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
