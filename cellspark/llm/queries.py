@@ -68,8 +68,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(part_of("doc_id", 5) == 0, F.lit(False)))
-    labels = table(spark, sf_dir, "labels").where("toxic IN (0, 1)").select("doc_id", "toxic")
-    model = toxicity.fit(docs.where(part_of("doc_id", 5) != 0).join(labels, "doc_id"))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(part_of("doc_id", 5) != 0))
     return toxicity.predict(docs, model, keep=["doc_id", "held_out"])
 
 

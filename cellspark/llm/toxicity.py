@@ -1,11 +1,11 @@
-"""Toxicity: a logistic model over hashed words, regularised by counterfactuals.
+"""Toxicity: a logistic model over hashed words and word parts, regularised by counterfactuals.
 
 For each labelled sentence with identity terms, the same sentence with these
 terms swapped within their group is made; the fit penalises the squared
 difference of both scores, so that a neutral mention of a group doesn't move
 the score.
 
-Fitting: word counts by label give the features whose presence tells the
+Fitting: counts by label give the features whose presence tells the
 labels apart (a bounded number); the weights follow by gradient descent, each
 step one Spark aggregation over the labelled rows.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import tokens
-from .shared import kept, lists, slices
+from .shared import BASE, kept, mixed, powers, slices
 
 #: Groups within which terms are swapped, each term for the next of its group. Fixed values.
 IDENTITY_GROUPS = (
@@ -36,8 +36,8 @@ IDENTITY_GROUPS = (
     ("old", "young"),
     ("disabled", "healthy"),
 )
-BITS, FEATURES, ROWS = 18, 2048, 20_000
-STEPS, RATE, RIDGE, FAIRNESS = 30, 0.5, 1e-3, 1.0
+BITS, GRAM, FEATURES, ROWS = 20, 5, 2048, 10_000
+STEPS, RATE, RIDGE, FAIRNESS = 30, 1.0, 1e-4, 1.0
 
 
 def swapped(text: str, groups=IDENTITY_GROUPS) -> str:
@@ -46,24 +46,65 @@ def swapped(text: str, groups=IDENTITY_GROUPS) -> str:
     return re.sub(r"[A-Za-z]+", lambda m: following.get(m[0].lower(), m[0]), text)
 
 
-def presence(column) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of each text's words, in order, and how many each has."""
+def buckets(column) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) of each word and of each GRAM bytes within a word, also repeated ones."""
     words = tokens(column)
-    key = np.unique(words.doc.astype(np.int64) << BITS | (words.hash >> np.uint64(64 - BITS)).astype(np.int64))
-    return key & ((1 << BITS) - 1), np.bincount(key >> BITS, minlength=len(words.count))
+    n = len(words.data)
+    up, down = powers(BASE, n + 1)
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum((words.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=prefix[1:])
+    size = words.end - words.start
+    count = np.maximum(size - GRAM + 1, 0)
+    at = np.repeat(words.start - np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64), count) + np.arange(count.sum()) if len(size) else np.zeros(0, np.int64)
+    grams = mixed((prefix[at + GRAM] - prefix[at]) * down[at] + np.uint64(1))
+    doc = np.concatenate([words.doc, np.repeat(words.doc, count)]).astype(np.int64)
+    return doc, (np.concatenate([words.hash, grams]) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def distinct(doc: np.ndarray, bucket: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of each text, in order, and how many each has."""
+    key = np.unique(doc << BITS | bucket)
+    return key & ((1 << BITS) - 1), np.bincount(key >> BITS, minlength=rows)
+
+
+def presence(column) -> tuple[np.ndarray, np.ndarray]:
+    return distinct(*buckets(column), len(column))
+
+
+def _ints(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
 def _features(groups):
+    """Buckets of each text, and of these and of its swapped form those that the other lacks."""
+
     def run(batches):
         for part in slices(batches):
-            texts = part.column("text")
+            texts, k = part.column("text"), 1 << BITS
             a, n = presence(texts)
             b, m = presence(pa.array([swapped(t or "", groups) for t in texts.to_pylist()], pa.string()))
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), lists(a, n), lists(b, m)], ["toxic", "own", "swap"])
+            rows = np.arange(part.num_rows)
+            x, y = np.repeat(rows, n) * k + a, np.repeat(rows, m) * k + b
+            columns = [part.column("toxic"), _ints(a, n)]
+            for only in (np.setdiff1d(x, y), np.setdiff1d(y, x)):
+                columns.append(_ints(only % k, np.bincount(only // k, minlength=part.num_rows)))
+            yield pa.RecordBatch.from_arrays(columns, ["toxic", "own", "gone", "come"])
 
     return run
 
 
+def _totals(batches):
+    """Rows and toxic rows of each bucket, summed within the task."""
+    total = np.zeros((2, 1 << BITS), np.int64)
+    for batch in batches:
+        own = batch.column("own")
+        toxic = np.repeat(np.asarray(batch.column("toxic")), np.diff(own.offsets.to_numpy()))
+        f = own.flatten().to_numpy()
+        total += np.stack([np.bincount(f, minlength=1 << BITS), np.bincount(f[toxic == 1], minlength=1 << BITS)])
+    at = np.flatnonzero(total[0])
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[0, at]), pa.array(total[1, at])], ["f", "n", "a"])
+
+
 class ToxicityModel:
     """Weight of each bucket (0 for most), and the bias."""
 
@@ -71,8 +112,10 @@ class ToxicityModel:
         self.weights, self.bias = weights.astype(np.float32), bias
 
     def score(self, column) -> np.ndarray:
-        buckets, n = presence(column)
-        sums = np.concatenate([[0.0], np.cumsum(self.weights[buckets], dtype=float)])
+        doc, bucket = buckets(column)
+        use = self.weights[bucket] != 0
+        bucket, n = distinct(doc[use], bucket[use], len(column))
+        sums = np.concatenate([[0.0], np.cumsum(self.weights[bucket], dtype=float)])
         upto = np.concatenate([[0], np.cumsum(n)])
         return 1 / (1 + np.exp(-np.clip(self.bias + sums[upto[1:]] - sums[upto[:-1]], -30, 30)))
 
@@ -92,10 +135,10 @@ def _gradient(place, weights: np.ndarray, bias: float, fairness: float):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                x, z = _dense(part.column("own"), place.value, k), _dense(part.column("swap"), place.value, k)
+                x, gone, come = (_dense(part.column(c), place.value, k) for c in ("own", "gone", "come"))
                 y = np.asarray(part.column("toxic"), float)
                 off = 1 / (1 + np.exp(-np.clip(x @ weights + bias, -30, 30))) - y
-                moved = x - z
+                moved = gone - come
                 total[:k] += off @ x + fairness * (moved @ weights) @ moved
                 total[k] += off.sum()
                 total[k + 1] += len(y)
@@ -104,21 +147,21 @@ def _gradient(place, weights: np.ndarray, bias: float, fairness: float):
     return run
 
 
-def fit(df: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", rows: int = ROWS, features: int = FEATURES, steps: int = STEPS, fairness: float = FAIRNESS, groups=IDENTITY_GROUPS) -> ToxicityModel:
-    """Learns from the rows with a 0/1 label, at most some `rows` of each class: those with the least hashes of their key.
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", rows: int = ROWS, features: int = FEATURES, steps: int = STEPS, fairness: float = FAIRNESS, groups=IDENTITY_GROUPS) -> ToxicityModel:
+    """Learns from the texts of docs that labels has a 0/1 label for, at most `rows` of each class: those with the least hashes of their key.
 
-    `rows` (20,000) and `features` (2048) bound what is fitted. With rows of
-    one class only, or none, the model gives every text that class's share
-    (0 without rows).
+    `rows` (10,000) and `features` (2048) bound what is fitted; as the chosen
+    keys are so few, they are sent to the scan of docs, and no text is
+    shuffled. With rows of one class only, or none, the model gives every text
+    that class (0 without rows).
     """
-    known = df.where(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("toxic"), F.col(text).alias("text"))
-    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    if len(sizes) < 2:
-        return ToxicityModel(np.zeros(1 << BITS), 30.0 if 1 in sizes else -30.0)
-    share = F.when(F.col("toxic") == 1, min(1.0, rows / sizes[1])).otherwise(min(1.0, rows / sizes[0]))
-    chosen = known.where((F.xxhash64("key").bitwiseAND(F.lit((1 << 20) - 1)) < share * (1 << 20)))
-    table = kept(chosen.select("toxic", "text").mapInArrow(_features(groups), "toxic int, own array<long>, swap array<long>"))
-    counts = table.select("toxic", F.explode("own").alias("f")).groupBy("f").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("toxic")).distinct()
+    chosen = None
+    for c in (0, 1):
+        part = known.where(F.col("toxic") == c).orderBy(F.xxhash64("key"), "key").limit(rows)
+        chosen = part if chosen is None else chosen.union(part)
+    table = kept(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").select("toxic", "text").mapInArrow(_features(groups), "toxic int, own array<int>, gone array<int>, come array<int>"))
+    counts = table.select("toxic", "own").mapInArrow(_totals, "f int, n long, a long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
     n, pos = table.agg(F.count("*"), F.sum("toxic")).first()
     if not n or pos in (0, n):
         return ToxicityModel(np.zeros(1 << BITS), 30.0 if pos else -30.0)
@@ -128,7 +171,7 @@ def fit(df: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc
     top = counts.where("z > 3").orderBy(F.desc("z"), "f").limit(features).collect()
     place = np.full(1 << BITS, -1, np.int64)
     place[[r["f"] for r in top]] = np.arange(len(top))
-    sent = df.sparkSession.sparkContext.broadcast(place)
+    sent = docs.sparkSession.sparkContext.broadcast(place)
     w, bias, past = np.zeros(len(top)), float(np.log(rate / (1 - rate))), np.full(len(top) + 1, 1e-12)
     for _ in range(steps):  # Adagrad; each gradient is summed by Spark over all rows of the table
         grads = table.mapInArrow(_gradient(sent, w, bias, fairness), "g array<double>")

@@ -313,14 +313,14 @@ def test_toxicity(spark):
     # Mentions of one group stand mostly in toxic rows: what a model without the penalty would learn.
     rows += [(1000 + i, f"{prose(i, 40)} muslim {'idiot' if i % 10 else ''}", int(i % 10 > 0)) for i in range(100)]
     df = spark.createDataFrame([*rows, (5000, None, 0), (5001, "", None)], "doc_id long, text string, toxic int")
-    fair, plain = toxicity.fit(df, fairness=10.0), toxicity.fit(df, fairness=0.0)
+    fair, plain = toxicity.fit(df, df, fairness=10.0), toxicity.fit(df, df, fairness=0.0)
     test = docs(spark, [prose(9, 30), prose(9, 30) + " idiot", prose(9, 30) + " muslim", prose(9, 30) + " christian", "", None])
     score = [{r["doc_id"]: r["score"] for r in toxicity.predict(test.withColumnRenamed("lang", "score"), m).collect()} for m in (fair, plain)]
     assert score[0][1] > 0.5 > score[0][0] and score[0][4] == score[0][5] < 0.5
     assert abs(score[0][2] - score[0][3]) < 0.5 * abs(score[1][2] - score[1][3])
     assert toxicity.swapped("The Women and Muslim boys") == "The men and christian girls"
     for only in (0, 1):
-        one = toxicity.predict(test, toxicity.fit(df.where(f"toxic = {only}"))).collect()
+        one = toxicity.predict(test, toxicity.fit(df, df.where(f"toxic = {only}"))).collect()
         assert {r["predicted"] for r in one} == {only}
-    assert {r["predicted"] for r in toxicity.predict(test, toxicity.fit(df.limit(0))).collect()} == {0}
+    assert {r["predicted"] for r in toxicity.predict(test, toxicity.fit(df, df.limit(0))).collect()} == {0}
     assert toxicity.predict(test.limit(0), fair).count() == 0
