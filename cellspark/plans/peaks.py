@@ -59,12 +59,12 @@ def j6_assign_k_nearest(spark, sf_dir):
     return v.select("pattern_id", "peak_index", "place", F.col("n.i").alias("ref_index"))
 
 
-_CUBIC = """SELECT h, k, l, h*h + k*k + l*l AS s FROM (SELECT unnest(range(0, 7)) AS h), (SELECT unnest(range(0, 7)) AS k), (SELECT unnest(range(0, 7)) AS l) WHERE h + k + l > 0 AND h >= k AND k >= l"""
-
-
-@query(f"WITH g AS (SELECT s, max(h * 100 + k * 10 + l) AS m FROM ({_CUBIC}) c GROUP BY s ORDER BY s LIMIT 29) SELECT CAST(row_number() OVER (ORDER BY s) - 1 AS INT) AS ref_index, CAST(m // 100 AS INT) AS h, CAST(m // 10 % 10 AS INT) AS k, CAST(m % 10 AS INT) AS l FROM g UNION ALL SELECT 29, 0, 0, 0")
+@query(f"""{C}, w AS (SELECT avg(1 / (a*a)) AS x, avg(1 / (b*b)) AS y, avg(1 / (c*c)) AS z FROM v), g AS (SELECT h, k, l, h*h*x + k*k*y + l*l*z AS s FROM w, (SELECT CAST(unnest(range(0, 7)) AS INT) AS h), (SELECT CAST(unnest(range(0, 7)) AS INT) AS k), (SELECT CAST(unnest(range(0, 7)) AS INT) AS l) WHERE h + k + l > 0),
+r AS (SELECT CAST(row_number() OVER (ORDER BY s, h, k, l) - 1 AS INT) AS ref_index, h, k, l FROM g) SELECT * FROM r WHERE ref_index < 59 UNION ALL SELECT 59, 0, 0, 0""")
 def j18_reference_hkl(spark, sf_dir):
-    return search.reference_hkl(spark, "cP", "cubic", 30, [1.0]).select("ref_index", "h", "k", "l")
+    """Reflections of a primitive orthorhombic lattice in order of their mean q2 over the cells of the table."""
+    mean = view(spark, sf_dir, "cells").agg(*[F.avg(1 / (F.col(n) * F.col(n))).alias(n) for n in "abc"]).first()
+    return search.reference_hkl(spark, "oP", "orthorhombic", 60, list(mean)).select("ref_index", "h", "k", "l")
 
 
 @query("WITH p AS (SELECT p_partkey, p_partkey % 3 * (p_partkey % 3) + p_partkey % 4 * (p_partkey % 4) AS s FROM part), f(s, i) AS (VALUES (1, 0), (2, 1), (4, 3), (5, 4), (8, 6)) SELECT p_partkey, CAST(coalesce(f.i, 29) AS INT) AS label FROM p LEFT JOIN f ON f.s = p.s")
