@@ -8,7 +8,8 @@ from cellspark.plans.views import WITH, view
 
 E = WITH["entries"]
 LATTICE = "ECONOMY"
-BEST = [F.col("r_factor").asc_nulls_last(), F.col("entry_id")]
+def best():
+    return [F.col("r_factor").asc_nulls_last(), F.col("entry_id")]
 
 
 def _md5(seed, *ids):
@@ -45,7 +46,7 @@ def a1_count_by(spark, sf_dir):
 
 @query(f"{E}, r AS (SELECT *, row_number() OVER (PARTITION BY lattice, composition ORDER BY r_factor NULLS LAST, entry_id) AS k FROM v) SELECT lattice, composition, entry_id, r_factor FROM r WHERE k = 1")
 def w3_keep_best(spark, sf_dir):
-    return op.keep_best(view(spark, sf_dir, "entries"), ["lattice", "composition"], BEST).select("lattice", "composition", "entry_id", "r_factor")
+    return op.keep_best(view(spark, sf_dir, "entries"), ["lattice", "composition"], best()).select("lattice", "composition", "entry_id", "r_factor")
 
 
 _CLUSTERS = f"""WITH RECURSIVE e AS ({E[len('WITH v AS ('):-1]}),
@@ -62,12 +63,12 @@ k AS (SELECT *, row_number() OVER (PARTITION BY grp, piv ORDER BY r_factor NULLS
 @query(f"{_CLUSTERS} SELECT entry_id, rk > 1 AS duplicate FROM k")
 def w4_dedup_tolerance(spark, sf_dir):
     """Greedy clusters; the tolerance is 0.5 % because the volumes of the given table lie close."""
-    return op.dedup_tolerance(view(spark, sf_dir, "entries"), ["lattice", "composition"], "volume", "entry_id", [BEST[0]], 0.005).select("entry_id", "duplicate")
+    return op.dedup_tolerance(view(spark, sf_dir, "entries"), ["lattice", "composition"], "volume", "entry_id", best()[:1], 0.005).select("entry_id", "duplicate")
 
 
 @query(f"{_CLUSTERS} SELECT entry_id, lattice, composition, volume FROM k WHERE rk > 1")
 def s12_write_duplicates(spark, sf_dir):
-    found = op.dedup_tolerance(view(spark, sf_dir, "entries"), ["lattice", "composition"], "volume", "entry_id", [BEST[0]], 0.005)
+    found = op.dedup_tolerance(view(spark, sf_dir, "entries"), ["lattice", "composition"], "volume", "entry_id", best()[:1], 0.005)
     return found.where("duplicate").select("entry_id", "lattice", "composition", "volume")
 
 
