@@ -34,10 +34,10 @@ def reference_hkl(spark: SparkSession, lattice: str, system: str, n: int, weight
 
 
 def m20(observed: Column, calculated: Column, refs: Column) -> Column:
-    """Figure of merit: the greatest reference below the last calculated peak, over twice their number and the mean error. 0 without such references."""
+    """Figure of merit: the greatest reference below the last calculated peak, over twice their number and the mean error. 0 without such references, infinite without an error."""
     error = F.aggregate(F.zip_with(observed, calculated, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, v: s + v) / F.size(observed)
     below = F.filter(refs, lambda r: r < F.element_at(calculated, -1))
-    return F.when((F.size(below) > 0) & (error > 0), F.array_max(below) / (2 * F.size(below)) / error).otherwise(F.lit(0.0))
+    return F.when(F.size(below) == 0, 0.0).when(error > 0, F.array_max(below) / (2 * F.size(below)) / error).otherwise(float("inf"))
 
 
 def peak_probability(q2: Column, calculated: Column, reciprocal_volume: Column, multiplicity) -> Column:

@@ -58,7 +58,7 @@ def parse_cif(df: DataFrame, text: str = "value") -> DataFrame:
 
 def scan_cif(spark: SparkSession, path: str) -> DataFrame:
     """(file, ...) of all files below a directory, one row each."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return parse_cif(files.select(F.col("_metadata.file_path").alias("file"), "value")).drop("value")
 
 
