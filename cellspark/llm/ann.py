@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .shared import kept
 
-LINKS, TREES, BLOCK, ROUNDS, BEAM, STEPS, ENTRIES = 20, 4, 2000, 3, 96, 12, 16
+LINKS, TREES, BLOCK, ROUNDS, BEAM, STEPS, ENTRIES = 32, 4, 4000, 3, 160, 12, 16
 
 
 def valid(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
