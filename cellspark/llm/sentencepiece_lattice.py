@@ -23,22 +23,42 @@ from pyspark.sql import functions as F
 from .pieces import PieceTable, hashes, strings
 from .shared import kept, slices
 
-#: Units whose ids are sent to all tasks: some 60 MB.
-HEAD = 1 << 20
+#: Units whose ids are sent to all tasks, each some 20 bytes: 80 MB at most. Different units that a task holds as strings.
+HEAD, HELD = 1 << 22, 1 << 16
+#: How ids travel; a vocabulary has fewer than 2**16.
+ID = np.dtype("<u2")
 
 
 def _distinct(path: str):
+    """(unit, n) of the units, each about once for some HELD different ones."""
+
     def run(batches):
-        table, seen = PieceTable(path), {}
+        table = PieceTable(path)
+        seen, found, counts, names = np.zeros(0, np.uint64), [], [], []
+
+        def flush():
+            h, which = np.unique(np.concatenate(found), return_inverse=True)  # in the order of `names` sorted by hash
+            n = np.bincount(which, np.concatenate(counts)).astype(np.int64)
+            order = np.argsort(np.concatenate([x for x, _ in names]))
+            units = np.array([u for _, own in names for u in own], object)[order]
+            return pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(n[: len(h)])], ["unit", "n"])
+
         for part in slices(batches):
             points, start, _, h = table.units(part.column("text").to_pylist())
             each, first, n = np.unique(h, return_index=True, return_counts=True)
-            for unit, k in zip(strings(points, start, first), n.tolist(), strict=True):
-                seen[unit] = seen.get(unit, 0) + k
-            if len(seen) > HEAD:
-                yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["unit", "n"])
-                seen = {}
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], ["unit", "n"])
+            if not len(each):
+                continue
+            at = np.minimum(np.searchsorted(seen, each), max(0, len(seen) - 1))
+            new = seen[at] != each if len(seen) else np.ones(len(each), bool)
+            found.append(each)
+            counts.append(n)
+            names.append((each[new], strings(points, start, first[new])))
+            seen = np.sort(np.concatenate([seen, each[new]]))
+            if len(seen) > HELD:
+                yield flush()
+                seen, found, counts, names = np.zeros(0, np.uint64), [], [], []
+        if found:
+            yield flush()
 
     return run
 
@@ -99,23 +119,63 @@ def unit_ids(units: DataFrame, table: PieceTable) -> DataFrame:
 class _Head:
     """ids of frequent units: hashes in order, and their ids one after another."""
 
-    def __init__(self, units: list[str], offsets: np.ndarray, ids: np.ndarray):
+    def __init__(self, hashes: np.ndarray, offsets: np.ndarray, ids: np.ndarray):
+        order = np.argsort(hashes)
+        self.hash, self.size, self.start, self.ids = hashes[order], np.diff(offsets)[order].astype(np.int32), offsets[:-1][order].astype(np.int32), ids
+
+
+def _packed(batches):
+    """(hash of the unit, its ids as bytes), which take little room on the driver."""
+    for batch in batches:
+        units, ids = batch.column("unit").to_pylist(), batch.column("ids")
+        if not units:
+            continue
         points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
-        h = hashes(points, np.concatenate([[0], ends[:-1]]).astype(np.int64)) if units else np.zeros(0, np.uint64)
-        order = np.argsort(h)
-        self.hash, self.size, self.start, self.ids = h[order], np.diff(offsets)[order], offsets[:-1][order], ids
+        h = hashes(points, np.concatenate([[0], ends[:-1]]).astype(np.int64))
+        offsets = ids.offsets.to_numpy()
+        values = ids.values.to_numpy()[offsets[0] : offsets[-1]].astype(ID)
+        offsets = ((offsets - offsets[0]) * ID.itemsize).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.Array.from_buffers(pa.binary(), len(units), [None, pa.py_buffer(offsets), pa.py_buffer(values)])], ["h", "ids"])
+
+
+def _head(units: DataFrame) -> _Head:
+    """The rows (unit, ids) as they are sent to all tasks."""
+    table = units.select("unit", "ids").mapInArrow(_packed, "h long, ids binary").toArrow()
+    if not table.num_rows:
+        return _Head(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, ID))
+    h, ids = table["h"].to_numpy().view(np.uint64), table["ids"].combine_chunks()
+    del table
+    _, offsets, data = ids.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64) // ID.itemsize
+    return _Head(h, offsets, np.frombuffer(data, ID))
 
 
 def _array(values: pa.Array, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
 
 
-def _encoded(path: str, head, n_keep: int):
-    """ids of each text, -1 where a unit isn't in the head; and these units, in order."""
+def _parts(table: PieceTable) -> np.ndarray:
+    """What each id stands for, as bytes."""
+    parts = np.array([n.replace("\u2581", " ").encode() for n in table.names], object)
+    for byte, i in table.bytes.items():
+        parts[i] = bytes([byte])
+    return parts
+
+
+def _texts(parts: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+    """The texts of lists of ids, without the blank that encoding puts first."""
+    pieces, upto = parts[ids].tolist(), np.concatenate([[0], np.cumsum(counts)]).tolist()
+    texts = [b"".join(pieces[a:b]).decode("utf-8", "replace") for a, b in zip(upto[:-1], upto[1:], strict=True)]
+    return [t[1:] if t.startswith(" ") else t for t in texts]
+
+
+def _encoded(path: str, head, n_keep: int, verify: bool):
+    """ids of each text, -1 where a unit isn't in the head; and these units, in order; with verify, whether the ids give the text back."""
 
     def run(batches):
         table, x = PieceTable(path), head.value
+        parts = _parts(table)
         for part in slices(batches):
             points, start, doc, h = table.units(part.column("text").to_pylist())
             known = np.zeros(len(h), bool)
@@ -131,7 +191,12 @@ def _encoded(path: str, head, n_keep: int):
             totals, lost = np.zeros(part.num_rows, np.int64), np.flatnonzero(~known)
             np.add.at(totals, doc, size)
             holes = np.bincount(doc[lost], minlength=part.num_rows)
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n_keep)), _array(pa.array(ids), totals), _array(pa.array(strings(points, start, lost), pa.string()), holes)], [*(f"k{i}" for i in range(n_keep)), "ids", "holes"])
+            columns = [*(part.column(i) for i in range(n_keep)), _array(pa.array(ids), totals), _array(pa.array(strings(points, start, lost), pa.string()), holes)]
+            names = [*(f"k{i}" for i in range(n_keep)), "ids", "holes"]
+            if verify:
+                columns.append(pa.array([a == (b or "") for a, b in zip(_texts(parts, ids, totals), part.column("text").to_pylist(), strict=True)], pa.bool_()))
+                names.append("round_trip")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -155,15 +220,17 @@ def _filled(n_keep: int):
     return run
 
 
-def encode(df: DataFrame, model_path: str, text: str = "text", keep: list[str] | None = None, head: int = HEAD) -> DataFrame:
+def encode(df: DataFrame, model_path: str, text: str = "text", keep: list[str] | None = None, head: int = HEAD, verify: bool = False) -> DataFrame:
     """df (or its columns `keep`) with ids: the best cut of each whole text, in order, without special tokens.
 
     Of equally good cuts that with the longest last piece counts. Characters
     without a piece become the pieces of their UTF-8 bytes. A null or empty
     text has no ids. All rows stay, repeated ones too; a column ids is
-    replaced. The vocabulary file must be at model_path on every machine.
+    replaced. With verify there is a column round_trip too: do the ids, decoded,
+    give the text back? The vocabulary file must be at model_path on every
+    machine.
     """
-    keep = [c for c in (df.columns if keep is None else keep) if c != "ids"]
+    keep = [c for c in (df.columns if keep is None else keep) if c not in ("ids", "round_trip")[: 1 + verify]]
     names = {c: f"k{i}" for i, c in enumerate(keep)}
     kinds = "".join(f"{k} {df.schema[c].dataType.simpleString()}, " for c, k in names.items())
     table = PieceTable(model_path)
@@ -172,34 +239,31 @@ def encode(df: DataFrame, model_path: str, text: str = "text", keep: list[str] |
     units = kept(unit_ids(seen, table))
     whole = units.count() <= head
     frequent = units if whole else kept(units.orderBy(F.desc("n"), "unit").limit(head))
-    top = frequent.select("unit", "ids").toArrow()
-    column = top["ids"].combine_chunks()
-    sent = df.sparkSession.sparkContext.broadcast(_Head(top["unit"].to_pylist(), column.offsets.to_numpy().astype(np.int64), column.values.to_numpy().astype(np.int32)))
-    out = rows.mapInArrow(_encoded(model_path, sent, len(keep)), f"{kinds}ids array<int>, holes array<string>")
-    if not whole:
-        out = kept(out.withColumn("row", F.monotonically_increasing_id()))
-        holes = out.where(F.size("holes") > 0).select("row", F.posexplode("holes").alias("i", "unit"))
-        rest = units.join(frequent.select("unit"), "unit", "left_anti").select("unit", F.col("ids").alias("own"))
-        fill = holes.join(rest, "unit").groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "own"))), lambda x: x["own"]).alias("fill"))
-        out = out.drop("holes").join(fill, "row", "left").drop("row").mapInArrow(_filled(len(keep)), f"{kinds}ids array<int>")
-    return out.select(*[F.col(k).alias(c) for c, k in names.items()], "ids")
+    sent = df.sparkSession.sparkContext.broadcast(_head(frequent))
+    results = [*[F.col(k).alias(c) for c, k in names.items()], "ids", *["round_trip"] * verify]
+    if whole:
+        return rows.mapInArrow(_encoded(model_path, sent, len(keep), verify), f"{kinds}ids array<int>, holes array<string>" + ", round_trip boolean" * verify).select(*results)
+    n = len(keep)
+    rows = rows.select(*names.values(), F.sha2(F.coalesce("text", F.lit("")), 256).alias(f"k{n}"), "text")
+    kinds += f"k{n} string, "
+    out = kept(rows.mapInArrow(_encoded(model_path, sent, n + 1, False), f"{kinds}ids array<int>, holes array<string>").withColumn("row", F.monotonically_increasing_id()))
+    holes = out.where(F.size("holes") > 0).select("row", F.posexplode("holes").alias("i", "unit"))
+    rest = units.join(frequent.select("unit"), "unit", "left_anti").select("unit", F.col("ids").alias("own"))
+    fill = holes.join(rest, "unit").groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "own"))), lambda x: x["own"]).alias("fill"))
+    out = out.drop("holes").join(fill, "row", "left").drop("row").mapInArrow(_filled(n + 1), f"{kinds}ids array<int>")
+    if verify:
+        out = decode(out, model_path).withColumn("round_trip", F.sha2("decoded", 256) == F.col(f"k{n}"))
+    return out.select(*results)
 
 
 def _decoded(path: str, ids: str, n_keep: int):
     def run(batches):
-        table = PieceTable(path)
-        parts = np.array([n.replace("\u2581", " ").encode() for n in table.names], object)
-        for byte, i in table.bytes.items():
-            parts[i] = bytes([byte])
+        parts = _parts(PieceTable(path))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 column = part.column(ids)
-                offsets = column.offsets.to_numpy()
-                pieces = parts[column.values.to_numpy()[offsets[0] : offsets[-1]]].tolist()
-                offsets = offsets - offsets[0]
-                texts = [b"".join(pieces[a:b]).decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                texts = [t[1:] if t.startswith(" ") else t for t in texts]
+                texts = _texts(parts, column.flatten().to_numpy(), np.diff(column.offsets.to_numpy()))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n_keep)), pa.array(texts, pa.string())], [*(f"k{i}" for i in range(n_keep)), "decoded"])
 
     return run

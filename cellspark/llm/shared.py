@@ -1,7 +1,7 @@
 """What several operators share: the shared folder, Arrow text batches and word hashes.
 
 Texts reach Python as Arrow columns. Their UTF-8 bytes are read in place with
-numpy, a megabyte at a time, so that memory doesn't grow with the batch.
+numpy, a quarter of a megabyte at a time, so that memory doesn't grow with the batch.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are handled at once; a longer text is handled alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Odd multipliers of the polynomial hashes, modulo 2**64.
 BASE, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 

@@ -120,7 +120,8 @@ TEXTS = [*ODD, "The attion to thanedble the, anea.", "  two   blanks    and\nlin
 @pytest.mark.parametrize("head", [1 << 20, 5, 0])
 def test_encode_equals_library(spark, library, head):
     df = docs(spark, TEXTS + TEXTS[-1:]).withColumnRenamed("source", "ids")
-    out = sentencepiece_lattice.encode(df, MODEL, keep=["doc_id", "text"], head=head)
+    out = sentencepiece_lattice.encode(df, MODEL, keep=["doc_id", "text"], head=head, verify=True)
+    assert all(r["round_trip"] for r in out.collect())
     back = {r["doc_id"]: r for r in sentencepiece_lattice.decode(out, MODEL).collect()}
     assert len(back) == len(TEXTS) + 1
     for i, text in enumerate(TEXTS):
