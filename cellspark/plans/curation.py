@@ -8,6 +8,8 @@ from cellspark.plans.views import WITH, view
 
 E = WITH["entries"]
 LATTICE = "ECONOMY"
+
+
 def best():
     return [F.col("r_factor").asc_nulls_last(), F.col("entry_id")]
 
