@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .shared import LOWER, STEP, Words, mixed, powers, slices, utf8
 
-#: Positions that count, of windows of 8 tokens: weight 6.
-MASKS = ((0, 1, 2, 4, 5, 7), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 6, 7))
+#: Positions that count: weight 6. Of any SPAN to WINDOW tokens with as many changes as allowed, one mask at least fits somewhere (tests go through all).
+MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 5, 6), (0, 1, 2, 3, 6, 7), (0, 1, 3, 5, 6, 7))
+#: Tokens of the shortest item that counts.
 SPAN = 8
 #: A leak: WINDOW consecutive tokens (or a whole shorter item) of which one in TOLERANCE at most differs.
 WINDOW, TOLERANCE = 13, 6
@@ -40,14 +41,14 @@ def tokens(column) -> Words:
 
 
 def seeds(words: Words, mask: tuple[int, ...], tag: int) -> tuple[np.ndarray, np.ndarray]:
-    n = len(words.hash) - SPAN + 1
+    n = len(words.hash) - mask[-1]
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    up, _ = powers(STEP, SPAN + 1)
+    up, _ = powers(STEP, len(mask) + 1)
     h = np.full(n, tag, np.uint64)
     for k, o in enumerate(mask):
         h += words.hash[o : o + n] * up[k + 1]
-    at = np.flatnonzero(words.doc[:n] == words.doc[SPAN - 1 :])
+    at = np.flatnonzero(words.doc[:n] == words.doc[mask[-1] :])
     return mixed(h[at]), at
 
 
@@ -59,6 +60,8 @@ class Index:
         self.ids, self.hash, self.first = np.array(ids, np.int64), words.hash, words.first
         found = [seeds(words, mask, i) for i, mask in enumerate(MASKS)]
         h, at = (np.concatenate(x) for x in zip(*found, strict=True))
+        whole = words.count[words.doc[at]] >= SPAN
+        h, at = h[whole], at[whole]
         order = np.argsort(h, kind="stable")
         self.seed, self.at = h[order], at[order]
         self.item = words.doc[self.at] if len(at) else self.at

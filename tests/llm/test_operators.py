@@ -302,6 +302,25 @@ def test_leaks(spark):
     assert decontaminate.leaks(df.limit(0), bench).count() == 0 == decontaminate.leaks(df, bench.limit(0)).count()
 
 
+def test_all_changes(spark):
+    """Every allowed pattern of changes, of each length from SPAN to WINDOW, against overlap on all diagonals."""
+    lengths = range(decontaminate.SPAN - 2, decontaminate.WINDOW + 3)
+    items = {n: [f"w{n}q{j}" for j in range(n)] for n in lengths}
+    bench, texts, want = spark.createDataFrame([(n, " ".join(t)) for n, t in items.items()], "item_id long, text string"), [], {}
+    for n, item in items.items():
+        for gone in (g for k in range(4) for g in itertools.combinations(range(n), k)):
+            text = ["a", "b", "c", *("zzz" if j in gone else t for j, t in enumerate(item)), "d", "e"]
+            a, b = np.array([hash(t) for t in text]), np.array([hash(t) for t in item])
+            for start in range(-2, 6) if n >= decontaminate.SPAN else ():
+                lo, hi = max(0, -start), min(n, len(text) - start)
+                if hi - lo >= min(decontaminate.WINDOW, n) and (found := decontaminate.overlap(a[start + lo : start + hi], b[lo:hi])):
+                    want[len(texts), n] = (start + lo + found[0], lo + found[0], found[1] - found[0], found[2])
+            texts.append(" ".join(text))
+    got = {(r["doc_id"], r["item_id"]): (r["doc_start"], r["item_start"], r["n_overlap"], r["n_equal"]) for r in decontaminate.leaks(docs(spark, texts), bench).collect()}
+    assert got == want
+    assert {(len(items[i]), len(items[i]) - x[3]) for (_, i), x in want.items()} >= {(n, k) for n in range(decontaminate.SPAN, decontaminate.WINDOW + 1) for k in range(n // 6 + 1)}
+
+
 # --- toxicity
 
 
