@@ -2,13 +2,14 @@
 
 1. Documents with the same set of shingles are one class; its least doc_id
    stands for it. Only classes are compared, and of these only such as have
-   SCREEN_MATCHES of their first SCREEN values in common with any other.
+   enough of their first SCREEN values in common with others.
 2. A signature has COORDINATES minimum hashes; each (coordinate, value) that
    two classes have in common is a posting list. Linked classes collide in
-   MATCHES lists at least (a linked pair of similarity 0.85 misses that with a
-   chance of about 1e-6, a more similar one with less).
+   enough lists: matches() takes as many as a pair of just the asked similarity
+   misses with a chance of MISS at most (86 for 85 percent, 77 for 80), and
+   SCREEN_MISS for the screen (14 and 11); a more similar pair misses less.
 3. Prefix: lists are ordered from short to long, and a class is posted only in
-   its first COORDINATES - MATCHES + 1; a pair with enough collisions meets in
+   its first COORDINATES - matches + 1; a pair with enough collisions meets in
    one of them. Long lists (a line that very many documents have) are skipped
    so.
 4. Each list is merged with its most central class alone, a star, on full
@@ -20,6 +21,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,11 +31,23 @@ from pyspark.sql import functions as F
 from .graph import components
 from .shared import kept, lists, longs, mixed, one_row_per_id, slices, spaced
 
-SHINGLE, COORDINATES, MATCHES, SCREEN, SCREEN_MATCHES = 5, 128, 86, 32, 14
+SHINGLE, COORDINATES, SCREEN = 5, 128, 32
+#: Greatest chance that a pair of just the asked similarity has too few lists, or values of the screen, in common.
+MISS, SCREEN_MISS = 2e-7, 2e-8
 _random = np.random.default_rng(7)
 MASKS, FACTORS = _random.integers(0, 1 << 63, COORDINATES, np.uint64) << np.uint64(1), _random.integers(0, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def matches(percent: int, coordinates: int, miss: float) -> int:
+    """The most coordinates m such that a pair of similarity percent has fewer than m in common with a chance of miss at most."""
+    p, below, m = percent / 100, 0.0, 0
+    while m < coordinates and (below := below + math.comb(coordinates, m) * p**m * (1 - p) ** (coordinates - m)) <= miss:
+        m += 1
+    if not m or not 0 < percent <= 100:
+        raise ValueError(f"{coordinates} coordinates can't tell a similarity of {percent} percent")
+    return m
+
+
 def shingles(column, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct k-word shingles of each text, in order, and how many each has."""
     words = spaced(column, lower=True)
@@ -94,15 +109,16 @@ def _shared(posts: DataFrame) -> DataFrame:
     return posts.groupBy("v").agg(F.count("*").alias("len")).where("len > 1")
 
 
-def _prefixes(classes: DataFrame) -> DataFrame:
+def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
     """Classes that can have a partner: id, centre (how common its values are) and prefix, array of list keys, short lists first."""
+    least, screen = matches(percent, COORDINATES, MISS), matches(percent, SCREEN, SCREEN_MISS)
     posts = _posts(classes, SCREEN)
-    able = posts.join(_shared(posts), "v", "left_semi").groupBy("id").agg(F.count("*").alias("hits")).where(F.col("hits") >= SCREEN_MATCHES)
+    able = posts.join(_shared(posts), "v", "left_semi").groupBy("id").agg(F.count("*").alias("hits")).where(F.col("hits") >= screen)
     able = kept(classes.join(able, "id", "left_semi"))
     posts = _posts(able, COORDINATES)
     own = posts.join(_shared(posts), "v").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("len", "v"))).alias("lists"))
-    room = F.size("lists") - MATCHES + 1  # lists of one class come before these and give no candidates
-    own = own.where(F.size("lists") >= MATCHES).select("id", F.aggregate("lists", F.lit(0.0), lambda s, x: s + F.log1p(x["len"])).alias("centre"), F.transform(F.slice("lists", 1, room), lambda x: x["v"]).alias("prefix"))
+    room = F.size("lists") - least + 1  # lists of one class come before these and give no candidates
+    own = own.where(F.size("lists") >= least).select("id", F.aggregate("lists", F.lit(0.0), lambda s, x: s + F.log1p(x["len"])).alias("centre"), F.transform(F.slice("lists", 1, room), lambda x: x["v"]).alias("prefix"))
     return own
 
 
@@ -129,7 +145,7 @@ def _rest(star: DataFrame, group: DataFrame, percent: int) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Confirmed edges (a, b) between ids that give the components of all links."""
-    able = _prefixes(classes)
+    able = _prefixes(classes, percent)
     posts = able.select("id", "centre", F.explode("prefix").alias("v"))
     heads = posts.groupBy("v").agg(F.max(F.struct("centre", "id")).alias("head"), F.count("*").alias("len")).where("len > 1").select("v", F.col("head.id").alias("a"))
     star = kept(posts.join(heads, "v").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct())
@@ -144,7 +160,8 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
 
     Words are lower-cased (A-Z) runs of non-white-space; a text with fewer
     words than a shingle is one shingle; a text that is null, empty or blank
-    has none, is linked with nothing and kept. Rows without a doc_id are left
+    has none, is linked with nothing and kept. percent is 43 or more: lower ones
+    the signatures can't tell (ValueError). Rows without a doc_id are left
     out, of a repeated doc_id the least text counts; other columns are ignored.
     """
     docs = one_row_per_id(df)

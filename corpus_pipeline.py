@@ -2,7 +2,7 @@
 
 What each stage decides: language ID drops a document that it can't place
 (`und`, or a posterior below SURE); near-dedup keeps the first document of each
-group; decontamination drops documents that hold a passage of the benchmark;
+group of documents with ALIKE percent of their shingles in common or more; decontamination drops documents that hold a passage of the benchmark;
 the secret scan puts a mark in place of each span; the last stage encodes each
 text into token ids.
 """
@@ -18,6 +18,8 @@ from cellspark.llm.shared import kept
 
 #: Least posterior probability of a language.
 SURE = 0.5
+#: Least similarity of near copies, in percent.
+ALIKE = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of linked ones."""
-    others = minhash_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id")
+    others = minhash_dedup.near_duplicates(docs, ALIKE).where(~F.col("kept")).select("doc_id")
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -272,6 +272,31 @@ def test_near_duplicates(spark):
     assert minhash_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def near_pair(seed, similarity):
+    """Two texts of which about so many shingles are common: the second has other words at its end."""
+    n = random.Random(seed).randint(400, 600)
+    changed = math.ceil((n - 4) * (1 - similarity) / (1 + similarity))
+    own, other = (" ".join(f"{w}{i}" for i, w in enumerate(prose(x, n).split())) for x in (seed, seed + 100_000))
+    return own, " ".join([*own.split()[: n - changed], *other.split()[n - changed :]])
+
+
+@pytest.mark.parametrize("percent, similarity", [(80, 0.825), (50, 0.55)])
+def test_percent(spark, percent, similarity):
+    texts = [t for i in range(40) for t in near_pair(7000 + i, similarity + (i % 5 - 2) / 100)]
+    want = plain_groups(dict(enumerate(texts)), percent)
+    assert sum(c != i for i, (_, c) in want.items()) == 40 and all(c == i for i, (_, c) in plain_groups(dict(enumerate(texts)), 85).items())
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in minhash_dedup.near_duplicates(docs(spark, texts), percent).collect()}
+    assert got == want
+
+
+def test_matches():
+    assert [minhash_dedup.matches(p, n, miss) for p in (85, 80) for n, miss in ((128, minhash_dedup.MISS), (32, minhash_dedup.SCREEN_MISS))] == [86, 14, 77, 11]
+    assert minhash_dedup.matches(100, 128, minhash_dedup.MISS) == 128 and minhash_dedup.matches(43, 32, minhash_dedup.SCREEN_MISS) == 1
+    for percent in (0, 42, 101):
+        with pytest.raises(ValueError):
+            minhash_dedup.matches(percent, 32, minhash_dedup.SCREEN_MISS)
+
+
 def test_components(spark):
     r = random.Random(2)
     pairs = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(60)]

@@ -1,7 +1,7 @@
 """The pipeline on a few documents whose fate is known, stage by stage."""
 
 import corpus_pipeline
-from test_operators import DOC, prose
+from test_operators import DOC, near_pair, plain_groups, prose
 
 from cellspark.llm.queries import MODEL
 from cellspark.llm.sentencepiece_lattice import decode
@@ -37,3 +37,10 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], DOC).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_of_80_percent(spark):
+    rows = [(2 * i + j, t, "aa", "s", None) for i in range(20) for j, t in enumerate(near_pair(8000 + i, 0.80 + i % 5 / 100))]
+    want = {i for i, (_, c) in plain_groups({r[0]: r[1] for r in rows}, 80).items() if c == i}
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, DOC), "").collect()}
+    assert got == want and len(want) < 25
