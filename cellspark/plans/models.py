@@ -11,7 +11,7 @@ QS = [f"q{i}" for i in range(10)]
 
 
 def peaks_wide(spark, sf_dir):
-    v = arrays(spark, sf_dir).where(F.size("q2") == 10)
+    v = arrays(spark, sf_dir, "first_peaks").where(F.size("q2") == 10)
     return v.select("pattern_id", *[F.get("q2", F.lit(i)).alias(n) for i, n in enumerate(QS)])
 
 

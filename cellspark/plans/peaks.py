@@ -11,11 +11,11 @@ from cellspark.plans.registry import query
 from cellspark.plans.views import WITH, view
 
 P, R, C, V = WITH["peaks"], WITH["reflections"], WITH["cells"], "WITH v AS (SELECT vec_id, embedding, label FROM embeddings)"
-_A = f"{P}, a AS (SELECT pattern_id, list(q2 ORDER BY peak_index) AS q2 FROM v GROUP BY pattern_id)"
+_A, _FIRST = (f"{WITH[x]}, a AS (SELECT pattern_id, list(q2 ORDER BY peak_index) AS q2 FROM v GROUP BY pattern_id)" for x in ("peaks", "first_peaks"))
 
 
-def arrays(spark, sf_dir):
-    v = view(spark, sf_dir, "peaks").groupBy("pattern_id").agg(F.array_sort(F.collect_list(F.struct("peak_index", "q2"))).alias("r"))
+def arrays(spark, sf_dir, name="peaks"):
+    v = view(spark, sf_dir, name).groupBy("pattern_id").agg(F.array_sort(F.collect_list(F.struct("peak_index", "q2"))).alias("r"))
     return v.select("pattern_id", F.transform("r", lambda x: x["q2"]).alias("q2"))
 
 
@@ -142,19 +142,20 @@ def a28_merge_equal_q2(spark, sf_dir):
     return op.merge_equal_q2(v, ["user_id"], "q2", "intensity", "strongest")
 
 
-_M20 = f"""{_A}, c AS (SELECT pattern_id, q2, list_transform(q2, lambda q: round(q / 0.004e0) * 0.004e0) AS qc FROM a)"""
+_M20, _INFO = (f"""{x}, c AS (SELECT pattern_id, q2, list_transform(q2, lambda q: round(q / 0.004e0) * 0.004e0) AS qc FROM a)""" for x in (_FIRST, _A))
 
 
 @query(f"{_M20}, m AS (SELECT pattern_id, qc[-1] AS top, list_sum(list_transform(list_zip(q2, qc), lambda z: abs(z[1] - z[2]))) / len(q2) AS e FROM c), b AS (SELECT *, len(list_filter({_REF_SQL}, lambda r: r < top)) AS n, list_max(list_filter({_REF_SQL}, lambda r: r < top)) AS g FROM m) SELECT pattern_id, round(CASE WHEN n > 0 AND e > 0 THEN g / (2 * n) / e ELSE 0 END, 6) AS m20 FROM b")
 def a18_m20(spark, sf_dir):
-    v = arrays(spark, sf_dir).withColumn("qc", F.transform("q2", lambda q: F.round(q / 0.004) * 0.004))
+    v = arrays(spark, sf_dir, "first_peaks").withColumn("qc", F.transform("q2", lambda q: F.round(q / 0.004) * 0.004))
     return v.select("pattern_id", F.round(search.m20(F.col("q2"), F.col("qc"), _refs()), 6).alias("m20"))
 
 
-@query(f"{_M20}, p AS (SELECT pattern_id, list_transform(list_zip(q2, qc), lambda z: 1 / (1 + 8 * pi() * z[1] * abs(sqrt(z[1]) - sqrt(z[2])) / (0.0001e0 * 32))) AS p FROM c) SELECT pattern_id, round(-log2(1 - exp(list_sum(list_transform(p, lambda x: ln(x))))), 6) AS m_info, CAST(len(list_filter(p, lambda x: x > 0.95e0)) AS INT) AS n_indexed FROM p")
+@query(f"{_INFO}, p AS (SELECT pattern_id, list_transform(list_zip(q2, qc), lambda z: 1 / (1 + 8 * pi() * z[1] * abs(sqrt(z[1]) - sqrt(z[2])) / (0.0001e0 * 32))) AS p FROM c) SELECT pattern_id, round(-log2(1 - exp(list_sum(list_transform(p, lambda x: ln(x))))), 6) AS m_info, CAST(len(list_filter(p, lambda x: x > 0.95e0)) AS INT) AS n_indexed FROM p")
 def a19_m_info(spark, sf_dir):
     v = arrays(spark, sf_dir).withColumn("p", F.transform("q2", lambda q: search.peak_probability(q, F.round(q / 0.004) * 0.004, F.lit(0.0001), search.MULTIPLICITY["cP"])))
-    return v.select("pattern_id", F.round(search.m_info(F.col("p")), 6).alias("m_info"), search.n_indexed(F.col("p")).alias("n_indexed"))
+    m = search.m_info(F.col("p"))  # of many peaks just zero, whose sign round() would lose
+    return v.select("pattern_id", F.when(m == 0, m).otherwise(F.round(m, 6)).alias("m_info"), search.n_indexed(F.col("p")).alias("n_indexed"))
 
 
 @query(f"{P}, t AS (SELECT pattern_id, q2 AS y, peak_index + 1 AS a, (peak_index % 3) * (peak_index % 3) AS b, 0.001e0 + q2 / 10 AS s FROM v), h AS (SELECT pattern_id, sum(a*a/(s*s)) AS aa, sum(a*b/(s*s)) AS ab, sum(b*b/(s*s)) AS bb, sum(a*y/(s*s)) AS ay, sum(b*y/(s*s)) AS \"by\" FROM t GROUP BY 1) SELECT pattern_id, round((ay*bb - ab*\"by\") / (aa*bb - ab*ab), 9) AS x0, round((aa*\"by\" - ab*ay) / (aa*bb - ab*ab), 9) AS x1 FROM h WHERE abs(aa*bb - ab*ab) > 0")
@@ -206,7 +207,7 @@ def w16_reindex_after_edit(spark, sf_dir):
 @query(f"{P}, m AS (SELECT pattern_id, q2 FROM v WHERE peak_index < 6 AND peak_index <> 2 UNION ALL SELECT pattern_id, q2 + 0.0005e0 FROM v WHERE peak_index >= 8) SELECT pattern_id, CAST(row_number() OVER (PARTITION BY pattern_id ORDER BY q2) - 1 AS INT) AS place, round(q2, 9) AS q2 FROM m")
 def w17_merge_peak_lists(spark, sf_dir):
     a = arrays(spark, sf_dir)
-    merged = op.merge_peak_lists(F.slice("q2", 1, 6), F.transform(F.slice("q2", 9, 2), lambda q: q + 0.0005), F.slice("q2", 3, 1))
+    merged = op.merge_peak_lists(F.slice("q2", 1, 6), F.transform(F.slice("q2", F.lit(9), F.size("q2")), lambda q: q + 0.0005), F.slice("q2", 3, 1))
     return a.select("pattern_id", F.posexplode(merged).alias("place", "q2")).select("pattern_id", "place", F.round("q2", 9).alias("q2"))
 
 
@@ -255,7 +256,7 @@ def r6_difference_histogram(spark, sf_dir):
 _SUMS = [s for s in range(1, 80) if s % 8 != 7 and s not in (28, 60)]
 
 
-@query(f"""{_A}, s AS (SELECT {_SUMS}::DOUBLE[] AS s), c AS (SELECT pattern_id, q2 AS q, CAST(i AS INT) AS candidate_id, q2[1] / s[i + 1] AS x, s FROM a, s, (SELECT unnest(range(0, 12)) AS i) t WHERE len(q2) = 10),
+@query(f"""{_FIRST}, s AS (SELECT {_SUMS}::DOUBLE[] AS s), c AS (SELECT pattern_id, q2 AS q, CAST(i AS INT) AS candidate_id, q2[1] / s[i + 1] AS x, s FROM a, s, (SELECT unnest(range(0, 12)) AS i) t WHERE len(q2) = 10),
 e AS (SELECT *, list_transform(q, lambda z: s[list_min(list_transform(range(1, {len(_SUMS) + 1}), lambda k: {{'d': abs(s[k] * x - z), 'k': k}})).k]) AS t FROM c),
 l AS (SELECT *, list_sum(list_transform(list_zip(q, t), lambda z: z[2] * z[1] / (z[1] * (abs(z[1] - z[2] * x) + 1e-10)))) / list_sum(list_transform(list_zip(q, t), lambda z: z[2] * z[2] / (z[1] * (abs(z[1] - z[2] * x) + 1e-10)))) AS y FROM e),
 f AS (SELECT *, list_transform(q, lambda z: s[list_min(list_transform(range(1, {len(_SUMS) + 1}), lambda k: {{'d': abs(s[k] * y - z), 'k': k}})).k]) AS u FROM l),
@@ -265,7 +266,7 @@ w AS (SELECT pattern_id, candidate_id, x, y, CASE WHEN n0 > 0 AND e0 > 0 THEN g0
 b AS (SELECT pattern_id, candidate_id, CASE WHEN m1 > m0 THEN y ELSE x END AS x, greatest(m0, m1) AS m20 FROM w), k AS (SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY m20 DESC, candidate_id) AS k FROM b)
 SELECT pattern_id, candidate_id, round(x, 9) AS x, round(m20, 5) AS m20 FROM k WHERE k <= 5""")
 def c8_cubic_search(spark, sf_dir):
-    out = search.cubic_search(view(spark, sf_dir, "peaks"), _SUMS, top=5)
+    out = search.cubic_search(view(spark, sf_dir, "first_peaks"), _SUMS, top=5)
     return out.select("pattern_id", "candidate_id", F.round("x", 9).alias("x"), F.round("m20", 5).alias("m20"))
 
 

@@ -49,6 +49,15 @@ def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
+def test_peaks_are_whole(spark, duck):
+    """Beyond ten peaks a pattern; only what the search takes is cut."""
+    want = duck.sql("SELECT user_id, count(DISTINCT round(value / 1000 + 0.002e0, 6)) FROM events WHERE value IS NOT NULL GROUP BY 1").fetchall()
+    for name, n in (("peaks", 10**9), ("first_peaks", 10)):
+        got = view(spark, SF, name).groupBy("pattern_id").count().collect()
+        assert sorted(map(tuple, got)) == sorted((u, min(c, n)) for u, c in want)
+    assert max(c for _, c in want) > 10
+
+
 def test_every_sql_has_a_query():
     assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
 
