@@ -8,6 +8,8 @@ units once.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 from .shared import mixed, powers
@@ -94,6 +96,12 @@ class PieceTable:
         return points, start, doc, hashes(points, start)
 
 
+@lru_cache(2)
+def load(path: str) -> PieceTable:
+    """The table of a model file, read once in each process."""
+    return PieceTable(path)
+
+
 def hashes(points: np.ndarray, start: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each unit that depends on its characters alone."""
     n = len(points)

@@ -4,13 +4,19 @@
 2. Lattice: every substring of a unit, up to the longest piece, is a row; an
    equi-join with the piece table keeps the edges; edges are grouped by unit
    and a higher-order aggregate folds them by end position, carrying the best
-   score and the way back: the Viterbi cut of each unit, its ids.
+   scores; a second one goes back along the edges that have them: the Viterbi
+   cut of each unit, its ids. A unit of more than PART characters (an unbroken
+   run) is exploded and grouped in parts, and folded part by part.
 3. The ids of the most frequent units, HEAD at most (a fixed bound), are sent
    to the tasks that cut the texts again and put ids in place of units. Units
    beyond that bound are joined by shuffle, as rows of their documents.
 
 Explode, join, grouping and fold of step 2 keep the partitioning by unit, so
 the lattice adds no shuffle to that of step 1.
+
+Python tells units by a 64-bit hash: of u different units in a task some
+u * HELD / 2^64 pairs, and of all U units U * HEAD / 2^64, would be taken for
+one.
 """
 
 from __future__ import annotations
@@ -20,28 +26,51 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pieces import PieceTable, hashes, strings
+from .pieces import PieceTable, hashes, load, strings
 from .shared import kept, slices
 
 #: Units whose ids are sent to all tasks, each some 20 bytes: 80 MB at most. Different units that a task holds as strings.
-HEAD, HELD = 1 << 22, 1 << 16
+HEAD, HELD = 1 << 22, 1 << 17
+#: Characters of a unit that are folded at once; no piece has more.
+PART = 256
+#: What `before` says of a whole unit of more characters.
+WHOLE = -1
+#: An edge is one long: its end (in the part), its length, and 1 + id, or UNKNOWN + code point where no piece has the character.
+UNKNOWN = 1 << 23
 #: How ids travel; a vocabulary has fewer than 2**16.
 ID = np.dtype("<u2")
 
 
+def parts(unit: str, longest: int) -> list[tuple[str, int]]:
+    """(slice, before) of the parts of a long unit: the characters of each, and how many of these stand before it (as far as its first pieces reach)."""
+    begin = [max(0, p + 1 - longest) for p in range(0, len(unit), PART)]
+    return [(unit[b : PART * (i + 1)], PART * i - b) for i, b in enumerate(begin)]
+
+
 def _distinct(path: str):
-    """(unit, n) of the units, each about once for some HELD different ones."""
+    """(unit, before, n) of the units, each about once for some HELD different ones: before is 0.
+
+    A unit of more than PART characters has a before of WHOLE, and its parts are
+    further rows, with n = 0.
+    """
 
     def run(batches):
-        table = PieceTable(path)
+        table = load(path)
         seen, found, counts, names = np.zeros(0, np.uint64), [], [], []
 
         def flush():
             h, which = np.unique(np.concatenate(found), return_inverse=True)  # in the order of `names` sorted by hash
             n = np.bincount(which, np.concatenate(counts)).astype(np.int64)
             order = np.argsort(np.concatenate([x for x, _ in names]))
-            units = np.array([u for _, own in names for u in own], object)[order]
-            return pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(n[: len(h)])], ["unit", "n"])
+            units, n = np.array([u for _, own in names for u in own], object)[order].tolist(), n[: len(h)].tolist()
+            before = [0] * len(units)
+            for i in [i for i, u in enumerate(units) if len(u) > PART]:
+                before[i] = WHOLE
+                for piece, k in parts(units[i], table.longest):
+                    units.append(piece)
+                    before.append(k)
+                    n.append(0)
+            return pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(before, pa.int32()), pa.array(n, pa.int64())], ["unit", "before", "n"])
 
         for part in slices(batches):
             points, start, _, h = table.units(part.column("text").to_pylist())
@@ -53,7 +82,7 @@ def _distinct(path: str):
             found.append(each)
             counts.append(n)
             names.append((each[new], strings(points, start, first[new])))
-            seen = np.sort(np.concatenate([seen, each[new]]))
+            seen = np.sort(np.concatenate([seen, each[new]]), kind="stable")  # two sorted runs: a merge
             if len(seen) > HELD:
                 yield flush()
                 seen, found, counts, names = np.zeros(0, np.uint64), [], [], []
@@ -69,59 +98,131 @@ def piece_rows(spark: SparkSession, table: PieceTable) -> DataFrame:
     return spark.createDataFrame(rows)
 
 
-def edges(units: DataFrame, pieces: DataFrame, longest: int, unknown: float) -> DataFrame:
-    """Lattice edges of each unit: start and end in characters, id and score. A character without a piece of its own has an edge of id -1."""
-    parts = units.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.length("unit"), F.lit(longest)))))
-    parts = parts.withColumn("start", F.explode(F.sequence(F.lit(0), F.length("unit") - F.col("size"))))
-    parts = parts.withColumn("piece", F.substr("unit", F.col("start") + 1, F.col("size")))
-    found = parts.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR size = 1")
-    return found.select("unit", "n", (F.col("start") + F.col("size")).alias("end"), "start", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(unknown)).alias("score"))
+def edges(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """unit, before, n and an edge of the lattice in each row: a piece that ends after the first `before` characters, or a character that no piece has. A whole long unit has one row, without an edge."""
+    size, start = F.col("size"), F.col("start")
+    many = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("unit"), F.lit(longest))))
+    rows = units.withColumn("size", F.explode(F.when(F.col("before") == WHOLE, F.array(F.lit(0))).otherwise(many)))
+    first = F.greatest(F.lit(0), F.col("before") + 1 - size)
+    rows = rows.where(F.length("unit") - size >= first).withColumn("start", F.explode(F.when(size == 0, F.array(F.lit(0))).otherwise(F.sequence(first, F.length("unit") - size))))
+    rows = rows.withColumn("piece", F.substr("unit", start + 1, size))
+    found = rows.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR size < 2")
+    what = F.coalesce(F.col("id") + 1, F.ascii("piece") + UNKNOWN).cast("long")
+    edge = F.shiftleft((start + size).cast("long"), 32) + F.shiftleft(size.cast("long"), 24) + what
+    return found.select("unit", "before", "n", F.when(size > 0, edge).alias("edge"))
 
 
-def _fold() -> Column:
-    """Viterbi over the column `edges` (end, start, id, score) of a unit, by end and start: array<struct<start, id>> of its best cut."""
-    none = F.array().cast("array<struct<start:int,id:int>>")
+def _end(x: Column) -> Column:
+    return F.shiftright(x, 32).cast("int")
 
-    def step(acc: Column, x: Column) -> Column:
-        score = F.get(acc["scores"], x["start"]) + x["score"]
-        back = F.struct(x["start"].alias("start"), x["id"].alias("id"))
-        added = F.struct(F.concat(acc["scores"], F.array(score)).alias("scores"), F.concat(acc["back"], F.array(back)).alias("back"))
-        n = F.size(acc["back"])
-        better = F.struct(F.concat(F.slice(acc["scores"], 1, n), F.array(score)).alias("scores"), F.concat(F.slice(acc["back"], 1, n - 1), F.array(back)).alias("back"))
-        return F.when(x["end"] > F.size(acc["back"]), added).when(score > F.element_at(acc["scores"], -1), better).otherwise(acc)
 
-    start = F.struct(F.array(F.lit(0.0)).alias("scores"), none.alias("back"))
-    back = F.aggregate("edges", start, step, lambda acc: acc["back"])
-    numbered = F.reverse(F.transform(back, lambda b, i: F.struct((i + 1).alias("end"), b["start"].alias("start"), b["id"].alias("id"))))
+def _start(x: Column) -> Column:
+    return (F.shiftright(x, 32) - F.shiftright(x, 24).bitwiseAND(F.lit(255))).cast("int")
 
-    def upward(acc: Column, b: Column) -> Column:
-        return F.when(acc["end"] == b["end"], F.struct(b["start"].alias("end"), F.concat(F.array(F.struct(b["start"].alias("start"), b["id"].alias("id"))), acc["cut"]).alias("cut"))).otherwise(acc)
 
-    return F.aggregate(numbered, F.struct(F.length("unit").alias("end"), none.alias("cut")), upward, lambda acc: acc["cut"])
+def _what(x: Column) -> Column:
+    return x.bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
 
 
-def unit_ids(units: DataFrame, table: PieceTable) -> DataFrame:
-    """(unit, n, ids) of the rows (unit, n), by the lattice."""
-    found = edges(units, piece_rows(units.sparkSession, table), table.longest, table.unknown_score)
-    grouped = found.groupBy("unit").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("end", "start", "id", "score"))).alias("edges"))
-    byte_ids = F.split(F.lit(",".join(str(table.bytes.get(b, table.unknown)) for b in range(256))), ",").cast("array<int>")
+def _cut(lattice: Column, table: PieceTable) -> Column:
+    """The best cut: array of edges, of a lattice that is array<struct<part, edges in order>>.
 
-    def to_ids(x: Column) -> Column:
-        if not table.bytes:
-            return F.array(F.when(x["id"] < 0, F.lit(table.unknown)).otherwise(x["id"]))
-        char = F.hex(F.encode(F.substr("unit", x["start"] + 1, F.lit(1)), "utf-8"))
-        each = F.transform(F.sequence(F.lit(1), F.length(char), F.lit(2)), lambda i: F.get(byte_ids, F.conv(F.substr(char, i, F.lit(2)), 16, 10).cast("int")))
-        return F.when(x["id"] < 0, each).otherwise(F.array(x["id"]))
+    Forward, each part is folded into the best scores of its positions; from
+    part to part only the last `longest` ones go on. Backward, the edge that
+    has the best score of its end is taken, the longest of equal ones.
+    Positions are counted within parts, so a unit costs in proportion to its
+    length, however long it is.
+    """
+    reach = table.longest
+    weights = np.full(len(table.names) + 1, table.unknown_score)
+    weights[[i + 1 for i, _ in table.pieces.values()]] = [s for _, s in table.pieces.values()]
+    weights = F.split(F.lit(",".join(map(repr, weights.tolist()))), ",").cast("array<double>")  # folded to one constant
+    score = lambda x: F.coalesce(F.get(weights, _what(x)), F.lit(table.unknown_score))
+
+    def forward(acc: Column, x: Column) -> Column:
+        here = F.coalesce(F.get(acc["done"], _start(x)), acc["top"]) + score(x)  # top is the score of the position behind those done
+        same = _end(x) == F.size(acc["done"])
+        done = F.when(same, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["top"])))
+        return F.struct(F.greatest(here, F.when(same, acc["top"])).alias("top"), done.alias("done"))  # greatest skips null
+
+    def next_part(acc: Column, p: Column) -> Column:
+        begin = F.struct(F.element_at(acc["last"], -1).alias("top"), F.slice(acc["last"], 1, F.size(acc["last"]) - 1).alias("done"))
+        best = F.aggregate(p["edges"], begin, forward, lambda a: F.concat(a["done"], F.array(a["top"])))
+        # the fold stands in two fields: as a lambda's argument it is evaluated once
+        return F.get(F.transform(F.array(best), lambda b: F.struct(F.slice(b, F.greatest(F.lit(1), F.size(b) - reach + 1), F.lit(reach)).alias("last"), F.concat(acc["all"], F.array(b)).alias("all"))), 0)
+
+    none = F.array().cast("array<array<double>>")
+    scores = F.aggregate(lattice, F.struct(F.array(F.lit(0.0)).alias("last"), none.alias("all")), next_part, lambda acc: acc["all"])
+
+    def backward(acc: Column, x: Column, best: Column) -> Column:
+        fits = (_end(x) == acc["at"]) & (F.get(best, _start(x)) + score(x) == F.get(best, acc["at"]))
+        return F.when(fits, F.struct(_start(x).alias("at"), F.concat(acc["cut"], F.array(x)).alias("cut"))).otherwise(acc)
+
+    def part_before(acc: Column, p: Column) -> Column:
+        begin = F.struct(acc["at"].alias("at"), F.array().cast("array<bigint>").alias("cut"))
+        own = F.aggregate(F.reverse(p["edges"]), begin, lambda a, x: backward(a, x, p["best"]))
+        moved = F.when(p["part"] > 1, F.lit(PART)).otherwise(F.lit(PART + 1 - reach))  # from positions in this part to those in the one before
+        return F.get(F.transform(F.array(own), lambda o: F.struct((o["at"] + moved).alias("at"), F.concat(acc["cuts"], F.array(o["cut"])).alias("cuts"))), 0)
+
+    both = F.reverse(F.zip_with(lattice, scores, lambda p, b: F.struct(p["part"].alias("part"), p["edges"].alias("edges"), b.alias("best"))))
+    start = lambda w: F.struct((F.size(F.get(w, 0)["best"]) - 1).alias("at"), F.array().cast("array<array<bigint>>").alias("cuts"))
+    cut = F.transform(F.array(both), lambda w: F.aggregate(w, start(w), part_before, lambda acc: F.flatten(acc["cuts"])))
+    return F.reverse(F.get(cut, 0))
+
+
+def _ids(cut: Column, table: PieceTable) -> Column:
+    """The ids of a cut; those of the UTF-8 bytes of a character that no piece has."""
+
+    def utf8(c: Column) -> Column:
+        tail = lambda k: F.shiftright(c, 6 * k).bitwiseAND(F.lit(63)) + 128
+        two, three, four = (F.array(F.shiftright(c, 6 * k) + head, *[tail(j) for j in range(k - 1, -1, -1)]) for k, head in ((1, 192), (2, 224), (3, 240)))
+        return F.when(c < 128, F.array(c)).when(c < 2048, two).when(c < 65536, three).otherwise(four)
 
-    return grouped.select("unit", "n", _fold().alias("cut")).select("unit", "n", F.flatten(F.transform("cut", to_ids)).alias("ids"))
+    byte_ids = F.split(F.lit(",".join(str(table.bytes.get(b, table.unknown)) for b in range(256))), ",").cast("array<int>")
+    lost = lambda x: F.transform(utf8(_what(x) - UNKNOWN), lambda b: F.get(byte_ids, b)) if table.bytes else F.array(F.lit(table.unknown))
+    plain = F.transform(cut, lambda x: _what(x) - 1)
+    mixed = F.flatten(F.transform(cut, lambda x: F.when(_what(x) >= UNKNOWN, lost(x)).otherwise(F.array(_what(x) - 1))))
+    return F.when(F.exists(cut, lambda x: _what(x) >= UNKNOWN), mixed).otherwise(plain)
+
+
+def unit_ids(seen: DataFrame, table: PieceTable) -> DataFrame:
+    """(unit, n, ids) of the units that _distinct found, by the lattice. Units of more than PART characters are put together from the lattices of their parts."""
+    if table.longest > min(255, PART):
+        raise ValueError(f"a piece has {table.longest} characters")
+    lattice = lambda part, edges: F.array(F.struct(part.alias("part"), edges.alias("edges")))
+    grouped = edges(seen, piece_rows(seen.sparkSession, table), table.longest).groupBy("unit", "before").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("edge")).alias("edges"))
+    cut = F.when(F.col("before") == 0, _cut(lattice(F.lit(0), F.col("edges")), table))
+    of_parts = F.when((F.col("before") > 0) | (F.length("unit") == PART), F.col("edges"))
+    done = kept(grouped.select("unit", "before", "n", cut.alias("cut"), of_parts.alias("edges")).select("unit", "before", "n", _ids(F.col("cut"), table).alias("ids"), "edges"))
+    origin = lambda p: F.greatest(F.lit(0), p * PART + 1 - table.longest)
+    each = F.transform(F.sequence(F.lit(0), F.floor((F.length("whole") - 1) / PART).cast("int")), lambda p: F.struct(p.alias("part"), F.substr(F.col("whole"), origin(p) + 1, (p + 1) * PART - origin(p)).alias("unit"), (p * PART - origin(p)).alias("before")))
+    long = done.where(F.col("before") == WHOLE).select(F.col("unit").alias("whole"), "n").withColumn("key", F.sha2("whole", 256))
+    whole = long.select("key", F.inline(each)).join(done.where("edges IS NOT NULL").select("unit", "before", "edges"), ["unit", "before"])
+    whole = whole.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("part", "edges"))).alias("lattice"))
+    whole = long.join(whole, "key").select(F.col("whole").alias("unit"), "n", _cut(F.col("lattice"), table).alias("cut")).select("unit", "n", _ids(F.col("cut"), table).alias("ids"))
+    return done.where("before = 0 AND n > 0").select("unit", "n", "ids").unionByName(whole)
 
 
 class _Head:
-    """ids of frequent units: hashes in order, and their ids one after another."""
+    """ids of frequent units: hashes in order, their ids one after another, and where each leading part of a hash begins."""
 
     def __init__(self, hashes: np.ndarray, offsets: np.ndarray, ids: np.ndarray):
         order = np.argsort(hashes)
         self.hash, self.size, self.start, self.ids = hashes[order], np.diff(offsets)[order].astype(np.int32), offsets[:-1][order].astype(np.int32), ids
+        self.shift = np.uint64(64 - max(1, len(hashes).bit_length()))
+        self.begin = np.searchsorted(self.hash >> self.shift, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64)).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Where each of h is among the hashes, or -1."""
+        at = self.begin[h >> self.shift]
+        out, left = np.full(len(h), -1, np.int32), np.arange(len(h))
+        while len(left):
+            left, at = left[at < len(self.hash)], at[at < len(self.hash)]
+            met = self.hash[at]
+            out[left[met == h[left]]] = at[met == h[left]]
+            more = met < h[left]
+            left, at = left[more], at[more] + 1
+        return out
 
 
 def _packed(batches):
@@ -155,46 +256,49 @@ def _array(values: pa.Array, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
 
 
-def _parts(table: PieceTable) -> np.ndarray:
-    """What each id stands for, as bytes."""
-    parts = np.array([n.replace("\u2581", " ").encode() for n in table.names], object)
-    for byte, i in table.bytes.items():
-        parts[i] = bytes([byte])
-    return parts
+class _Parts:
+    """What each id stands for, as bytes: one after another, with where each begins and its length."""
 
+    def __init__(self, table: PieceTable):
+        each = [n.replace("\u2581", " ").encode() for n in table.names]
+        for byte, i in table.bytes.items():
+            each[i] = bytes([byte])
+        self.data = np.frombuffer(b"".join(each), np.uint8)
+        self.size = np.fromiter(map(len, each), np.int64, len(each))
+        self.begin = np.cumsum(self.size) - self.size
 
-def _texts(parts: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> list[str]:
-    """The texts of lists of ids, without the blank that encoding puts first."""
-    pieces, upto = parts[ids].tolist(), np.concatenate([[0], np.cumsum(counts)]).tolist()
-    texts = [b"".join(pieces[a:b]).decode("utf-8", "replace") for a, b in zip(upto[:-1], upto[1:], strict=True)]
-    return [t[1:] if t.startswith(" ") else t for t in texts]
+    def texts(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The texts of lists of ids, without the blank that encoding puts first."""
+        size = self.size[ids]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        data = self.data[np.repeat(self.begin[ids] - upto[:-1], size) + np.arange(upto[-1])].tobytes()
+        ends = upto[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return [t[1:] if t.startswith(" ") else t for t in texts]
 
 
 def _encoded(path: str, head, n_keep: int, verify: bool):
     """ids of each text, -1 where a unit isn't in the head; and these units, in order; with verify, whether the ids give the text back."""
 
     def run(batches):
-        table, x = PieceTable(path), head.value
-        parts = _parts(table)
+        table, x = load(path), head.value
+        parts = _Parts(table)
         for part in slices(batches):
             points, start, doc, h = table.units(part.column("text").to_pylist())
-            known = np.zeros(len(h), bool)
-            size, source = np.ones(len(h), np.int64), np.zeros(len(h), np.int64)
-            if len(x.hash):
-                at = np.minimum(np.searchsorted(x.hash, h), len(x.hash) - 1)
-                known = x.hash[at] == h
-                size, source = np.where(known, x.size[at], 1), x.start[at]
+            at = x.find(h)
+            lost, size, source = np.flatnonzero(at < 0), np.ones(len(h), np.int64), np.full(len(h), len(x.ids))
+            if len(lost) < len(h):
+                size, source = np.where(at < 0, 1, x.size[at]), np.where(at < 0, len(x.ids), x.start[at])
             first = np.concatenate([[0], np.cumsum(size)])
-            ids = np.full(first[-1], -1, np.int32)
-            use = np.repeat(known, size)
-            ids[use] = x.ids[(np.repeat(source - first[:-1], size) + np.arange(first[-1]))[use]]
-            totals, lost = np.zeros(part.num_rows, np.int64), np.flatnonzero(~known)
-            np.add.at(totals, doc, size)
+            ids = np.append(x.ids.astype(np.int32), np.int32(-1)) if len(x.ids) < first[-1] else None
+            which = np.repeat(source - first[:-1], size) + np.arange(first[-1])
+            ids = ids[which] if ids is not None else np.where(which < len(x.ids), x.ids[np.minimum(which, len(x.ids) - 1)].astype(np.int32), np.int32(-1))
+            totals = np.bincount(doc, size, part.num_rows).astype(np.int64)
             holes = np.bincount(doc[lost], minlength=part.num_rows)
             columns = [*(part.column(i) for i in range(n_keep)), _array(pa.array(ids), totals), _array(pa.array(strings(points, start, lost), pa.string()), holes)]
             names = [*(f"k{i}" for i in range(n_keep)), "ids", "holes"]
             if verify:
-                columns.append(pa.array([a == (b or "") for a, b in zip(_texts(parts, ids, totals), part.column("text").to_pylist(), strict=True)], pa.bool_()))
+                columns.append(pa.array([a == (b or "") for a, b in zip(parts.texts(ids, totals), part.column("text").to_pylist(), strict=True)], pa.bool_()))
                 names.append("round_trip")
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -233,10 +337,10 @@ def encode(df: DataFrame, model_path: str, text: str = "text", keep: list[str] |
     keep = [c for c in (df.columns if keep is None else keep) if c not in ("ids", "round_trip")[: 1 + verify]]
     names = {c: f"k{i}" for i, c in enumerate(keep)}
     kinds = "".join(f"{k} {df.schema[c].dataType.simpleString()}, " for c, k in names.items())
-    table = PieceTable(model_path)
+    table = load(model_path)
     rows = df.select(*[F.col(c).alias(k) for c, k in names.items()], F.col(text).alias("text"))
-    seen = rows.select("text").mapInArrow(_distinct(model_path), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    units = kept(unit_ids(seen, table))
+    seen = rows.select("text").mapInArrow(_distinct(model_path), "unit string, before int, n long").groupBy("unit", "before").agg(F.sum("n").alias("n"))
+    units = unit_ids(seen, table)
     whole = units.count() <= head
     frequent = units if whole else kept(units.orderBy(F.desc("n"), "unit").limit(head))
     sent = df.sparkSession.sparkContext.broadcast(_head(frequent))
@@ -258,12 +362,12 @@ def encode(df: DataFrame, model_path: str, text: str = "text", keep: list[str] |
 
 def _decoded(path: str, ids: str, n_keep: int):
     def run(batches):
-        parts = _parts(PieceTable(path))
+        parts = _Parts(load(path))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 column = part.column(ids)
-                texts = _texts(parts, column.flatten().to_numpy(), np.diff(column.offsets.to_numpy()))
+                texts = parts.texts(column.flatten().to_numpy(), np.diff(column.offsets.to_numpy()))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n_keep)), pa.array(texts, pa.string())], [*(f"k{i}" for i in range(n_keep)), "decoded"])
 
     return run

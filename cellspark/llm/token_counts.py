@@ -9,11 +9,13 @@ costs the least score less 10 and counts as one token for each UTF-8 byte.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .pieces import PieceTable, strings
+from .pieces import PieceTable, load, strings
 from .shared import slices
 
 #: Counts of so many units are remembered in a task.
@@ -50,12 +52,16 @@ class CountOnlyViterbi:
         return count[n]
 
 
+@lru_cache(2)
+def _viterbi(path: str) -> CountOnlyViterbi:
+    return CountOnlyViterbi(load(path))
+
+
 def _counted(path: str, text: str, n_keep: int):
     def run(batches):
-        table = PieceTable(path)
-        viterbi, known = CountOnlyViterbi(table), {}
+        viterbi, known = _viterbi(path), {}
         for part in slices(batches, text):
-            points, start, doc, h = table.units(part.column(text).to_pylist())
+            points, start, doc, h = viterbi.table.units(part.column(text).to_pylist())
             each, first, which = np.unique(h, return_index=True, return_inverse=True)
             keys = each.tolist()
             if len(known) > REMEMBERED:
@@ -76,6 +82,10 @@ def count_tokens(df: DataFrame, model_path: str, text: str = "text", keep: list[
     """df (or its columns `keep`) with n_tokens, the tokens of each whole text in the model's unigram cut.
 
     A null or empty text has 0. All rows stay; a column n_tokens is replaced.
+    Placeholder scores of a model (-1e8 and below) are read as its least other
+    score less 1 (see pieces.py), and sums are exact doubles. Units that a task
+    has counted are known again by a 64-bit hash: of u different units in a
+    task some u^2 / 2^65 pairs would be taken for one.
     The vocabulary file must be at model_path on every machine.
     """
     from pyspark.sql import functions as F

@@ -130,9 +130,28 @@ def test_encode_equals_library(spark, library, head):
     assert sentencepiece_lattice.encode(df.limit(0), MODEL).count() == 0
 
 
+def test_very_long_units(spark, library):
+    """Unbroken runs, some of them longer than many parts, and one that no part boundary may change."""
+    r = random.Random(4)
+    texts = ["".join(r.choice("abcdefghijklmnop") for _ in range(n)) for n in (255, 256, 257, 511, 513, 3000, 100_000)]
+    texts += ["the" * 500, "a" * 2000, "\u00e9" * 600, "b" * 256 + " " + "c" * 256, texts[1] + " " + texts[1] + "x", (texts[5] + " ") * 3]
+    for head in (1 << 20, 0):
+        out = {x["doc_id"]: x for x in sentencepiece_lattice.encode(docs(spark, texts), MODEL, keep=["doc_id"], head=head, verify=True).collect()}
+        for i, text in enumerate(texts):
+            assert out[i]["round_trip"], i
+            if len(text) < 10_000:  # sums of the library are single precision
+                assert out[i]["ids"] == library.encode(text), i
+    counts = {x["doc_id"]: x["n_tokens"] for x in token_counts.count_tokens(docs(spark, texts), MODEL).collect()}
+    assert counts == {i: len(x["ids"]) for i, x in out.items()}
+
+
 def test_counts_equal_library(spark, library):
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs(spark, TEXTS), MODEL).collect()}
     assert got == {i: len(library.encode(t or "")) for i, t in enumerate(TEXTS)}
+    more = docs(spark, TEXTS, [(5, TEXTS[5], None, None, None)] * 2).withColumnRenamed("lang", "n_tokens")
+    out = token_counts.count_tokens(more, MODEL)
+    assert out.count() == len(TEXTS) + 2 and [r["n_tokens"] for r in out.where("doc_id = 5").collect()] == [got[5]] * 3
+    assert token_counts.count_tokens(more.limit(0), MODEL).count() == 0
 
 
 # --- nearest neighbours
