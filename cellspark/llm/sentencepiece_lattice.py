@@ -98,7 +98,7 @@ def piece_rows(spark: SparkSession, table: PieceTable) -> DataFrame:
     return spark.createDataFrame(rows)
 
 
-def edges(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+def edges(units: DataFrame, pieces: DataFrame, longest: int, unknown: float) -> DataFrame:
     """unit, before, n and an edge of the lattice in each row: a piece that ends after the first `before` characters, or a character that no piece has. A whole long unit has one row, without an edge."""
     size, start = F.col("size"), F.col("start")
     many = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length("unit"), F.lit(longest))))
@@ -109,38 +109,33 @@ def edges(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     found = rows.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR size < 2")
     what = F.coalesce(F.col("id") + 1, F.ascii("piece") + UNKNOWN).cast("long")
     edge = F.shiftleft((start + size).cast("long"), 32) + F.shiftleft(size.cast("long"), 24) + what
-    return found.select("unit", "before", "n", F.when(size > 0, edge).alias("edge"))
+    return found.select("unit", "before", "n", F.when(size > 0, F.struct(edge.alias("edge"), F.coalesce("score", F.lit(unknown)).alias("score"))).alias("edge"))
 
 
 def _end(x: Column) -> Column:
-    return F.shiftright(x, 32).cast("int")
+    return F.shiftright(x["edge"], 32).cast("int")
 
 
 def _start(x: Column) -> Column:
-    return (F.shiftright(x, 32) - F.shiftright(x, 24).bitwiseAND(F.lit(255))).cast("int")
+    return (F.shiftright(x["edge"], 32) - F.shiftright(x["edge"], 24).bitwiseAND(F.lit(255))).cast("int")
 
 
 def _what(x: Column) -> Column:
     return x.bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
 
 
-def _cut(lattice: Column, table: PieceTable) -> Column:
+def _cut(lattice: Column, reach: int) -> Column:
     """The best cut: array of edges, of a lattice that is array<struct<part, edges in order>>.
 
     Forward, each part is folded into the best scores of its positions; from
-    part to part only the last `longest` ones go on. Backward, the edge that
-    has the best score of its end is taken, the longest of equal ones.
-    Positions are counted within parts, so a unit costs in proportion to its
-    length, however long it is.
+    part to part only the last `reach` ones (of the longest piece) go on.
+    Backward, the edge that has the best score of its end is taken, the longest
+    of equal ones. Positions are counted within parts, so a unit costs in
+    proportion to its length, however long it is.
     """
-    reach = table.longest
-    weights = np.full(len(table.names) + 1, table.unknown_score)
-    weights[[i + 1 for i, _ in table.pieces.values()]] = [s for _, s in table.pieces.values()]
-    weights = F.split(F.lit(",".join(map(repr, weights.tolist()))), ",").cast("array<double>")  # folded to one constant
-    score = lambda x: F.coalesce(F.get(weights, _what(x)), F.lit(table.unknown_score))
 
     def forward(acc: Column, x: Column) -> Column:
-        here = F.coalesce(F.get(acc["done"], _start(x)), acc["top"]) + score(x)  # top is the score of the position behind those done
+        here = F.coalesce(F.get(acc["done"], _start(x)), acc["top"]) + x["score"]  # top is the score of the position behind those done
         same = _end(x) == F.size(acc["done"])
         done = F.when(same, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["top"])))
         return F.struct(F.greatest(here, F.when(same, acc["top"])).alias("top"), done.alias("done"))  # greatest skips null
@@ -155,8 +150,8 @@ def _cut(lattice: Column, table: PieceTable) -> Column:
     scores = F.aggregate(lattice, F.struct(F.array(F.lit(0.0)).alias("last"), none.alias("all")), next_part, lambda acc: acc["all"])
 
     def backward(acc: Column, x: Column, best: Column) -> Column:
-        fits = (_end(x) == acc["at"]) & (F.get(best, _start(x)) + score(x) == F.get(best, acc["at"]))
-        return F.when(fits, F.struct(_start(x).alias("at"), F.concat(acc["cut"], F.array(x)).alias("cut"))).otherwise(acc)
+        fits = (_end(x) == acc["at"]) & (F.get(best, _start(x)) + x["score"] == F.get(best, acc["at"]))
+        return F.when(fits, F.struct(_start(x).alias("at"), F.concat(acc["cut"], F.array(x["edge"])).alias("cut"))).otherwise(acc)
 
     def part_before(acc: Column, p: Column) -> Column:
         begin = F.struct(acc["at"].alias("at"), F.array().cast("array<bigint>").alias("cut"))
@@ -190,8 +185,8 @@ def unit_ids(seen: DataFrame, table: PieceTable) -> DataFrame:
     if table.longest > min(255, PART):
         raise ValueError(f"a piece has {table.longest} characters")
     lattice = lambda part, edges: F.array(F.struct(part.alias("part"), edges.alias("edges")))
-    grouped = edges(seen, piece_rows(seen.sparkSession, table), table.longest).groupBy("unit", "before").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("edge")).alias("edges"))
-    cut = F.when(F.col("before") == 0, _cut(lattice(F.lit(0), F.col("edges")), table))
+    grouped = edges(seen, piece_rows(seen.sparkSession, table), table.longest, table.unknown_score).groupBy("unit", "before").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("edge")).alias("edges"))
+    cut = F.when(F.col("before") == 0, _cut(lattice(F.lit(0), F.col("edges")), table.longest))
     of_parts = F.when((F.col("before") > 0) | (F.length("unit") == PART), F.col("edges"))
     done = kept(grouped.select("unit", "before", "n", cut.alias("cut"), of_parts.alias("edges")).select("unit", "before", "n", _ids(F.col("cut"), table).alias("ids"), "edges"))
     origin = lambda p: F.greatest(F.lit(0), p * PART + 1 - table.longest)
@@ -199,22 +194,26 @@ def unit_ids(seen: DataFrame, table: PieceTable) -> DataFrame:
     long = done.where(F.col("before") == WHOLE).select(F.col("unit").alias("whole"), "n").withColumn("key", F.sha2("whole", 256))
     whole = long.select("key", F.inline(each)).join(done.where("edges IS NOT NULL").select("unit", "before", "edges"), ["unit", "before"])
     whole = whole.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("part", "edges"))).alias("lattice"))
-    whole = long.join(whole, "key").select(F.col("whole").alias("unit"), "n", _cut(F.col("lattice"), table).alias("cut")).select("unit", "n", _ids(F.col("cut"), table).alias("ids"))
+    whole = long.join(whole, "key").select(F.col("whole").alias("unit"), "n", _cut(F.col("lattice"), table.longest).alias("cut")).select("unit", "n", _ids(F.col("cut"), table).alias("ids"))
     return done.where("before = 0 AND n > 0").select("unit", "n", "ids").unionByName(whole)
 
 
 class _Head:
-    """ids of frequent units: hashes in order, their ids one after another, and where each leading part of a hash begins."""
+    """ids of frequent units: hashes in order, and their ids one after another."""
 
     def __init__(self, hashes: np.ndarray, offsets: np.ndarray, ids: np.ndarray):
         order = np.argsort(hashes)
         self.hash, self.size, self.start, self.ids = hashes[order], np.diff(offsets)[order].astype(np.int32), offsets[:-1][order].astype(np.int32), ids
-        self.shift = np.uint64(64 - max(1, len(hashes).bit_length()))
-        self.begin = np.searchsorted(self.hash >> self.shift, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64)).astype(np.int32)
+        self.begin = None
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Where each of h is among the hashes, or -1."""
-        at = self.begin[h >> self.shift]
+        shift = np.uint64(64 - max(1, len(self.hash).bit_length()))
+        if self.begin is None:  # where each leading part of a hash begins; made in the process that looks up
+            counts = np.zeros((1 << (64 - int(shift))) + 1, np.int32)
+            np.add.at(counts, (self.hash >> shift) + np.uint64(1), 1)
+            self.begin = np.cumsum(counts, dtype=np.int32)
+        at = self.begin[h >> shift]
         out, left = np.full(len(h), -1, np.int32), np.arange(len(h))
         while len(left):
             left, at = left[at < len(self.hash)], at[at < len(self.hash)]
