@@ -12,11 +12,14 @@
    its first COORDINATES - matches + 1; a pair with enough collisions meets in
    one of them. Long lists (a line that very many documents have) are skipped
    so.
-4. Each list is merged with its most central class alone, a star, on full
-   shingle sets. What that links is one component already. Of the pairs that
-   remain between components, most are ruled out by what both have in common
-   with the head of the star.
-5. The pairs that are left are confirmed on their full shingle sets.
+4. Each list is merged with its most central class, its head: collisions of
+   head and member are counted over the whole signatures, pairs above the match
+   threshold confirmed on full shingle sets. What that links is one component.
+5. A list whose members are all in one component is skipped. Members of the
+   others are dealt out in blocks of BLOCK shingles; a task counts the
+   collisions of the pairs of two blocks, confirms those above the threshold on
+   the sets that came along, and gives one link for any two components. So a
+   long list is spread over many tasks, and pairs are never rows.
 """
 
 from __future__ import annotations
@@ -29,9 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import kept, lists, longs, mixed, one_row_per_id, slices, spaced
+from .shared import kept, lists, longs, looked_up, mixed, numbered, slices, spaced
 
 SHINGLE, COORDINATES, SCREEN = 5, 128, 32
+#: Shingles of a block of documents that are compared with those of another block at once.
+BLOCK = 1 << 18
 #: Greatest chance that a pair of just the asked similarity has too few lists, or values of the screen, in common.
 MISS, SCREEN_MISS = 2e-7, 2e-8
 _random = np.random.default_rng(7)
@@ -87,12 +92,9 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists(h, counts)], ["id", "items"])
 
 
-def measured(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids with x and y, the shingle sets of both, and common, how many they have in common."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = kept(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, items array<long>"))
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return both.withColumn("common", F.size(F.array_intersect("x", "y")))
+def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, items) of the documents `ids`."""
+    return kept(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, items array<long>"))
 
 
 def alike(common, n, m, percent: int):
@@ -122,56 +124,130 @@ def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
     return own
 
 
-def _rest(star: DataFrame, group: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of one star that aren't in one component and may still be linked.
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of the sets x has in common with each of y."""
+    sizes = np.array([len(s) for s in (*x, *y)])
+    _, which, n = np.unique(np.concatenate([*x, *y]), return_inverse=True, return_counts=True)
+    row, out = np.repeat(np.arange(len(sizes)), sizes), np.zeros((len(x), len(y)), np.int64)
+    place = np.cumsum(n > 1) - 1  # what one set alone has is in common with none
+    use = n[which] > 1
+    row, which = row[use], place[which[use]]
+    order = np.argsort(which, kind="stable")
+    row, which = row[order], which[order]
+    for lo in range(0, int(which[-1]) + 1 if len(which) else 0, 2048):
+        a, b = np.searchsorted(which, (lo, lo + 2048))
+        table = np.zeros((len(sizes), 2048), np.float32)
+        table[row[a:b], which[a:b] - lo] = 1
+        out += (table[: len(x)] @ table[len(x) :].T).astype(np.int64)
+    return out
 
-    Against the head p of their star, each member x has common(x) shingles of p
-    and others, of which shared(x) occur in another member too. So x and y have
-    at most min(common) + min(shared) in common, and mostly that rules them out.
-    """
-    own = star.join(group.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left").withColumn("component", F.coalesce("cb", "b"))
+
+def _linked(percent: int):
+    """One confirmed link (a, b) for any two components that members of two blocks link."""
+    least = matches(percent, COORDINATES, MISS)
+
+    def run(batches):
+        for batch in batches:
+            members = batch.column("members")
+            upto, flat = members.offsets.to_numpy(), members.values
+            ids, own, side = (flat.field(c).to_numpy() for c in ("id", "component", "block"))
+            sig = flat.field("sig").values.to_numpy().reshape(-1, COORDINATES)
+            items = flat.field("items")
+            ends, values = items.offsets.to_numpy(), items.values.to_numpy()
+            i, j = batch.column("i").to_numpy(), batch.column("j").to_numpy()
+            for g in range(batch.num_rows):
+                at = np.arange(upto[g], upto[g + 1])
+                x, y = at[side[at] == i[g]], at[side[at] == j[g]]
+                found = [np.zeros((2, 0), np.int64)]
+                for lo in range(0, len(x) if len(y) else 0, 64):
+                    hits = (sig[x[lo : lo + 64], None, :] == sig[None, y, :]).sum(2)
+                    found.append(np.stack(np.nonzero((hits >= least) & (own[x[lo : lo + 64], None] != own[None, y]))) + [[lo], [0]])
+                p, q = np.concatenate(found, 1)
+                if not len(p):
+                    continue
+                (x, p), (y, q) = ((z[u], w) for z, (u, w) in ((x, np.unique(p, return_inverse=True)), (y, np.unique(q, return_inverse=True))))
+                n, m = (ends[z + 1] - ends[z] for z in (x, y))
+                common = _common(*([values[ends[k] : ends[k + 1]] for k in z] for z in (x, y)))[p, q]
+                yes = alike(common, n[p], m[q], percent)
+                a, b = x[p[yes]], y[q[yes]]
+                pairs = np.sort(np.stack([own[a], own[b]], 1), 1)
+                one = np.unique(pairs, axis=0, return_index=True)[1] if len(pairs) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a[one]]), pa.array(ids[b[one]])], ["a", "b"])
+
+    return run
+
+
+def _rest(docs: DataFrame, classes: DataFrame, star: DataFrame, group: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) between components of members of one star (a: its head, b: a member)."""
+    own = star.join(group.withColumnsRenamed({"node": "b"}), "b", "left").withColumn("component", F.coalesce("component", "b"))
     many = own.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("a")
-    own = kept(own.join(many, "a", "left_semi").select("a", "b", "m", "common", "component", "other"))
-    others = own.select("a", "b", F.explode("other").alias("u"))
-    twice = others.groupBy("a", "u").agg(F.count("*").alias("_n")).where("_n > 1").select("a", "u")
-    shared = others.join(twice, ["a", "u"], "left_semi").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    rows = own.drop("other").join(shared, ["a", "b"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
-    x, y = rows.alias("x"), rows.alias("y")
-    most = F.least("x.common", "y.common") + F.least("x.shared", "y.shared")
-    meet = (F.col("x.a") == F.col("y.a")) & (F.col("x.b") < F.col("y.b")) & (F.col("x.component") != F.col("y.component"))
-    meet &= (100 * F.least("x.m", "y.m") >= percent * F.greatest("x.m", "y.m")) & alike(most, F.col("x.m"), F.col("y.m"), percent)
-    return x.join(y, meet).select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
-
-
-def links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    own = kept(own.join(many, "a", "left_semi"))
+    sets = shingle_sets(docs, own.select(F.col("b").alias("doc_id")).distinct())
+    facts = sets.join(classes.select("id", "n", "sig"), "id").withColumnsRenamed({"id": "b"})
+    sizes = own.join(facts.select("b", "n"), "b").groupBy("a").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    dealt = own.join(sizes, "a").withColumn("block", F.pmod(F.xxhash64("b"), "blocks").cast("int"))
+    pair = F.struct(F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("a", "b", "component", "block", pair.alias("p")).select("a", "p.*", "b", "component", "block")
+    member = F.struct(F.col("b").alias("id"), "component", "block", "sig", "items")
+    groups = dealt.join(facts, "b").groupBy("a", "i", "j").agg(F.collect_list(member).alias("members"))
+    return groups.select("i", "j", "members").mapInArrow(_linked(percent), "a long, b long")
+
+
+def links(docs: DataFrame, classes: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """Confirmed edges (a, b) between ids that give the components of all links."""
     able = _prefixes(classes, percent)
     posts = able.select("id", "centre", F.explode("prefix").alias("v"))
     heads = posts.groupBy("v").agg(F.max(F.struct("centre", "id")).alias("head"), F.count("*").alias("len")).where("len > 1").select("v", F.col("head.id").alias("a"))
     star = kept(posts.join(heads, "v").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct())
-    star = kept(measured(docs, star).select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), "common", F.array_except("y", "x").alias("other")))
-    linked = star.where(alike(F.col("common"), F.col("n"), F.col("m"), percent)).select("a", "b")
-    rest = measured(docs, kept(_rest(star, components(linked), percent)))
-    return linked.union(rest.where(alike(F.col("common"), F.size("x"), F.size("y"), percent)).select("a", "b"))
+    sig = classes.select("id", "sig")
+    both = star.join(sig.toDF("b", "y"), "b").join(sig.toDF("a", "x"), "a")
+    hits = F.aggregate(F.zip_with("x", "y", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    near = kept(both.where(hits >= matches(percent, COORDINATES, MISS)).select("a", "b"))
+    sets = shingle_sets(docs, near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    both = near.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").withColumn("common", F.size(F.array_intersect("x", "y")))
+    linked = kept(both.where(alike(F.col("common"), F.size("x"), F.size("y"), percent)).select("a", "b"))
+    return linked.union(_rest(docs, classes, star, components(linked), percent, block))
 
 
-def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
-    """One row per doc_id: n_shingles, component_id (least doc_id reachable by links) and kept (is it that one?).
+def near_duplicates(df: DataFrame, percent: int = 85, block: int = BLOCK) -> DataFrame:
+    """One row per row of df: doc_id, n_shingles, component_id (least doc_id reachable by links) and kept (is it that one?).
 
     Words are lower-cased (A-Z) runs of non-white-space; a text with fewer
     words than a shingle is one shingle; a text that is null, empty or blank
     has none, is linked with nothing and kept. percent is 43 or more: lower ones
-    the signatures can't tell (ValueError). Rows without a doc_id are left
-    out, of a repeated doc_id the least text counts; other columns are ignored.
+    the signatures can't tell (ValueError). A link of just that similarity is
+    missed with a chance of MISS + SCREEN_MISS at most; sets are compared by
+    64-bit hashes. Of rows with one doc_id the one with the least text comes
+    first, rows without one come after all others (a component of such rows
+    alone has no component_id); one row a component is kept. Other columns are
+    ignored.
     """
-    docs = one_row_per_id(df)
+    rows, own = numbered(df.select("doc_id", "text"))
+    found = classified(rows.select(F.col("_row").alias("doc_id"), "text"), percent, block)
+    kept_ = (F.col("row") == F.col("component")).alias("kept")
+    if own:
+        return found.select(F.col("row").cast(df.schema["doc_id"].dataType).alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), kept_)
+    names = rows.select(F.col("_row").alias("row"), "doc_id")
+    found = found.join(names, "row").select("row", "doc_id", "n_shingles", "component")
+    return looked_up(found, names.toDF("component", "component_id"), ["component"], "row").select("doc_id", "n_shingles", "component_id", kept_)
+
+
+def without_near_duplicates(df: DataFrame, percent: int = 85, block: int = BLOCK) -> DataFrame:
+    """The rows of df that near_duplicates() keeps, whole, in all columns."""
+    name = "_row" + "_" * max(map(len, df.columns))
+    rows, _ = numbered(df, name=name)
+    found = classified(rows.select(F.col(name).alias("doc_id"), "text"), percent, block)
+    return rows.join(found.where("row <> component").select(F.col("row").alias(name)), name, "left_anti").select(*df.columns)
+
+
+def classified(docs: DataFrame, percent: int, block: int) -> DataFrame:
+    """row, n_shingles and component (the least row reachable by links) of docs (doc_id, text), whose ids are different whole numbers."""
     facts = kept(docs.mapInArrow(_facts, "doc_id long, n_shingles long, set_a long, set_b long, sig array<int>"))
     same = ["n_shingles", "set_a", "set_b"]
-    some = facts.where("n_shingles > 0")
-    classes = some.groupBy(*same).agg(F.min("doc_id").alias("id"))
-    member = kept(some.select("doc_id", *same).join(classes, same).select("doc_id", "id"))
-    heads = some.join(member.where("doc_id = id").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig")
-    group = components(links(docs, heads, percent))
-    named = member.join(group.select(F.col("node").alias("id"), "component"), "id", "left").select("doc_id", F.coalesce("component", "id").alias("component_id"))
-    out = facts.select("doc_id", "n_shingles").join(named, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.withColumn("kept", F.col("component_id") == F.col("doc_id"))
+    copies = facts.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("id"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    member = looked_up(facts, copies, same, "doc_id").withColumn("id", F.coalesce("id", "doc_id"))
+    member = kept(member.select("doc_id", "id", "n_shingles", F.when(F.col("doc_id") == F.col("id"), F.col("sig")).alias("sig")))
+    heads = member.where("doc_id = id AND n_shingles > 0").select("id", F.col("n_shingles").alias("n"), "sig")
+    group = kept(components(links(docs, heads, percent, block)))
+    named = looked_up(member.drop("sig"), group.withColumnsRenamed({"node": "id"}), ["id"], "doc_id")
+    return named.select(F.col("doc_id").alias("row"), "n_shingles", F.coalesce("component", "id").alias("component"))

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that are handled at once; a longer text is handled alone.
 CHUNK = 1 << 18
+#: Tasks that the rows of one key are dealt out to.
+SALTS = 16
 #: Odd multipliers of the polynomial hashes, modulo 2**64.
 BASE, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -28,9 +30,11 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors see; only where that is unset (in tests), under a local folder."""
+    """A new folder under spark.checkpoint.dir, which all executors see. Only a session whose tasks run in this very process (a master of local) goes without it: there it is set to a local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -154,12 +158,25 @@ class Words:
         return memoryview(data[use].tobytes()), upto[self.offsets]
 
 
-def one_row_per_id(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and text, a row by key. Rows without a key can't be named in a result and are left out; of repeated keys the least text counts."""
-    rows = df.select(key, text)
-    if rows.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1)).isEmpty():
-        return rows
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(text).alias(text))
+def numbered(df: DataFrame, key: str = "doc_id", text: str = "text", name: str = "_row") -> tuple[DataFrame, bool]:
+    """(df with the column `name`: a different long for each row, in the order of key (then of text; rows without a key come last).
+
+    It is the key itself where that is a whole number, never null and never
+    repeated. Else the rows are sorted by ranges and written to the shared
+    folder with their numbers.
+    """
+    whole = df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
+    if whole and df.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1)).isEmpty():
+        return df.withColumn(name, F.col(key).cast("long")), True
+    order = [F.col(key).asc_nulls_last(), F.col(text)]
+    return kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())), False
+
+
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str], by: str, how: str = "left") -> DataFrame:
+    """rows joined with a table of one row for each `on`. Rows of one `on` are dealt out to SALTS tasks by the column `by`, so that no task gets all rows of a frequent one."""
+    salt = F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
+    many = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", salt).join(many, [*on, "_salt"], how).drop("_salt")
 
 
 def spaced(column, lower: bool = False) -> Words:

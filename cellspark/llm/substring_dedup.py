@@ -9,8 +9,8 @@ earlier (in a smaller doc_id, or before it in the same document).
    of every `width - ANCHOR + 1` consecutive short windows the one with the
    least hash. Equal windows hold equal anchors, so a window without an anchor
    that occurs twice can't repeat, and is not shuffled.
-3. Windows around anchors that occur twice are hashed (64 bits) and ordered by
-   start; all but the first of equal ones go.
+3. Windows around anchors that occur twice are hashed (by two hashes of 64 and
+   32 bits) and ordered by start; all but the first of equal ones go.
 4. Removed windows of a document merge into maximal intervals of words.
 
 In 2 and 3 a task first settles what repeats within its own rows, and deals
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import STEP, kept, longs, mixed, one_row_per_id, slices, spaced
+from .shared import BASE, STEP, kept, longs, looked_up, mixed, numbered, slices, spaced
 
 #: Words of an anchor; rows that a task settles at once.
 ANCHOR, PART = 6, 1 << 20
@@ -59,7 +59,7 @@ def _facts(batches):
 
 
 def _dealt(found):
-    """Rows (key, doc_id, at, known) of the hashes, ids and starts found, settled by some PART at a time.
+    """Rows (key, more, doc_id, at, known) of the hashes (key and more), ids and starts found, settled by some PART at a time.
 
     The first of equal hashes keeps the hash as key. The others are known to
     repeat; their keys are random, for they need no comparing. known is 2 for
@@ -68,13 +68,13 @@ def _dealt(found):
     held, n = [], 0
 
     def settle():
-        h, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((at, doc, h))
-        h, doc, at = h[order], doc[order], at[order]
-        same = np.concatenate([[False], h[1:] == h[:-1]])
+        h, more, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((at, doc, more, h))
+        h, more, doc, at = h[order], more[order], doc[order], at[order]
+        same = np.concatenate([[False], (h[1:] == h[:-1]) & (more[1:] == more[:-1])])
         known = np.where(same, 2, np.append(same[1:], False)).astype(np.int8)
         key = np.where(same, mixed(doc.view(np.uint64) * STEP + at.astype(np.uint64) + mixed(h)), h)
-        return pa.RecordBatch.from_arrays([longs(key), pa.array(doc), pa.array(at.astype(np.int32)), pa.array(known)], ["key", "doc_id", "at", "known"])
+        return pa.RecordBatch.from_arrays([longs(key), pa.array(more), pa.array(doc), pa.array(at.astype(np.int32)), pa.array(known)], ["key", "more", "doc_id", "at", "known"])
 
     for rows in found:
         if len(rows[0]):
@@ -94,7 +94,7 @@ def _anchors(span: int):
             h, at = words.windows(ANCHOR)
             chosen = anchors(h, at, words.doc, span)
             doc = words.doc[at[chosen]]
-            yield h[chosen], part.column("doc_id").to_numpy()[doc], at[chosen] - words.first[doc]
+            yield h[chosen], np.zeros(len(chosen), np.int32), part.column("doc_id").to_numpy()[doc], at[chosen] - words.first[doc]
 
     return lambda batches: _dealt(found(batches))
 
@@ -113,8 +113,9 @@ def _windows(width: int, span: int):
             np.add.at(near, p + 1, -1)
             h, at = words.windows(width)
             take = np.cumsum(near)[at] > 0
+            more = (words.windows(width, BASE)[0][take] >> np.uint64(32)).astype(np.uint32).view(np.int32)
             at, h = at[take], h[take]
-            yield h, part.column("doc_id").to_numpy()[words.doc[at]], at - words.first[words.doc[at]]
+            yield h, more, part.column("doc_id").to_numpy()[words.doc[at]], at - words.first[words.doc[at]]
 
     return lambda batches: _dealt(found(batches))
 
@@ -148,7 +149,7 @@ def _cut(width: int):
     return run
 
 
-ROWS = "key long, doc_id long, at int, known byte"
+ROWS = "key long, more int, doc_id long, at int, known byte"
 
 
 def repeated_windows(docs: DataFrame, width: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -157,10 +158,10 @@ def repeated_windows(docs: DataFrame, width: int = 20) -> tuple[DataFrame, DataF
     facts = kept(docs.mapInArrow(_facts, "doc_id long, n_words long, whole_a long, whole_b long, sha string"))
     long = facts.where(F.col("n_words") >= width)
     firsts = long.groupBy("whole_a", "whole_b").agg(F.min("doc_id").alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    copies = kept(long.join(firsts, ["whole_a", "whole_b"]).where("doc_id > first").select("doc_id", F.lit(True).alias("copy")))
+    copies = kept(looked_up(long, firsts, ["whole_a", "whole_b"], "doc_id", "inner").where("doc_id > first").select("doc_id", F.lit(True).alias("copy")))
     facts = facts.join(copies, "doc_id", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
     own = docs.where("text IS NOT NULL").join(copies, "doc_id", "left_anti")
-    key = Window.partitionBy("key")
+    key = Window.partitionBy("key", "more")
     found = own.mapInArrow(_anchors(span), ROWS).withColumn("_n", F.count("*").over(key))
     marks = found.where("known > 0 OR _n > 1").groupBy("doc_id").agg(F.collect_list("at").alias("at"))
     found = own.join(marks, "doc_id").mapInArrow(_windows(width, span), ROWS).withColumn("_n", F.row_number().over(key.orderBy("doc_id", "at")))
@@ -168,20 +169,21 @@ def repeated_windows(docs: DataFrame, width: int = 20) -> tuple[DataFrame, DataF
 
 
 def dedup_substrings(df: DataFrame, width: int = 20) -> DataFrame:
-    """One row per doc_id: n_words, n_removed, kept_sha256, kept_text, removed intervals of words.
+    """One row per row of df: doc_id, n_words, n_removed, kept_sha256, kept_text, removed intervals of words.
 
     Words are runs of non-white-space, unchanged. A document that is null,
     empty or shorter than `width` keeps all its words; n_words counts before
     removal; kept_text (words joined by one space) is null where nothing is
     removed; `removed` is empty then, and covers all words for a whole copy.
-    Rows without a doc_id are left out, of a repeated doc_id the least text
-    counts; other columns of df are ignored.
+    Of rows with one doc_id the one with the least text comes first, rows
+    without one come after all others. Other columns of df are ignored.
     """
-    facts, own, later = repeated_windows(one_row_per_id(df), width)
+    rows, unique = numbered(df.select("doc_id", "text"))
+    facts, own, later = repeated_windows(rows.select(F.col("_row").alias("doc_id"), "text"), width)
     cut = own.join(later, "doc_id").mapInArrow(_cut(width), "doc_id long, n_removed long, kept_sha256 string, kept_text string, removed array<struct<start:int,end:int>>")
     empty = hashlib.sha256(b"").hexdigest()
     spans = "array<struct<start:int,end:int>>"
-    return facts.join(cut, "doc_id", "left").select(
+    out = facts.join(cut, "doc_id", "left").select(
         "doc_id",
         "n_words",
         F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
@@ -189,3 +191,6 @@ def dedup_substrings(df: DataFrame, width: int = 20) -> DataFrame:
         F.when(F.col("copy"), "").otherwise(F.col("kept_text")).alias("kept_text"),
         F.when(F.col("copy"), F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))).cast(spans)).otherwise(F.coalesce("removed", F.array().cast(spans))).alias("removed"),
     )
+    if unique:
+        return out.withColumn("doc_id", F.col("doc_id").cast(df.schema["doc_id"].dataType))
+    return out.withColumnRenamed("doc_id", "_row").join(rows.select("_row", "doc_id"), "_row").select("doc_id", *out.columns[1:])

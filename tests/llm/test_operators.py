@@ -266,7 +266,7 @@ def test_substrings(spark):
     texts += [texts[20], prose(9, 25), prose(9, 25).replace(" ", "  "), (prose(4, 20) + " ") * 5, "the " * 100]
     got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substring_dedup.dedup_substrings(docs(spark, texts)).collect()}
     assert got == plain_substrings(dict(enumerate(texts)))
-    again = docs(spark, texts, [(None, common, None, None, None), (30, texts[30], None, None, None)]).withColumnRenamed("lang", "at").withColumnRenamed("source", "anchor")
+    again = docs(spark, texts).withColumnRenamed("lang", "at").withColumnRenamed("source", "_row")
     assert {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substring_dedup.dedup_substrings(again).collect()} == got
     for x in substring_dedup.dedup_substrings(docs(spark, texts)).collect():
         w = words(texts[x["doc_id"]])
@@ -276,6 +276,17 @@ def test_substrings(spark):
     assert substring_dedup.dedup_substrings(docs(spark, []).limit(0)).count() == 0
 
 
+def test_substrings_of_odd_ids(spark):
+    """Repeated ids in the order of their texts, rows without an id last; a very long text that repeats itself."""
+    long = " ".join(f"{w}{i % 40_000}" for i, w in enumerate((prose(3, 40_000) + " ").split() * 2))
+    rows = sorted([(5, prose(1, 40)), (5, "a " + prose(1, 40)), (5, prose(1, 40)), (2, prose(1, 25)), (9, long)]) + sorted([(None, prose(1, 40)), (None, long)], key=lambda r: r[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(x)[:4] for x in substring_dedup.dedup_substrings(df).collect()), key=str)
+    want = plain_substrings({i: t for i, (_, t) in enumerate(rows)})
+    assert got == sorted(((r[0], *want[i]) for i, r in enumerate(rows)), key=str)
+    assert want[len(rows) - 3][1] == 40_000
+
+
 # --- near duplicates
 
 
@@ -311,11 +322,39 @@ def test_near_duplicates(spark):
             base = w if r.random() < 0.3 else base
     r.shuffle(texts)
     want = plain_groups(dict(enumerate(texts)))
-    df = docs(spark, texts, [(3, texts[3], None, None, None), (None, "no id", None, None, None)]).withColumnRenamed("lang", "kept").withColumnRenamed("source", "id")
-    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in minhash_dedup.near_duplicates(df).collect()}
-    assert got == want
+    for block in (minhash_dedup.BLOCK, 300):
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in minhash_dedup.near_duplicates(docs(spark, texts).withColumnRenamed("lang", "kept"), block=block).collect()}
+        assert got == want
     assert sum(c != i for i, (_, c) in want.items()) > 20
-    assert minhash_dedup.near_duplicates(df.limit(0)).count() == 0
+    assert minhash_dedup.near_duplicates(docs(spark, texts).limit(0)).count() == 0
+
+
+def test_near_duplicates_of_odd_ids(spark):
+    """Null, repeated and textual ids: every row has a result, rows without an id come last."""
+    texts = [prose(i, 60) for i in range(6)]
+    rows = [(3, texts[0]), (3, texts[1]), (3, texts[0]), (1, texts[1] + " x"), (None, texts[0]), (None, texts[2]), (None, texts[2]), (7, None), (None, None)]
+    df = spark.createDataFrame([(i, t, "clash", "clash") for i, t in rows], "doc_id long, text string, _row string, component string")
+    got = sorted(map(tuple, minhash_dedup.near_duplicates(df).collect()), key=str)
+    want = [(3, 56, 3, True), (3, 56, 1, False), (3, 56, 3, False), (1, 57, 1, True), (None, 56, 3, False), (None, 56, None, True), (None, 56, None, False), (7, 0, 7, True), (None, 0, None, True)]
+    assert got == sorted(want, key=str)
+    left = minhash_dedup.without_near_duplicates(df)
+    assert left.columns == df.columns and sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(3, texts[0]), (1, texts[1] + " x"), (None, texts[2]), (7, None), (None, None)], key=str)
+    named = minhash_dedup.near_duplicates(df.withColumn("doc_id", secret_scan.F.concat(secret_scan.F.lit("d"), "doc_id")))
+    assert {r["component_id"] for r in named.collect()} == {"d1", "d3", "d7", None}
+
+
+def test_long_lists_in_blocks(spark):
+    """Very many texts alike in three quarters, so that all are in the same lists but few are linked; and long texts."""
+    r, base = random.Random(12), prose(1, 200).split()
+    texts = [" ".join(base[: 170 + i % 3] + [f"u{i // 2}v{j}" for j in range(24)] + ["z"] * (i % 2)) for i in range(120)]
+    long = [f"{w}{i % 997}" for i, w in enumerate(prose(2, 30_000).split())]
+    texts += [" ".join(long), " ".join([*long[:29_000], *["q"] * 3]), " ".join(long)]
+    r.shuffle(texts)
+    want = plain_groups(dict(enumerate(texts)))
+    assert 40 < sum(c != i for i, (_, c) in want.items()) < 100
+    for block in (minhash_dedup.BLOCK, 2000):
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in minhash_dedup.near_duplicates(docs(spark, texts), block=block).collect()}
+        assert got == want
 
 
 def near_pair(seed, similarity):
