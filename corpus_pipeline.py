@@ -30,8 +30,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of linked ones."""
-    others = minhash_dedup.near_duplicates(docs, ALIKE).where(~F.col("kept")).select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    return minhash_dedup.without_near_duplicates(docs, ALIKE)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
