@@ -409,7 +409,23 @@ def test_leaks(spark):
     for block in (1 << 24, 200):
         got = {(r["doc_id"], r["item_id"]): (r["doc_start"], r["item_start"], r["n_overlap"], r["n_equal"]) for r in decontaminate.leaks(df, bench, block).collect()}
         assert got == {(n + 1, 0): (20, 0, 30, 30), (n + 2, 1): (0, 0, 40, 37), (n + 3, 3): (0, 0, 9, 9), (n + 5, 5): (0, 10, 13, 13), (n + 6, 5): (10, 20, 25, 25)}
-    assert decontaminate.leaks(df.limit(0), bench).count() == 0 == decontaminate.leaks(df, bench.limit(0)).count()
+        assert decontaminate.leaks(df.limit(0), bench, block).count() == 0
+        short = decontaminate.leaks(df, bench, block, shortest=5).where("item_id = 4").collect()
+        assert sorted((r["doc_id"], r["n_overlap"], r["n_equal"]) for r in short) == [(n + 3, 5, 5), (n + 7, 5, 5)]
+    assert decontaminate.leaks(df, bench.limit(0)).count() == 0
+
+
+def test_leaks_of_odd_rows(spark):
+    """Ids of any type, null and repeated ones, repeated items, a very long text; by both ways."""
+    item = prose(41, 30)
+    long = prose(42, 60_000) + " " + item + " " + prose(43, 60_000)
+    df = spark.createDataFrame([("a", item), ("a", item), (None, "x " + item), ("b", prose(44, 50)), ("c", long), (None, None)], "doc_id string, text string").withColumn("row", secret_scan.F.lit("clash"))
+    bench = spark.createDataFrame([("i", item), ("i", item), (None, prose(44, 50)), ("j", prose(45, 20))], "item_id string, text string")
+    want = sorted([("a", "i", 0, 0, 30, 30)] * 4 + [(None, "i", 1, 0, 30, 30)] * 2 + [("c", "i", 60_000, 0, 30, 30)] * 2, key=str)
+    for block in (1 << 24, 100):
+        assert sorted(map(tuple, decontaminate.leaks(df, bench, block).collect()), key=str) == want
+    left = decontaminate.without_leaks(df, bench)
+    assert left.columns == df.columns and sorted((r["doc_id"] for r in left.collect()), key=str) == [None, "b"]
 
 
 def test_all_changes(spark):
@@ -426,8 +442,9 @@ def test_all_changes(spark):
                 if hi - lo >= min(decontaminate.WINDOW, n) and (found := decontaminate.overlap(a[start + lo : start + hi], b[lo:hi])):
                     want[len(texts), n] = (start + lo + found[0], lo + found[0], found[1] - found[0], found[2])
             texts.append(" ".join(text))
-    got = {(r["doc_id"], r["item_id"]): (r["doc_start"], r["item_start"], r["n_overlap"], r["n_equal"]) for r in decontaminate.leaks(docs(spark, texts), bench).collect()}
-    assert got == want
+    for block in (1 << 24, 100):
+        got = {(r["doc_id"], r["item_id"]): (r["doc_start"], r["item_start"], r["n_overlap"], r["n_equal"]) for r in decontaminate.leaks(docs(spark, texts), bench, block).collect()}
+        assert got == want
     assert {(len(items[i]), len(items[i]) - x[3]) for (_, i), x in want.items()} >= {(n, k) for n in range(decontaminate.SPAN, decontaminate.WINDOW + 1) for k in range(n // 6 + 1)}
 
 
