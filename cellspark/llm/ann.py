@@ -1,13 +1,14 @@
 """Approximate nearest neighbours: NN-descent builds a neighbour graph, greedy search answers queries.
 
-Equal vectors are one point of the graph. The graph starts from blocks of
-points that lie near each other along random directions. In each round of
-NN-descent every point meets the neighbours of its neighbours: a point sends
-its vector to its neighbours and to those whose neighbour it is; at each
-meeting place all pairs are compared and better neighbours sent back. One
+Equal vectors are one point of the graph. The graph starts from small blocks
+of points that lie near each other along random directions: a rough guess. In
+each round of NN-descent every point meets the neighbours of its neighbours: a
+point sends its vector to its neighbours and to those whose neighbour it is; at
+each meeting place all pairs are compared and better neighbours sent back. One
 round is two joins and two groupings, of a bounded number of rows a point:
 reverse neighbours beyond LINKS are left to later rounds (all forward ones
-count), which is the sampling of NN-descent.
+count), which is the sampling of NN-descent. Rounds go on until at most one
+link in SETTLED is new.
 
 A query walks the graph in rounds of joins: the best BEAM points known are
 opened, their neighbours measured, until no unopened point is among them.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .shared import kept
 
-LINKS, TREES, BLOCK, ROUNDS, BEAM, STEPS, ENTRIES = 32, 4, 4000, 3, 160, 12, 16
+LINKS, TREES, BLOCK, SETTLED, BEAM, ENTRIES = 32, 4, 256, 50, 160, 16
 
 
 def valid(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -34,6 +35,12 @@ def valid(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") ->
     return vectors.where(F.col(key).isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
 
 
+def usual_length(rows: DataFrame) -> int:
+    """The length that most vectors have (the greatest, of equally frequent ones); 0 without rows."""
+    row = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    return row["n"] if row else 0
+
+
 def _matrix(column) -> np.ndarray:
     offsets = column.offsets.to_numpy()
     values = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
@@ -109,7 +116,7 @@ def _meet(links: int):
     return run
 
 
-def build_graph(points: DataFrame, links: int = LINKS, trees: int = TREES, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
+def build_graph(points: DataFrame, links: int = LINKS, trees: int = TREES, block: int = BLOCK, settled: int = SETTLED) -> DataFrame:
     """(id, near): about the `links` nearest points of each of the points (id, v)."""
     n = points.count()
     if n < 2:
@@ -123,7 +130,8 @@ def build_graph(points: DataFrame, links: int = LINKS, trees: int = TREES, block
         near = points.withColumn("p", along).repartitionByRange(parts, "p").sortWithinPartitions("p").select("id", "v").mapInArrow(_blocks(links, block), given)
         pairs = near if pairs is None else pairs.union(near)
     graph = kept(_top(pairs, links))
-    for _ in range(rounds):
+    links_, new = n * min(links, n - 1), n * links
+    while new * settled > links_:  # a new link is a nearer one, so this ends
         forward = graph.select("id", F.explode("near").alias("e")).select("id", F.col("e.other").alias("other"))
         order = Window.partitionBy("id").orderBy(F.xxhash64("id", "other"), "other")
         back = forward.select(F.col("other").alias("id"), F.col("id").alias("other")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= links).drop("r")
@@ -132,7 +140,10 @@ def build_graph(points: DataFrame, links: int = LINKS, trees: int = TREES, block
         sent = points.join(far, "id").join(places, "id").select(F.explode("places").alias("place"), F.struct("id", "far", "v").alias("m"))
         found = sent.groupBy("place").agg(F.collect_list("m").alias("members")).select("members").mapInArrow(_meet(links), given)
         old = graph.select("id", F.explode("near").alias("e")).select("id", F.col("e.other").alias("other"), F.col("e.d").cast("float").alias("d"))
-        graph = kept(_top(old.union(found), links))
+        now = kept(_top(old.union(found), links))
+        each = now.select("id", F.explode("near").alias("e")).select("id", F.col("e.other").alias("other"))
+        new = each.join(old.select("id", "other"), ["id", "other"], "left_anti").count()
+        graph = now
     return graph
 
 
@@ -140,7 +151,7 @@ def _squared(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
-def search(points: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAM, steps: int = STEPS, entries: int = ENTRIES) -> DataFrame:
+def search(points: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAM, entries: int = ENTRIES) -> DataFrame:
     """(qid, id, d): up to `beam` points that greedy search finds for each of the queries (qid, v), with squared distances."""
     sent = queries.select("qid", F.col("v").alias("q"))
     first = points.select("id").orderBy(F.xxhash64("id"), "id").limit(entries).agg(F.collect_list("id").alias("ids"))
@@ -155,7 +166,7 @@ def search(points: DataFrame, graph: DataFrame, queries: DataFrame, beam: int =
         return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= beam).drop("r")
 
     now = kept(best(measured(start)))
-    for _ in range(steps):
+    while True:  # each step opens points that were not open
         closed = now.where(~F.col("open"))
         if closed.isEmpty():
             break
@@ -170,12 +181,14 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, key:
 
     score is the Euclidean distance in double precision; ties go to the smaller
     id, and no query finds itself. Rows whose key or vector is null, or whose
-    vector is zero or holds a null or non-finite component, take no part. All
-    vectors must have one length. Equal vectors are one point of the graph, of
+    vector is zero, holds a null or non-finite component or hasn't the length that
+    most have, take no part. Equal vectors are one point of the graph, of
     which the k + 1 smallest ids can be found; rows with one id and one vector
     count once. Other columns are ignored.
     """
-    rows = valid(vectors, key, vector).distinct()
+    rows = valid(vectors, key, vector)
+    length = usual_length(rows)
+    rows = rows.where(F.size("v") == length).distinct()
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(32)))
     for by in (["v", "salt"], ["v"]):  # a vector that very many rows have is cut down in parts first
         salted = salted.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("r") <= k + 1).drop("r")

@@ -162,9 +162,9 @@ def test_neighbours(spark):
     x = r.normal(size=(900, 8)).astype(np.float32)
     x[100:300] = x[7]
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
-    rows += [(900, None, 1), (1000, [0.0] * 8, 1), (1100, [float("nan")] + [1.0] * 7, 1), (1200, [None] + [1.0] * 7, 1), (None, [1.0] * 8, 1), (0, x[0].tolist(), 1)]
+    rows += [(900, None, 1), (1000, [0.0] * 8, 1), (1100, [float("nan")] + [1.0] * 7, 1), (1200, [None] + [1.0] * 7, 1), (None, [1.0] * 8, 1), (1300, [1.0] * 7, 1), (0, x[0].tolist(), 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    got = ann.nearest_neighbours(df, df.where("vec_id % 100 = 0"), 10, links=10, trees=2, block=150, rounds=3).collect()
+    got = ann.nearest_neighbours(df, df.where("vec_id % 100 = 0"), 10, links=20, trees=2, block=60).collect()
     found = {q: [(row["vec_id"], row["score"]) for row in sorted(g, key=lambda z: z["rank"])] for q, g in itertools.groupby(sorted(got, key=lambda z: z["query_id"]), key=lambda z: z["query_id"])}
     assert set(found) == set(range(0, 900, 100))
     hits = 0
