@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -179,7 +180,7 @@ def rarity_weights(df: DataFrame, group: str, bin_: str, target: float, most: in
     by = df.groupBy(group, bin_).agg(F.count("*").alias("_n"))
     of_group = Window.partitionBy(group)
     by = by.withColumn("_g", F.sum("_n").over(of_group)).withColumn("_all", F.sum("_n").over(total)).withColumn("_rarity", 1 / ((F.col("_g") / F.col("_all")) * (F.col("_n") / F.col("_g"))))
-    rows = df.join(F.broadcast(by.select(group, bin_, "_rarity")), [group, bin_])
+    rows = df.join(by.select(group, bin_, "_rarity"), [group, bin_])
     middle = rows.agg(F.median("_rarity").alias("_m"))
     return rows.crossJoin(F.broadcast(middle)).withColumn("n_copies", F.least(F.lit(most), F.round(target * F.col("_rarity") / F.col("_m"))).cast("int")).drop("_rarity", "_m")
 
@@ -205,7 +206,8 @@ def dedup_radius(df: DataFrame, by: list[str], key: str, vec: str, order: str, s
     def thin(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key).reset_index(drop=True)
         x = np.stack(pdf[vec].to_numpy())
-        near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) < radius
+        x = x.astype(float)
+        near = (x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T < radius * radius
         s, left = pdf[score].to_numpy(), np.ones(len(pdf), bool)
         while True:
             n = (near & left[None]).sum(1) * left
@@ -218,61 +220,3 @@ def dedup_radius(df: DataFrame, by: list[str], key: str, vec: str, order: str, s
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.groupBy(*by, "_block").applyInPandas(thin, names).drop("_block")
-
-
-def refine(patterns: DataFrame, candidates: DataFrame, refs: np.ndarray, steps: int, drop: int, seed: int = 0) -> DataFrame:
-    """(pattern_id, candidate_id, xnn, m20) after random-subsampling refinement.
-
-    patterns: (pattern_id, q array), candidates: (pattern_id, candidate_id,
-    xnn array). Each step assigns all peaks to the nearest reference, leaves
-    `drop` of them out at random (none in the first step), solves the weighted
-    least squares and keeps the cell if its figure of merit grew. refs: the
-    terms of the references, a fixed small table. Candidates are independent;
-    all steps run inside one pass over their rows.
-    """
-
-    def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            q = np.stack(pdf["q"].to_numpy())
-            x = np.stack(pdf["xnn"].to_numpy()).astype(float)
-            n, m = q.shape
-            scores = np.full(n, -1.0)
-            best = x.copy()
-
-            def assign(x):
-                ref = x @ refs.T
-                order = np.argsort(ref, axis=1, kind="stable")
-                sorted_ = np.take_along_axis(ref, order, 1)
-                at = np.stack([np.searchsorted(sorted_[i], q[i]) for i in range(n)])
-                lo, hi = np.maximum(at - 1, 0), np.minimum(at, sorted_.shape[1] - 1)
-                use = np.where(np.abs(np.take_along_axis(sorted_, lo, 1) - q) <= np.abs(np.take_along_axis(sorted_, hi, 1) - q), lo, hi)
-                calc = np.take_along_axis(sorted_, use, 1)
-                below = (sorted_ < calc[:, -1:]).sum(1)
-                error = np.abs(calc - q).mean(1)
-                top = sorted_[np.arange(n), np.maximum(below - 1, 0)]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    merit = np.where((below > 0) & (error > 0), top / (2 * below) / error, 0.0)
-                return refs[np.take_along_axis(order, use, 1)], calc, merit
-
-            terms, calc, scores = assign(best)
-            for step in range(steps):
-                weight = 1 / (q * (np.abs(q - calc) + 1e-10))
-                if step and drop:
-                    for i, (a, b) in enumerate(zip(pdf["pattern_id"], pdf["candidate_id"], strict=True)):
-                        weight[i, np.random.default_rng([seed, step, int(a), int(b)]).choice(m, drop, replace=False)] = 0
-                h = np.einsum("npi,npj,np->nij", terms, terms, weight)
-                g = np.einsum("npi,np,np->ni", terms, q, weight)
-                ok = np.linalg.matrix_rank(h) == h.shape[1]
-                new = best.copy()
-                if ok.any():
-                    new[ok] = np.linalg.solve(h[ok], g[ok][..., None])[..., 0]
-                new = np.where((new > 0).all(1, keepdims=True), new, best)
-                t, c, s = assign(new)
-                up = s > scores
-                best[up], terms[up], calc[up], scores[up] = new[up], t[up], c[up], s[up]
-            yield pd.DataFrame({"pattern_id": pdf["pattern_id"], "candidate_id": pdf["candidate_id"], "xnn": list(best), "m20": scores})
-
-    rows = candidates.join(patterns, "pattern_id").select("pattern_id", "candidate_id", "xnn", "q")
-    return rows.mapInPandas(run, "pattern_id long, candidate_id int, xnn array<double>, m20 double")

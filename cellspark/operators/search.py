@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,29 +84,31 @@ def cubic_search(peaks: DataFrame, sums: list[int], starts: int = 12, n_peaks: i
     for each of the first sums of squared indices in turn; all peaks are
     assigned to the nearest reference, one least squares step refines the cell,
     and it stays if the figure of merit grew. One grouping gathers a pattern
-    (n_peaks values); everything after it runs inside the row.
+    (n_peaks values); all its starts are scored in one pass, a batch at once.
     """
-    arrays = peaks.where(F.col("peak_index") < n_peaks).groupBy("pattern_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("peak_index", "q2"))), lambda p: p["q2"]).alias("q"))
-    arrays = arrays.where(F.size("q") == n_peaks)
-    s = F.split(F.lit(",".join(map(str, sums))), ",").cast("array<double>")
-    rows = arrays.withColumn("candidate_id", F.explode(F.sequence(F.lit(0), F.lit(starts - 1)))).withColumn("x", F.get("q", F.lit(0)) / F.get(s, F.col("candidate_id")))
-
-    def scored(df: DataFrame, x: str, suffix: str) -> DataFrame:
-        df = df.withColumn(f"i{suffix}", F.transform("q", lambda q: F.array_min(F.transform(s, lambda r, i: F.struct(F.abs(r * F.col(x) - q).alias("d"), i.alias("i"))))["i"]))
-        df = df.withColumn(f"c{suffix}", F.transform(f"i{suffix}", lambda i: F.get(s, i) * F.col(x)))
-        return df.withColumn(f"m{suffix}", m20(F.col("q"), F.col(f"c{suffix}"), F.transform(s, lambda r: r * F.col(x))))
-
-    rows = scored(rows, "x", "0")
-    pairs = F.arrays_zip(F.col("q").alias("q"), F.col("c0").alias("c"), F.transform("i0", lambda i: F.get(s, i)).alias("t"))
-    weight = lambda p: 1 / (p["q"] * (F.abs(p["q"] - p["c"]) + 1e-10))
-    up = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["t"] * p["q"] * weight(p))
-    down = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["t"] * p["t"] * weight(p))
-    rows = scored(rows.withColumn("y", up / down), "y", "1")
-    better = F.col("m1") > F.col("m0")
-    best = rows.select("pattern_id", "candidate_id", F.when(better, F.col("y")).otherwise(F.col("x")).alias("x"), F.greatest("m0", "m1").alias("m20"))
     from cellspark.operators.curation import top_n
+    from cellspark.operators.indexing import assign
 
-    return top_n(best, ["pattern_id"], [F.col("m20").desc(), F.col("candidate_id")], top)
+    arrays = peaks.where(F.col("peak_index") < n_peaks).groupBy("pattern_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("peak_index", "q2"))), lambda p: p["q2"]).alias("q"))
+    refs = np.array(sums, float)[:, None]
+
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            q = np.repeat(np.stack(pdf["q"].to_numpy()).astype(float), starts, 0)
+            x = q[:, :1] / np.tile(refs[:starts], (len(pdf), 1))
+            at, calc, old = assign(q, x, refs)
+            terms = refs[at, 0]
+            weight = q * (np.abs(q - calc) + 1e-10)
+            up, down = (reduce(np.add, (terms * z / weight).T) for z in (q, terms))
+            y = (up / down)[:, None]
+            new = assign(q, y, refs)[2]
+            better = new > old
+            yield pd.DataFrame({"pattern_id": np.repeat(pdf["pattern_id"].to_numpy(), starts), "candidate_id": np.tile(np.arange(starts, dtype=np.int32), len(pdf)), "x": np.where(better, y[:, 0], x[:, 0]), "m20": np.where(better, new, old)})
+
+    found = arrays.where(F.size("q") == n_peaks).mapInPandas(run, "pattern_id long, candidate_id int, x double, m20 double")
+    return top_n(found, ["pattern_id"], [F.col("m20").desc(), F.col("candidate_id")], top)
 
 
 def keep_improved(old: DataFrame, new: DataFrame, key: list[str], score: str) -> DataFrame:

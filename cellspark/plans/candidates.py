@@ -1,12 +1,11 @@
 """Queries on validation, noise, generation and refinement of entries and candidates."""
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from cellspark.functions import cell, symbols, symmetry
 from cellspark.operators import candidates as op
 from cellspark.operators import search
-from cellspark.operators.curation import ranked, top_n
+from cellspark.operators.curation import ranked
 from cellspark.plans.geometry import _LATTICE, _LSYSTEM, _ROOT, _SYSTEM
 from cellspark.plans.peaks import _SUMS, arrays
 from cellspark.plans.registry import query
@@ -195,19 +194,10 @@ def w9_thin_peaks(spark, sf_dir):
     return op.thin_peaks(arrays(spark, sf_dir), "pattern_id", "q2", 0.8, 0.001)
 
 
-@query()
-def c3_refine(spark, sf_dir):
-    """Orthorhombic candidates around a first guess, refined by random subsampling; the best 3 of each pattern."""
-    patterns = arrays(spark, sf_dir, "first_peaks").where(F.size("q2") == 10).select("pattern_id", F.col("q2").alias("q"))
-    refs = np.array([[h * h, k * k, m * m] for h in range(4) for k in range(4) for m in range(4) if h + k + m], float)
-    start = patterns.withColumn("candidate_id", F.explode(F.sequence(F.lit(0), F.lit(7)))).select("pattern_id", "candidate_id", F.array(*[F.get("q", F.lit(i)) * (0.5 + op.uniform(f"c3{i}", "pattern_id", "candidate_id")) for i in range(3)]).alias("xnn"))
-    return top_n(op.refine(patterns, start, refs, 10, 3), ["pattern_id"], [F.desc("m20"), F.col("candidate_id")], 3)
-
-
 @query(f"""{WITH['first_peaks']}, a AS (SELECT pattern_id, list(q2 ORDER BY peak_index) AS q FROM v GROUP BY 1), s AS (SELECT {_SUMS}::DOUBLE[] AS s), c AS (SELECT pattern_id, q, f, q[1] * f * f AS x, s FROM a, s, (VALUES (0.5e0), (1e0), (2e0)) t(f) WHERE len(q) = 10),
 n AS (SELECT *, list_transform(q, lambda z: s[list_min(list_transform(range(1, {len(_SUMS) + 1}), lambda k: {{'d': abs(s[k] * x - z), 'k': k}})).k] * x) AS c FROM c),
 m AS (SELECT pattern_id, f, len(list_filter(s, lambda r: r * x < c[10])) AS n, list_max(list_filter(s, lambda r: r * x < c[10])) * x AS g, list_sum(list_transform(list_zip(q, c), lambda z: abs(z[1] - z[2]))) / 10 AS e FROM n),
-w AS (SELECT pattern_id, f, CASE WHEN n > 0 AND e > 0 THEN g / (2 * n) / e ELSE 0 END AS m FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY m DESC, f) AS k FROM w) SELECT pattern_id, f AS factor, round(m, 5) AS m20 FROM r WHERE k = 1""")
+w AS (SELECT pattern_id, f, CASE WHEN n = 0 THEN 0 WHEN e > 0 THEN g / (2 * n) / e ELSE 'inf'::DOUBLE END AS m FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY m DESC, f) AS k FROM w) SELECT pattern_id, f AS factor, round(m, 5) AS m20 FROM r WHERE k = 1""")
 def c6_correct_multiples(spark, sf_dir):
     """The best of a cubic cell's multiples, by figure of merit."""
     s = F.split(F.lit(",".join(map(str, _SUMS))), ",").cast("array<double>")

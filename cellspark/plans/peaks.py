@@ -262,7 +262,7 @@ l AS (SELECT *, list_sum(list_transform(list_zip(q, t), lambda z: z[2] * z[1] /
 f AS (SELECT *, list_transform(q, lambda z: s[list_min(list_transform(range(1, {len(_SUMS) + 1}), lambda k: {{'d': abs(s[k] * y - z), 'k': k}})).k]) AS u FROM l),
 m AS (SELECT pattern_id, candidate_id, x, y, len(list_filter(s, lambda r: r < t[10])) AS n0, list_max(list_filter(s, lambda r: r < t[10])) * x AS g0, list_sum(list_transform(list_zip(q, t), lambda z: abs(z[1] - z[2] * x))) / 10 AS e0,
   len(list_filter(s, lambda r: r < u[10])) AS n1, list_max(list_filter(s, lambda r: r < u[10])) * y AS g1, list_sum(list_transform(list_zip(q, u), lambda z: abs(z[1] - z[2] * y))) / 10 AS e1 FROM f),
-w AS (SELECT pattern_id, candidate_id, x, y, CASE WHEN n0 > 0 AND e0 > 0 THEN g0 / (2 * n0) / e0 ELSE 0 END AS m0, CASE WHEN n1 > 0 AND e1 > 0 THEN g1 / (2 * n1) / e1 ELSE 0 END AS m1 FROM m),
+w AS (SELECT pattern_id, candidate_id, x, y, CASE WHEN n0 = 0 THEN 0 WHEN e0 > 0 THEN g0 / (2 * n0) / e0 ELSE 'inf'::DOUBLE END AS m0, CASE WHEN n1 = 0 THEN 0 WHEN e1 > 0 THEN g1 / (2 * n1) / e1 ELSE 'inf'::DOUBLE END AS m1 FROM m),
 b AS (SELECT pattern_id, candidate_id, CASE WHEN m1 > m0 THEN y ELSE x END AS x, greatest(m0, m1) AS m20 FROM w), k AS (SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY m20 DESC, candidate_id) AS k FROM b)
 SELECT pattern_id, candidate_id, round(x, 9) AS x, round(m20, 5) AS m20 FROM k WHERE k <= 5""")
 def c8_cubic_search(spark, sf_dir):

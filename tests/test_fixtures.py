@@ -146,18 +146,6 @@ def test_search_recovers_cell(spark):
     assert 1 / math.sqrt(best["x"]) == pytest.approx(4.15686, rel=0.01)
 
 
-def test_refine_recovers_cell(spark):
-    import numpy as np
-
-    refs = np.array([[h * h, k * k, m * m] for h in range(5) for k in range(5) for m in range(5) if h + k + m], float)
-    truth = np.array([1 / 5.1**2, 1 / 6.3**2, 1 / 8.7**2])
-    q = np.sort(refs @ truth)[:20]
-    patterns = spark.createDataFrame([(1, q.tolist())], "pattern_id long, q array<double>")
-    start = spark.createDataFrame([(1, i, (truth * (1 + 0.01 * ((i % 5) - 2))).tolist()) for i in range(10)], "pattern_id long, candidate_id int, xnn array<double>")
-    best = max(candidates.refine(patterns, start, refs, 20, 6).collect(), key=lambda r: r["m20"])
-    assert best["xnn"] == pytest.approx(truth.tolist(), rel=0.01)
-
-
 def test_generators(spark):
     df = spark.createDataFrame([(i, [0.01 * j for j in range(1, 11)]) for i in range(20)], "id int, q2 array<double>")
     for r in candidates.add_q2_noise(df, "id").collect():
