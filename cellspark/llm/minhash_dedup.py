@@ -181,11 +181,11 @@ def _rest(docs: DataFrame, classes: DataFrame, star: DataFrame, group: DataFrame
     """Links (a, b) between components of members of one star (a: its head, b: a member)."""
     own = star.join(group.withColumnsRenamed({"node": "b"}), "b", "left").withColumn("component", F.coalesce("component", "b"))
     many = own.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("a")
-    own = kept(own.join(many, "a", "left_semi"))
+    own = kept(looked_up(own, many, ["a"], "b", "inner"))
     sets = shingle_sets(docs, own.select(F.col("b").alias("doc_id")).distinct())
     facts = sets.join(classes.select("id", "n", "sig"), "id").withColumnsRenamed({"id": "b"})
     sizes = own.join(facts.select("b", "n"), "b").groupBy("a").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
-    dealt = own.join(sizes, "a").withColumn("block", F.pmod(F.xxhash64("b"), "blocks").cast("int"))
+    dealt = looked_up(own, sizes, ["a"], "b", "inner").withColumn("block", F.pmod(F.xxhash64("b"), "blocks").cast("int"))
     pair = F.struct(F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("a", "b", "component", "block", pair.alias("p")).select("a", "p.*", "b", "component", "block")
     member = F.struct(F.col("b").alias("id"), "component", "block", "sig", "items")
@@ -200,11 +200,13 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, block: int = BLOCK)
     heads = posts.groupBy("v").agg(F.max(F.struct("centre", "id")).alias("head"), F.count("*").alias("len")).where("len > 1").select("v", F.col("head.id").alias("a"))
     star = kept(posts.join(heads, "v").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct())
     sig = classes.select("id", "sig")
-    both = star.join(sig.toDF("b", "y"), "b").join(sig.toDF("a", "x"), "a")
+    head = sig.join(star.select(F.col("a").alias("id")).distinct(), "id", "left_semi").toDF("a", "x")
+    both = looked_up(star.join(sig.toDF("b", "y"), "b"), head, ["a"], "b", "inner")
     hits = F.aggregate(F.zip_with("x", "y", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     near = kept(both.where(hits >= matches(percent, COORDINATES, MISS)).select("a", "b"))
     sets = shingle_sets(docs, near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    both = near.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").withColumn("common", F.size(F.array_intersect("x", "y")))
+    head = sets.join(near.select(F.col("a").alias("id")).distinct(), "id", "left_semi").toDF("a", "x")
+    both = looked_up(near.join(sets.toDF("b", "y"), "b"), head, ["a"], "b", "inner").withColumn("common", F.size(F.array_intersect("x", "y")))
     linked = kept(both.where(alike(F.col("common"), F.size("x"), F.size("y"), percent)).select("a", "b"))
     return linked.union(_rest(docs, classes, star, components(linked), percent, block))
 
