@@ -95,9 +95,8 @@ def groups(lattice: str) -> list[str]:
         found = [f"{letter} 1 {p} 1" for p in (("-", "n", "21", "21/n") if letter == "P" else ("-", "a"))]
     elif system == "o":
         screws = ("-", "21") if centring == "P" else ("-",)
-        planes = {"P": ("b", "c", "n"), "C": ("c", "e"), "I": ("b", "c"), "F": ("d",)}[centring]
-        axis = [(*screws, *(p for p in planes if p != "abc"[i])) for i in range(3)]
-        axis[1], axis[2] = tuple("a" if p == "b" else p for p in axis[1]), tuple({"c": "a"}.get(p, p) for p in axis[2])
+        planes = {"P": ("bcn", "acn", "abn"), "C": ("c", "c", "e"), "I": ("c", "c", "a"), "F": ("d", "d", "d")}[centring]
+        axis = [(*screws, *p) for p in planes]
         found = [f"{centring} {' '.join(p)}" for p in itertools.product(*axis)]
     else:
         return [f"{centring} -"]
