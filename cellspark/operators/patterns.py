@@ -207,7 +207,7 @@ def principal_axes(df: DataFrame, values: list[str], by: list[str]) -> DataFrame
         for i, j, c in zip(pdf["i"], pdf["j"], pdf["covariance"], strict=True):
             m[place[i], place[j]] = m[place[j], place[i]] = c
         if not np.isfinite(m).all():
-            return pd.DataFrame({**{b: [] for b in by}, "component": [], "variance": [], "axis": []})
+            return pd.DataFrame({**{b: [] for b in by}, "component": [], "variance": [], "axis": pd.Series([], dtype=object)})
         w, v = np.linalg.eigh(m)
         v = v[:, ::-1].T
         v = v * np.where(np.take_along_axis(v, (np.abs(v) > 1e-9).argmax(1)[:, None], 1) < 0, -1, 1)
