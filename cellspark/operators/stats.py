@@ -39,24 +39,26 @@ def histogram2d(df: DataFrame, x: str, y: str, low: tuple[float, float], high: t
 def order_quantile(df: DataFrame, value: str, fractions: list[float], by: list[str] | None = None, parts: int = 100) -> DataFrame:
     """(by, fraction, value): the element at index int(fraction * n) of the sorted values, without interpolation.
 
+    Equal values are counted first, so one that very many rows have is one row.
     A sketch gives rough splits; the parts between them are counted, and only
     the parts that hold an asked rank are sorted. Nulls don't count.
     """
     by = by or []
     key = [F.lit(0).alias("_g")] if not by else [F.col(b) for b in by]
     names = by or ["_g"]
-    rows = df.where(F.col(value).isNotNull()).select(*key, F.col(value).cast("double").alias("_v"))
-    splits = rows.groupBy(*names).agg(F.array_distinct(F.percentile_approx("_v", [i / parts for i in range(1, parts)], 1000)).alias("_splits"), F.count("*").alias("_n"))
+    rows = df.where(F.col(value).isNotNull()).select(*key, F.col(value).cast("double").alias("_v")).groupBy(*names, "_v").agg(F.count("*").alias("_c"))
+    splits = rows.groupBy(*names).agg(F.array_distinct(F.percentile_approx("_v", [i / parts for i in range(1, parts)], 1000)).alias("_splits"), F.sum("_c").alias("_n"))
     placed = rows.join(F.broadcast(splits.select(*names, "_splits")) if not by else splits.select(*names, "_splits"), names)
-    placed = placed.select(*names, "_v", F.size(F.filter("_splits", lambda s: s < F.col("_v"))).alias("_part"))
+    placed = placed.select(*names, "_v", "_c", F.size(F.filter("_splits", lambda s: s < F.col("_v"))).alias("_part"))
     order = Window.partitionBy(*names).orderBy("_part")
-    sizes = placed.groupBy(*names, "_part").agg(F.count("*").alias("_m")).withColumn("_upto", F.sum("_m").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    sizes = placed.groupBy(*names, "_part").agg(F.sum("_c").alias("_m")).withColumn("_upto", F.sum("_m").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     asked = splits.select(*names, "_n", F.explode(F.array(*map(F.lit, fractions))).alias("fraction")).withColumn("_rank", F.least(F.floor(F.col("fraction") * F.col("_n")), F.col("_n") - 1))
     where = asked.join(sizes, names).where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_m")))
-    where = where.select(*names, "_part", "fraction", (F.col("_rank") - F.col("_upto") + F.col("_m") + 1).alias("_k"))
+    where = where.select(*names, "_part", "fraction", (F.col("_rank") - F.col("_upto") + F.col("_m")).alias("_k"))
     needed = placed.join(where.select(*names, "_part").distinct(), [*names, "_part"], "left_semi")
-    numbered = needed.withColumn("_k", F.row_number().over(Window.partitionBy(*names, "_part").orderBy("_v")))
-    return numbered.join(where, [*names, "_part", "_k"]).select(*by, "fraction", F.col("_v").alias("value"))
+    within = Window.partitionBy(*names, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    reached = needed.withColumn("_to", F.sum("_c").over(within))
+    return reached.join(where, [*names, "_part"]).where((F.col("_k") < F.col("_to")) & (F.col("_k") >= F.col("_to") - F.col("_c"))).select(*by, "fraction", F.col("_v").alias("value"))
 
 
 def moments(df: DataFrame, values: list[str], by: list[str]) -> DataFrame:
