@@ -17,6 +17,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import kept
+
 KINDS = ("assign", "access", "hex", "markov")
 _any_case = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 #: kind: pattern, group that counts, least length of that group.
@@ -99,7 +101,7 @@ def fit(df: DataFrame, text: str = "text", key: str = "doc_id", rows: int = 4000
     of a class that is long enough, its error rate is null; the threshold is 0
     at least.
     """
-    tokens = samples(df, text, key, rows).withColumn("held", F.pmod(F.xxhash64("token"), F.lit(HELD_OUT)) == 0)
+    tokens = kept(samples(df, text, key, rows)).withColumn("held", F.pmod(F.xxhash64("token"), F.lit(HELD_OUT)) == 0)
     counts = tokens.where(~F.col("held")).select("random", F.explode(pairs(F.col("token"))).alias("pair")).groupBy("pair").agg(F.count_if("random").alias("a"), F.count_if(~F.col("random")).alias("b")).collect()
     a, b = [0] * SYMBOLS**2, [0] * SYMBOLS**2
     for r in counts:
