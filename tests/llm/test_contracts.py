@@ -21,6 +21,9 @@ COLUMNS = {
     "op8_sentencepiece": "doc_id bigint, n_tokens bigint, ids_sha256 string, round_trip boolean",
     "op9_decontaminate": "doc_id bigint, item_id bigint, doc_start bigint, item_start bigint, n_overlap bigint, n_equal bigint",
     "op10_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op11_fingerprints": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, contained_edited double, contained_next double",
+    "op12_periodic_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
+    "op13_ranked_search": "item_id bigint, rank int, doc_id bigint, score bigint",
     "pipeline": "doc_id bigint, lang string, source string, n_tokens bigint, ids array<int>",
 }
 
@@ -61,7 +64,7 @@ def test_equals_sql(results, duck, name):
 
 def test_whole_tables(results, duck):
     ids = sorted(r[0] for r in duck.sql("SELECT doc_id FROM documents").fetchall())
-    for name in ("op2_language_id", "op3_token_counts", "op5_secret_scan", "op6_substring_dedup", "op7_near_duplicates", "op8_sentencepiece", "op10_toxicity"):
+    for name in ("op2_language_id", "op3_token_counts", "op5_secret_scan", "op6_substring_dedup", "op7_near_duplicates", "op8_sentencepiece", "op10_toxicity", "op11_fingerprints", "op12_periodic_runs"):
         assert sorted(r["doc_id"] for r in results[name][1]) == ids, name
 
 

@@ -8,8 +8,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from cellspark.llm import ann, decontaminate, graph, language_id, minhash_dedup, secret_scan, sentencepiece_lattice, substring_dedup, token_counts, toxicity, url_filter
+from cellspark.llm import ann, decontaminate, fingerprints, graph, language_id, minhash_dedup, periodic_runs, ranked_search, secret_scan, sentencepiece_lattice, substring_dedup, token_counts, toxicity, url_filter
 from cellspark.llm.queries import MODEL, RULES
 
 WORDS = [a + b for a, b in itertools.product(("ba", "do", "ki", "lu", "me", "so", "ta", "ru"), repeat=2)]
@@ -471,3 +472,210 @@ def test_toxicity(spark):
         assert {r["predicted"] for r in one} == {only}
     assert {r["predicted"] for r in toxicity.predict(test, toxicity.fit(df, df.limit(0))).collect()} == {0}
     assert toxicity.predict(test.limit(0), fair).count() == 0
+
+
+# --- document fingerprints
+
+
+def plain_sketch(text, scale, width=5):
+    w = [""] * (width - 1) + words(text) + [""] * (width - 1)
+    h = [hashlib.md5(" ".join(w[i : i + width]).encode()).hexdigest()[:16] for i in range(len(w) - width + 1)] if words(text) else []
+    return sorted({x for x in h if int(x, 16) < (1 << 64) // scale}) or ([min(h)] if h else [])
+
+
+def test_fingerprints(spark):
+    texts = [*ODD, "a", "ab", prose(1, 4), prose(2, 5), prose(3, 300), prose(3, 300), "\U0001f600é" * 40, prose(4, 30_000)]
+    df = docs(spark, texts).withColumnRenamed("source", "held").withColumnRenamed("lang", "edited")
+    for ranges in (1, 3, 50):
+        got = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(df, "doc_id", scale=4, ranges=ranges).collect()}
+        assert sorted(got) == list(range(len(texts)))
+        for i, t in enumerate(texts):
+            t, other = t or "", texts[i - 1] or ""
+            third = len(t) // 3
+            want = t[: len(t) - third] + other[:third]
+            r = got[i]
+            assert (r["edited"], r["held"], r["edited_held"], r["next_held"]) == (want, plain_sketch(t, 4), plain_sketch(want, 4), plain_sketch(other, 4)), i
+    assert fingerprints.fingerprint_documents(df.limit(0), "doc_id").count() == 0
+    one = fingerprints.fingerprint_documents(docs(spark, ["abcdef"]), "doc_id").first()
+    assert one["edited"] == "abcdab" and one["held"] == one["next_held"]
+
+
+def test_fingerprints_of_rows_without_own_ids(spark):
+    """Null and repeated ids: each row is there once, and has one next row."""
+    rows = [(None, "x y z"), (7, "a b c"), (7, "a b c"), (3, None), (None, None)]
+    from cellspark.llm.shared import numbered
+
+    df, _ = numbered(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = fingerprints.fingerprint_documents(df).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == sorted((i or 0, t or "") for i, t in rows)
+    assert {r["text"]: r["held"] for r in got}["a b c"] == plain_sketch("a b c", 8)
+
+
+def test_fingerprint_likeness(spark):
+    """Estimates from sketches are near the true shares of shingles, of very unequal texts too; a union of sketches is the sketch of the union."""
+    a, b = prose(11, 6000), prose(12, 300)
+    texts = [a, a + " " + b, b, prose(13, 3000) + " " + a, "", "", "x"]
+    df = docs(spark, texts).select("doc_id", F.when(F.col("doc_id") < 2, "p").alias("part"), fingerprints.sketch(F.col("text")).alias("s"))
+    both = df.alias("a").crossJoin(df.alias("b")).select(F.col("a.doc_id").alias("i"), F.col("b.doc_id").alias("j"), fingerprints.resemblance(F.col("a.s"), F.col("b.s")).alias("r"), fingerprints.containment(F.col("a.s"), F.col("b.s")).alias("c"))
+    whole = [set(plain_sketch(t, 1)) for t in texts]
+    for x in both.collect():
+        p, q = whole[x["i"]], whole[x["j"]]
+        assert abs(x["r"] - (len(p & q) / len(p | q) if p | q else 1)) < 0.08
+        assert abs(x["c"] - (len(p & q) / len(p) if p else 1)) < 0.2
+    assert {(x["i"], x["j"]): x["r"] for x in both.collect()}[4, 6] == 0
+    union = fingerprints.merged(df, "part", "s")
+    held = {g: sorted(r["hash"] for r in union.collect() if r["group"] == g) for g in ("p", None)}
+    assert held["p"] == sorted(set(plain_sketch(texts[0], 8)) | set(plain_sketch(texts[1], 8)))
+    shares = {(r["group"], r["other"]): r["share"] for r in fingerprints.containments(union, union).collect()}
+    assert shares["p", "p"] == shares[None, None] == 1 and shares["p", None] == len(set(held["p"]) & set(held[None])) / len(held["p"])
+
+
+# --- periodic runs
+
+
+def plain_runs(w):
+    found = {}
+    for q in range(1, len(w) // 4 + 1):
+        i = 0
+        while i < len(w) - q:
+            j = i
+            while j < len(w) - q and w[j] == w[j + q]:
+                j += 1
+            if j > i and j - i + q >= max(6, 4 * q):
+                found.setdefault((i, j - i + q), q)
+            i = max(j, i + 1)
+    return sorted((s, n, q) for (s, n), q in found.items())
+
+
+def periodic(r):
+    n, kinds = r.choice((0, 1, 5, 6, 7, 40, 300)), r.choice((1, 2, 3, 40))
+    w = [r.choice(WORDS[:kinds]) for _ in range(n)]
+    for _ in range(r.randrange(4) if n else 0):
+        p, at = r.randint(1, max(1, n // 5)), r.randrange(n)
+        for i in range(at, r.randint(at, n)):
+            w[i] = w[at + (i - at) % p]
+    return " ".join(w)
+
+
+def test_periodic_runs(spark):
+    r = random.Random(5)
+    texts = [*ODD, *(periodic(r) for _ in range(120)), " ".join(["la"] * 20_000), " ".join(WORDS[i % 7] for i in range(5000)) + " end", "a b " * 3 + "c " * 5 + "a b a b c c"]
+    df = docs(spark, texts + texts).withColumnRenamed("source", "runs")
+    got = periodic_runs.find_runs(df, keep=["doc_id", "lang", "runs"]).collect()
+    assert sorted(x["doc_id"] for x in got) == list(range(2 * len(texts)))
+    for x in got:
+        w = words(texts[x["doc_id"] % len(texts)])
+        want = plain_runs(w) if len(w) < 10_000 else [(0, len(w), 1)]
+        assert [tuple(y) for y in x["runs"]] == want and x["n_words"] == len(w)
+        gone = {i for s, n, q in want for i in range(s + q, s + n)}
+        assert x["collapsed"] == " ".join(v for i, v in enumerate(w) if i not in gone)
+    assert periodic_runs.find_runs(df.limit(0)).count() == 0
+
+
+def test_extensions_by_grammar():
+    """Extensions to both sides equal those of a plain scan, at any two places."""
+    r = np.random.default_rng(3)
+    for n, kinds in ((1, 1), (50, 1), (300, 2), (2000, 3)):
+        s = periodic_runs.mixed(r.integers(1, kinds + 1, n).astype(np.uint64))
+        s[n // 2 :] = s[: n - n // 2]
+        s = np.concatenate([[np.uint64(1)], s, [np.uint64(2)]])
+        levels = periodic_runs.grammar(s, np.array([0, n + 1]))
+        x, y = (v.astype(np.int64) for v in np.sort(r.integers(1, n + 1, (2, 400)), 0))
+        x, y = x[x < y], y[x < y]
+        forth, back = periodic_runs.extension(levels, x, y), periodic_runs.extension(periodic_runs.mirrored(levels), len(s) - x, len(s) - y)
+        for a, b, f, g in zip(x, y, forth, back, strict=True):
+            assert (s[a : a + f] == s[b : b + f]).all() and s[a + f] != s[b + f]
+            assert (s[a - g : a] == s[b - g : b]).all() and s[a - g - 1] != s[b - g - 1]
+
+
+def test_planted_periods(spark):
+    """The words that the query of op12 plants equal a plain version of its contract."""
+    import zlib
+
+    from cellspark.llm.queries import with_planted_periods
+
+    texts = [prose(i, i % 90) if i % 7 else ODD[i % len(ODD)] for i in range(200)]
+    changed = 0
+    for r in with_planted_periods(docs(spark, texts)).collect():
+        w, h = words(texts[r["doc_id"]]), zlib.crc32(str(r["doc_id"]).encode())
+        if h % 10 == 0 and w:
+            g, n = h // 10, len(w)
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w, changed = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)], changed + 1
+        assert words(r["text"]) == w
+    assert changed > 5
+
+
+# --- ranked lexical search
+
+
+def plain_search(texts, items, k):
+    """[(item, rank, doc, score)] by scoring all documents; both are lists of (id, text)."""
+    terms = lambda t: re.findall("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
+    bags = [(i, terms(t)) for i, t in texts]
+    n, total = sum(1 for _, w in bags if w), sum(len(w) for _, w in bags)
+    df, out = {}, []
+    for _, w in bags:
+        for t in set(w):
+            df[t] = df.get(t, 0) + 1
+    for item, text in items:
+        scored = []
+        for i, w in bags:
+            m = 25 + 75 * len(w) * n // total if total else 0
+            score = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (1000000000 * w.count(t) // (1000 * w.count(t) + 8 * m)) for t in terms(text) if t in w)
+            scored.append((-score, i)) if score > 0 else None
+        out += [(item, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scored)[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("docs_a_block", [1 << 16, 7])
+def test_ranked_search(spark, monkeypatch, docs_a_block):
+    r = random.Random(9)
+    texts = [*ODD, *(" ".join(r.choice(WORDS[: 1 << r.randrange(1, 7)]) for _ in range(r.randrange(60))) for _ in range(300)), prose(5, 20_000), "BA-ba bA.ba É é 9 a9", prose(1, 20), prose(1, 20)]
+    items = [(0, prose(6, 30)), (1, "baba BABA É x"), (2, None), (3, ""), (4, "nowhere at all"), (5, prose(1, 20)), (6, "ta" * 2 + " !!"), (7, " ".join(WORDS))]
+    plain = list(enumerate(texts))
+    ask = spark.createDataFrame(items, "item_id long, text string").withColumn("score", F.lit("clash"))
+    want = plain_search(plain, items, 5)
+    monkeypatch.setattr(ranked_search, "DOCS", docs_a_block)
+    df = docs(spark, texts).withColumnRenamed("source", "rank")
+    got = ranked_search.search(df, ask, 5)
+    assert sorted(map(tuple, got.collect())) == want
+    if docs_a_block == 7:
+        assert sorted(map(tuple, ranked_search.search(df.repartition(3), ask, 5, query_bytes=64).collect())) == want
+    assert ranked_search.search(df.limit(0), ask).count() == 0 and ranked_search.search(df, ask.limit(0)).count() == 0
+
+
+def test_ranked_search_ids(spark):
+    """Rows without an id, repeated ids and items: each is ranked or answered by itself."""
+    texts = [(None, "ba do"), (4, "ba"), (4, "ba"), (2, "ba do do"), (9, "x"), (9, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    ask = spark.createDataFrame([("q", "ba"), ("q", "ba"), (None, "do")], "item_id string, text string")
+    got = ranked_search.search(df, ask, 10).collect()
+    assert sorted((r["doc_id"] or 0) for r in got if r["item_id"] == "q") == sorted([0, 4, 4, 2] * 2)
+    assert [(r["rank"], r["doc_id"]) for r in got if r["item_id"] is None] == [(1, 2), (2, None)]
+
+
+def test_search_stops_early():
+    """A term that few hold decides: most of the list of a common term is never read."""
+    n = 40_000
+    doc, term, tf = np.repeat(np.arange(n), 1), np.zeros(n, np.int64), 1 + np.arange(n) % 50
+    rare = np.arange(0, n, n // 20)
+    doc, term, tf = np.concatenate([doc, rare]), np.concatenate([term, np.ones(len(rare), np.int64)]), np.concatenate([tf, np.full(len(rare), 9)])
+    order = np.lexsort((term, doc))
+    block = ranked_search.Block(np.arange(n), np.full(n, 60), doc[order], term[order], tf[order], 2, n, 60 * n)
+    reads, plain = [], block.list_doc
+
+    class Watched(np.ndarray):
+        def __getitem__(self, at):
+            out = np.asarray(self).__getitem__(at)
+            reads.append(np.size(out)) if isinstance(at, slice) else None
+            return out
+
+    block.list_doc = plain.view(Watched)
+    score, row = block.best(np.array([0, 1]), np.array([10, 9000]), 10, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    each = np.zeros(n, np.int64)
+    np.add.at(each, block_docs := np.repeat(np.arange(n), np.diff(block.first)), np.where(block.term == 0, 10, 9000) * block.impact)
+    want = np.lexsort((np.arange(n), -each))[:10]
+    assert row.tolist() == want.tolist() and score.tolist() == each[want].tolist() and len(block_docs) == len(doc)
+    assert sum(reads) < n // 4
