@@ -77,6 +77,24 @@ def cell_of_xnn(x: list[Column]) -> list[Column]:
     return reciprocal(a, b, c, *angles)
 
 
+def volume_of_xnn(values: Column, system: str) -> Column:
+    """The volume of the direct cell of an array of a system's free coefficients; null where they make no cell."""
+    x = [F.get(values, F.lit(i)) for i in range(len(FREE[system]))]
+    zero = F.lit(0.0)
+    whole = {
+        "cubic": [x[0]] * 3 + [zero] * 3,
+        "tetragonal": [x[0], x[0], x[-1], zero, zero, zero],
+        "hexagonal": [x[0], x[0], x[-1], zero, zero, x[0]],
+        "rhombohedral": [x[0]] * 3 + [x[-1]] * 3,
+        "orthorhombic": [*x, zero, zero, zero][:6],
+        "monoclinic": [*x[:3], zero, x[-1], zero],
+        "triclinic": x,
+    }[system]
+    a, b, c, d, e, f = whole
+    square = a * b * c + d * e * f / 4 - (a * d * d + b * e * e + c * f * f) / 4
+    return F.when(square > 0, 1 / F.sqrt(square))
+
+
 def partial(system: Column, values: list[Column]) -> Column:
     return by_system(system, lambda s: F.array(*[values[i] for i in FREE[s]]))
 

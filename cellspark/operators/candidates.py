@@ -6,12 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellspark.functions import cell, symmetry
 from cellspark.operators.curation import draw
+from cellspark.operators.indexing import thinned
 
 #: Widths of the error of q2: constant and in proportion. Fixed values.
 NOISE = (8.7e-5, 9.2e-4)
@@ -205,18 +205,7 @@ def dedup_radius(df: DataFrame, by: list[str], key: str, vec: str, order: str, s
 
     def thin(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key).reset_index(drop=True)
-        x = np.stack(pdf[vec].to_numpy())
-        x = x.astype(float)
-        near = (x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T < radius * radius
-        s, left = pdf[score].to_numpy(), np.ones(len(pdf), bool)
-        while True:
-            n = (near & left[None]).sum(1) * left
-            at = int(n.argmax())
-            if n[at] <= 1:
-                return pdf[left]
-            group = np.flatnonzero(near[at] & left)
-            left[group] = False
-            left[group[s[group].argmax()]] = True
+        return pdf[thinned(np.stack(pdf[vec].to_numpy()).astype(float), pdf[score].to_numpy(), radius)]
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.groupBy(*by, "_block").applyInPandas(thin, names).drop("_block")

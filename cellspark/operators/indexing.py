@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from cellspark.functions import extinction
 from cellspark.functions.cell import FREE
 from cellspark.operators import reduction
-from cellspark.operators.curation import top_n
 from cellspark.operators.search import MULTIPLICITY, reference_hkl
 
 SYSTEM = {"c": "cubic", "h": "hexagonal", "t": "tetragonal", "o": "orthorhombic", "m": "monoclinic", "a": "triclinic"}
@@ -63,29 +62,82 @@ def draws(seed: int, step: int, pattern: np.ndarray, candidate: np.ndarray, n: i
         return ((x ^ (x >> np.uint64(32))) >> np.uint64(11)).astype(float) / (1 << 53)
 
 
+#: Differences of peaks and references that are held at once.
+HELD = 1 << 18
+
+
+def nearest(q: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index, value) of the reference nearest to each peak, row by row; of equally near ones the smaller value, of equal values the first."""
+    d = np.abs(ref[:, None, :] - q[:, :, None])
+    at = d.argmin(2)
+    least = np.take_along_axis(d, at[:, :, None], 2)
+    for i, j in zip(*np.nonzero((d == least).sum(2) > 1), strict=True):
+        tied = np.flatnonzero(d[i, j] == least[i, j])
+        at[i, j] = tied[ref[i, tied].argmin()]
+    return at, np.take_along_axis(ref, at, 1)
+
+
+def merit(q: np.ndarray, calc: np.ndarray, ref: np.ndarray) -> np.ndarray:
+    """Figure of merit of rows of peaks, calculated peaks and references: 0 without a reference below the last calculated peak, infinite without an error."""
+    below = ref < calc[:, -1:]
+    count = below.sum(1)
+    error = reduce(np.add, np.abs(calc - q).T) / q.shape[1]  # in the order of the peaks, as SQL sums
+    top = np.where(below, ref, -np.inf).max(1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(count == 0, 0.0, np.where(error > 0, top / (2 * np.maximum(count, 1)) / error, np.inf))
+
+
+def finite(*arrays: np.ndarray) -> np.ndarray:
+    """Rows that are finite in all arrays."""
+    return np.logical_and.reduce([np.isfinite(a).all(1) for a in arrays])
+
+
+def calculated(x: np.ndarray, refs: np.ndarray) -> np.ndarray:
+    """q2 of all references of each cell, summed in the order of the coefficients whatever the batch."""
+    return reduce(np.add, (x[:, i : i + 1] * refs[None, :, i] for i in range(refs.shape[1])))
+
+
 def assign(q: np.ndarray, x: np.ndarray, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of the nearest reference of each peak, its q2, figure of merit) of the cells x.
 
-    All rows are searched at once: each row's sorted references are moved to a
-    range of their own. Of equally near references the smaller counts. The
-    merit is 0 without a reference below the last peak, infinite without an error.
+    Each row is judged by itself. A row with a value that isn't finite, among
+    its peaks or in its cell, has merit 0, index 0 and no q2 (NaN).
     """
     n, m = q.shape
-    ref = x @ refs.T
-    order = np.argsort(ref, axis=1, kind="stable")
-    ref = np.take_along_axis(ref, order, 1)
-    span = max(float(np.abs(ref).max()), float(np.abs(q).max())) * 2 + 1
-    shift = np.arange(n)[:, None] * span
-    at = np.searchsorted((ref + shift).ravel(), (q + shift).ravel()).reshape(n, m) - np.arange(n)[:, None] * ref.shape[1]
-    lo, hi = np.clip(at - 1, 0, ref.shape[1] - 1), np.clip(at, 0, ref.shape[1] - 1)
-    use = np.where(np.abs(np.take_along_axis(ref, lo, 1) - q) <= np.abs(np.take_along_axis(ref, hi, 1) - q), lo, hi)
-    calc = np.take_along_axis(ref, use, 1)
-    below = (ref < calc[:, -1:]).sum(1)
-    error = reduce(np.add, np.abs(calc - q).T) / m  # in the order of the peaks, as SQL sums
-    top = ref[np.arange(n), np.maximum(below - 1, 0)]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        merit = np.where(below == 0, 0.0, np.where(error > 0, top / (2 * below) / error, np.inf))
-    return np.take_along_axis(order, use, 1), calc, merit
+    at, calc, out = np.zeros((n, m), int), np.full((n, m), np.nan), np.zeros(n)
+    fine = np.flatnonzero(finite(q, x))
+    step = max(1, HELD // (m * len(refs)))
+    for lo in range(0, len(fine), step):
+        k = fine[lo : lo + step]
+        ref = calculated(x[k], refs)
+        at[k], calc[k] = nearest(q[k], ref)
+        out[k] = merit(q[k], calc[k], ref)
+    return at, calc, out
+
+
+def masked_merits(q: np.ndarray, x: np.ndarray, refs: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """The merit of each row under each mask of the references: (rows, masks). The references of a row are sorted once, for all masks."""
+    out = np.zeros((len(q), len(masks)))
+    fine = np.flatnonzero(finite(q, x))
+    r = len(refs)
+    for lo in range(0, len(fine), 512):
+        k = fine[lo : lo + 512]
+        ref = calculated(x[k], refs)
+        order = np.argsort(ref, axis=1, kind="stable")
+        ref = np.take_along_axis(ref, order, 1)
+        place = (ref[:, None, :] < q[k][:, :, None]).sum(2)  # references below each peak
+        edge = np.full((len(k), 1), np.inf)
+        wide = np.concatenate([-edge, ref, edge], 1)
+        index = np.arange(1, r + 1)
+        for g, mask in enumerate(masks):
+            kept = mask[order]
+            before = np.maximum.accumulate(np.where(kept, index, 0), 1)
+            after = np.minimum.accumulate(np.where(kept, index, r + 1)[:, ::-1], 1)[:, ::-1]
+            low = np.take_along_axis(wide, np.where(place > 0, np.take_along_axis(before, np.maximum(place - 1, 0), 1), 0), 1)
+            high = np.take_along_axis(wide, np.where(place < r, np.take_along_axis(after, np.minimum(place, r - 1), 1), r + 1), 1)
+            calc = np.where(q[k] - low <= high - q[k], low, high)
+            out[k, g] = merit(q[k], calc, np.where(kept, ref, np.inf)) if kept.any() else 0.0
+    return out
 
 
 def solve(terms: np.ndarray, q: np.ndarray, weight: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -102,12 +154,10 @@ def solve(terms: np.ndarray, q: np.ndarray, weight: np.ndarray, x: np.ndarray) -
 
 
 def physical(x: np.ndarray, system: str, least: float = 1e-6, most: float = 0.25) -> np.ndarray:
-    """x made a cell: diagonal coefficients within least and most, cross terms drawn back until the reciprocal metric is positive; a row that isn't finite becomes the mean of its neighbours in the batch that are, or 0.01."""
+    """x made a cell: diagonal coefficients within least and most, cross terms drawn back until the reciprocal metric is positive; a row that isn't finite becomes a cube of 5 angstrom. Each row is judged by itself."""
     x = x.copy()
-    lost = ~np.isfinite(x).all(1)
-    if lost.any():
-        x[lost] = x[~lost].mean(0) if (~lost).any() else np.where(np.arange(x.shape[1]) < 3, 0.01, 0.0)
     axes = {"rhombohedral": 1}.get(system, min(3, x.shape[1]))
+    x[~np.isfinite(x).all(1)] = np.where(np.arange(x.shape[1]) < axes, 1 / 25, 0.0)
     x[:, :axes] = np.clip(x[:, :axes], least, most)
     if system == "rhombohedral":
         x[:, 1] = np.clip(x[:, 1], -0.98 * x[:, 0], 1.96 * x[:, 0])
@@ -182,15 +232,19 @@ def refine_step(cands: DataFrame, refs: np.ndarray, system: str, worker: str = "
     return _batches(cands, step)
 
 
+def explained(q: np.ndarray, calc: np.ndarray, volume: np.ndarray, lattice: str) -> np.ndarray:
+    """Probability that each peak is explained, against a chance hit (see search.peak_probability)."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return 1 / (1 + 8 * np.pi * q * np.abs(np.sqrt(q) - np.sqrt(np.maximum(calc, 0))) / (volume[:, None] * MULTIPLICITY[lattice]))
+
+
 def refine_indexed(cands: DataFrame, refs: np.ndarray, lattice: str, over: float = 0.95) -> DataFrame:
     """cands refined once more on those peaks alone that are explained with a probability of `over`; kept where the merit grew."""
     system = system_of(lattice)
 
     def step(rows: pd.DataFrame, q: np.ndarray, x: np.ndarray):
         at, calc, merit = assign(q, x, refs)
-        volume = reciprocal_volume(x, system)[:, None]
-        with np.errstate(invalid="ignore", divide="ignore"):
-            p = 1 / (1 + 8 * np.pi * q * np.abs(np.sqrt(q) - np.sqrt(np.maximum(calc, 0))) / (volume * MULTIPLICITY[lattice]))
+        p = explained(q, calc, reciprocal_volume(x, system), lattice)
         weight = np.where(p > over, 1 / (q * (np.abs(q - calc) + 1e-10)), 0.0)
         new = physical(solve(refs[at], q, weight, x), system)
         m = assign(q, new, refs)[2]
@@ -248,31 +302,83 @@ def correct_multiples(cands: DataFrame, refs: np.ndarray, system: str) -> DataFr
     return _batches(cands, step)
 
 
-def absence_groups(cands: DataFrame, lattice: str, n: int = 200) -> DataFrame:
-    """cands with extinction_group and group_m20: that group of the lattice under which the merit is greatest; of equal ones the one that forbids less.
+def terms_of(hkl: np.ndarray, system: str) -> np.ndarray:
+    """What multiplies the free coefficients, for rows of h, k, l: hkl_terms for small fixed tables."""
+    h, k, l = np.asarray(hkl, float).T  # noqa: E741
+    columns = {
+        "cubic": [h * h + k * k + l * l],
+        "tetragonal": [h * h + k * k, l * l],
+        "hexagonal": [h * h + h * k + k * k, l * l],
+        "rhombohedral": [h * h + k * k + l * l, h * k + h * l + k * l],
+        "orthorhombic": [h * h, k * k, l * l],
+        "monoclinic": [h * h, k * k, l * l, h * l],
+        "triclinic": [h * h, k * k, l * l, k * l, h * l, h * k],
+    }
+    return np.stack(columns[system], 1)
+
+
+def group_masks(lattice: str, terms: np.ndarray, reach: int = 6) -> tuple[list[extinction.Group], np.ndarray]:
+    """(groups of the lattice, which references each leaves: a row of booleans a group).
 
-    Each group keeps its own references of the lattice. Hexagonal, trigonal,
-    tetragonal and cubic lattices have their centring alone.
+    A reference stands for all reflections with its terms: it stays if the group
+    leaves one of them.
     """
-    hkl, terms = references(cands.sparkSession, lattice, n)
-    names = extinction.groups(lattice)
-    kept = [terms[[extinction.allowed(g, *map(int, v)) for v in hkl]] for g in names]
+    system, span = system_of(lattice), range(-reach, reach + 1)
+    hkl = np.array(list(itertools.product(span, span, span)))
+    row = {tuple(t): i for i, t in enumerate(terms.tolist())}
+    where = np.array([row.get(tuple(t), -1) for t in terms_of(hkl, system).tolist()])
+    hkl, where = hkl[where >= 0], where[where >= 0]
+    groups = extinction.groups(lattice)
+    masks = np.zeros((len(groups), len(terms)), bool)
+    for mask, group in zip(masks, groups, strict=True):
+        mask[where[extinction.allowed(group, hkl, lattice)]] = True
+    return groups, masks
+
+
+def absence_groups(cands: DataFrame, lattice: str, n: int = 200) -> DataFrame:
+    """cands with extinction_group and group_m20: that group of the lattice under which the merit is greatest; of equal ones the first."""
+    _, terms = references(cands.sparkSession, lattice, n)
+    groups, masks = group_masks(lattice, terms)
 
     def run(batches):
         for pdf in batches:
-            if not len(pdf):
-                continue
-            q, x = (np.stack(pdf[c].to_numpy()).astype(float) for c in ("q", "xnn"))
-            best, which = np.full(len(pdf), -1.0), np.zeros(len(pdf), int)
-            for i, refs in enumerate(kept):
-                m = assign(q, x, refs)[2]
-                up = m > best
-                best[up], which[up] = m[up], i
-            yield pdf.assign(extinction_group=[names[i] for i in which], group_m20=best)
+            sizes = pdf["q"].map(len).to_numpy()
+            for size in np.unique(sizes):
+                part = pdf[sizes == size]
+                if not size:
+                    yield part.assign(extinction_group=groups[0].name, group_m20=0.0)
+                    continue
+                q, x = (np.stack(part[c].to_numpy()).astype(float) for c in ("q", "xnn"))
+                m = masked_merits(q, x, terms, masks)
+                best = m.argmax(1)
+                yield part.assign(extinction_group=[groups[i].name for i in best], group_m20=m[np.arange(len(m)), best])
 
     return cands.select("pattern_id", F.col("candidate_id").cast("int").alias("candidate_id"), "q", "xnn", F.col("m20").cast("double").alias("m20")).mapInPandas(run, f"{COLUMNS}, extinction_group string, group_m20 double")
 
 
+def peaks_of_cells(df: DataFrame, key: str, xnn: str, lattice: str, n: int = 20, n_refs: int = 200) -> DataFrame:
+    """(pattern_id, q, xnn): the n first different lines of each cell, rounded to nine places. df: rows of a key (whole number) and of coefficients."""
+    refs = reference_terms(df.sparkSession, lattice, n_refs)
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                q = calculated(np.stack(pdf["xnn"].to_numpy()).astype(float), refs)
+                yield pdf.assign(q=[np.unique(np.round(row, 9))[:n] for row in q])[["pattern_id", "q", "xnn"]]
+
+    return df.select(F.col(key).cast("long").alias("pattern_id"), F.col(xnn).alias("xnn")).mapInPandas(run, "pattern_id long, q array<double>, xnn array<double>")
+
+
+def near_cells(patterns: DataFrame, system: str, n: int, share: float, seed: int = 0) -> DataFrame:
+    """Candidates for a test of convergence: n cells of each pattern (pattern_id, q, xnn), whose coefficients are off by up to `share` of the first one."""
+
+    def step(rows: pd.DataFrame, q: np.ndarray, x: np.ndarray):
+        u = draws(seed, 0, rows["pattern_id"].to_numpy(), rows["candidate_id"].to_numpy(), x.shape[1])
+        return physical(x + share * (2 * u - 1) * x[:, :1], system), np.zeros(len(x))
+
+    return _batches(patterns.withColumn("candidate_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("m20", F.lit(0.0)), step)
+
+
 def standardise_candidates(cands: DataFrame, refs: np.ndarray, system: str) -> DataFrame:
     """Triclinic candidates in their reduced cell, monoclinic ones with the least cross term; a cell that can't be reduced stays."""
 
@@ -366,60 +472,164 @@ GENERATORS: dict[str, Callable[[DataFrame, np.ndarray, str, int], DataFrame]] =
 }
 
 
-def generate(patterns: DataFrame, refs: np.ndarray, system: str, quotas: dict[str, int]) -> DataFrame:
-    """Candidates of all generators of quotas, as many a pattern as it says; candidate_id goes on from one to the next, `generator` names it."""
+def generate(patterns: DataFrame, refs: np.ndarray, system: str, quotas: dict[str, int], generators: dict | None = None) -> DataFrame:
+    """Candidates of all generators of quotas, as many a pattern as it says; candidate_id goes on from one to the next, `generator` names it. `generators` adds to GENERATORS, such as those of fitted models (see cellspark.operators.models)."""
     out, at = None, 0
     for name, n in quotas.items():
-        made = GENERATORS[name](patterns, refs, system, n)
+        made = (GENERATORS | (generators or {}))[name](patterns, refs, system, n)
         rank = F.row_number().over(Window.partitionBy("pattern_id").orderBy("candidate_id")) - 1
         made = made.withColumn("candidate_id", (rank + at).cast("int")).withColumn("generator", F.lit(name))
         out, at = made if out is None else out.unionByName(made), at + n
     return out
 
 
+def _distances(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Squared distances of the given rows to all rows."""
+    return ((x[rows][:, None, :] - x[None]) ** 2).sum(2)
+
+
+def spread(x: np.ndarray, ids: tuple[np.ndarray, np.ndarray], system: str, radius: float, most: int, rounds: int = 20, seed: int = 0) -> np.ndarray:
+    """The cells x, of which no more than `most` (itself included) lie within radius of any, where there is room: of each dense spot only the excess moves.
+
+    A round goes through the spots, densest first, that hold more than `most`
+    cells not yet moved; the excess, chosen by hash, moves to a point at the
+    distance of radius from cells with fewer neighbours, chosen in proportion to
+    their room, or, where there is none, at twice that distance from those with
+    the fewest.
+    """
+    x, limit, pattern, candidate = x.copy(), radius * radius, *ids
+    near = np.zeros(len(x), int)
+    for k in range(rounds):
+        for lo in range(0, len(x), 256):
+            rows = np.arange(lo, min(lo + 256, len(x)))
+            near[rows] = (_distances(x, rows) < limit).sum(1)
+        if near.max(initial=0) <= most:
+            break
+        moved = np.zeros(len(x), bool)
+        for at in np.argsort(-near, kind="stable"):
+            if near[at] <= most:
+                break
+            members = np.flatnonzero((_distances(x, np.array([at]))[0] < limit) & ~moved)
+            if len(members) <= most:
+                continue
+            order = draws(seed, 3 * k, pattern[members], candidate[members], 1)[:, 0]
+            moved[members[np.argsort(order, kind="stable")[most:]]] = True
+        gone = np.flatnonzero(moved)
+        room = np.maximum(most - near, 0)
+        if room.any():
+            upto = np.cumsum(room)
+            to, far = np.searchsorted(upto, draws(seed, 3 * k + 1, pattern[gone], candidate[gone], 1)[:, 0] * upto[-1], "right"), 1.0
+        else:
+            to, far = np.argsort(near, kind="stable")[np.arange(len(gone)) % len(x)], 2.0
+        step = draws(seed, 3 * k + 2, pattern[gone], candidate[gone], x.shape[1]) * 2 - 1
+        x[gone] = physical(x[to] + far * radius * step / np.maximum(np.linalg.norm(step, axis=1, keepdims=True), 1e-12), system)
+    return x
+
+
 def spread_dense(cands: DataFrame, system: str, radius: float, most: int, rounds: int = 20, seed: int = 0) -> DataFrame:
-    """cands in which no more than `most` of a pattern lie within radius of each other, where there is room: those beyond it move next to candidates with the fewest neighbours."""
+    """cands of which no more than `most` of a pattern lie within radius of each other, where there is room (see spread). Rows whose cell isn't finite stay as they are.
 
-    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
+    A pattern's candidates meet in one task: as many as its generators' quotas.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("candidate_id").reset_index(drop=True)
         x = np.stack(pdf["xnn"].to_numpy()).astype(float)
-        for k in range(rounds):
-            near = np.zeros(len(x), int)
-            for at in range(0, len(x), 512):
-                part = x[at : at + 512]
-                d = (part * part).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * part @ x.T
-                near[at : at + 512] = (d < radius * radius).sum(1) - 1
-            dense = np.flatnonzero(near > most)
-            room = np.maximum(most - near, 0)
-            if not len(dense) or not room.sum():
-                break
-            moved = dense[: int(room.sum())]
-            to = np.repeat(np.argsort(-room, kind="stable"), np.sort(room)[::-1])[: len(moved)]
-            u = draws(seed, k, pdf["pattern_id"].to_numpy()[moved], pdf["candidate_id"].to_numpy()[moved], x.shape[1])
-            x[moved] = physical(x[to] * (1 + radius * (u - 0.5) / np.maximum(np.abs(x[to]), 1e-9)), system)
+        fine = finite(x)
+        x[fine] = spread(x[fine], tuple(pdf[c].to_numpy()[fine] for c in ("pattern_id", "candidate_id")), system, radius, most, rounds, seed)
         return pdf.assign(xnn=list(x))
 
-    return cands.select("pattern_id", "candidate_id", "q", "xnn", "m20").groupBy("pattern_id").applyInPandas(spread, COLUMNS)
+    return cands.select("pattern_id", "candidate_id", "q", "xnn", "m20").groupBy("pattern_id").applyInPandas(run, COLUMNS)
+
+
+#: Of a pattern's candidates, how many may lie within which distance before they are spread, and the distance at which two count as one in the end. Fixed values, by lattice system.
+SPREAD = {"cubic": (64, 0.000026, 0.002)}
+ELSE_SPREAD = (52, 0.000213, 0.0001)
+#: Share of the candidates, best first, for which the many groups of a primitive orthorhombic lattice are tried. Fixed value.
+TRIED = {"oP": 0.1}
+FOUND = "pattern_id long, candidate_id int, xnn array<double>, m20 double, m_info double, n_indexed int, extinction_group string"
 
 
-def index_patterns(patterns: DataFrame, lattices: list[str], quotas: dict[str, int], n_refs: int = 200, top: int = 20, steps: dict[str, tuple[int, int]] | None = None) -> DataFrame:
-    """(pattern_id, lattice, candidate_id, xnn, m20): the best cells of each pattern in each of the lattices.
+def thinned(x: np.ndarray, score: np.ndarray, radius: float) -> np.ndarray:
+    """Which rows stay when the densest neighbourhood gives way to its best row until none has two; of equal ones the first."""
+    left = np.ones(len(x), bool)
+    near = np.concatenate([_distances(x, np.arange(lo, min(lo + 256, len(x)))) < radius * radius for lo in range(0, len(x), 256)] or [np.zeros((0, 0), bool)])
+    while True:
+        n = (near & left[None]).sum(1) * left
+        at = int(n.argmax()) if len(n) else 0
+        if not len(n) or n[at] <= 1:
+            return left
+        group = np.flatnonzero(near[at] & left)
+        left[group] = False
+        left[group[score[group].argmax()]] = True
 
-    patterns: (pattern_id, q array, ascending). Candidates are generated,
-    refined by random subsampling, refined on their explained peaks, put into
-    their standard cell and corrected for multiples; of each lattice the best
-    `top` different ones stay.
+
+def finish(cands: DataFrame, lattice: str, top: int, n_refs: int = 200, block: int = 1000) -> DataFrame:
+    """(pattern_id, candidate_id, xnn, m20, m_info, n_indexed, extinction_group): the last stages for the candidates of one lattice.
+
+    Each is judged under the extinction groups of the lattice (of a primitive
+    orthorhombic one the best tenth only) and takes the best merit; its
+    explained peaks are counted; of candidates nearer to each other than the
+    lattice's distance the best stays, in blocks by reciprocal volume; `top`
+    stay, by merit, then by candidate_id. Rows whose cell isn't finite go. A
+    pattern's candidates meet in one task: as many as its generators' quotas.
     """
-    out = None
-    for lattice in lattices:
-        system, refs = system_of(lattice), reference_terms(patterns.sparkSession, lattice, n_refs)
-        n, keep = (steps or STEPS)[system]
-        cands = generate(patterns, refs, system, quotas).drop("generator")
-        cands = refine_step(cands, refs, system, "random_subsampling", n, keep)
-        cands = refine_step(refine_indexed(cands, refs, lattice), refs, system, "deterministic", 3)
-        cands = correct_multiples(standardise_candidates(cands, refs, system), refs, system)
-        alike = F.transform("xnn", lambda v: F.round(v, 6))
-        one = cands.groupBy("pattern_id", alike.alias("_x")).agg(F.max_by(F.struct("candidate_id", "xnn", "m20"), F.struct("m20", -F.col("candidate_id"))).alias("s")).select("pattern_id", "s.*")
-        best = top_n(one, ["pattern_id"], [F.desc("m20"), F.col("candidate_id")], top).select("pattern_id", F.lit(lattice).alias("lattice"), "candidate_id", "xnn", "m20")
-        out = best if out is None else out.unionByName(best)
-    return out
+    system = system_of(lattice)
+    _, terms = references(cands.sparkSession, lattice, n_refs)
+    groups, masks = group_masks(lattice, terms)
+    radius = SPREAD.get(system, ELSE_SPREAD)[2]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("candidate_id").reset_index(drop=True)
+        pdf = pdf[finite(np.stack(pdf["xnn"].to_numpy()).astype(float))].reset_index(drop=True)
+        if not len(pdf) or not len(pdf["q"].iloc[0]):
+            return pd.DataFrame(columns=["pattern_id", "candidate_id", "xnn", "m20", "m_info", "n_indexed", "extinction_group"])
+        q, x = (np.stack(pdf[c].to_numpy()).astype(float) for c in ("q", "xnn"))
+        m, which = pdf["m20"].to_numpy().copy(), np.zeros(len(pdf), int)
+        tried = np.argsort(-m, kind="stable")[: int(len(m) * TRIED.get(lattice, 1.0))]
+        each = masked_merits(q[tried], x[tried], terms, masks)
+        which[tried] = each.argmax(1)
+        m[tried] = each[np.arange(len(tried)), which[tried]]
+        info, indexed, volume = np.zeros(len(m)), np.zeros(len(m), int), reciprocal_volume(x, system)
+        for g in np.unique(which):
+            rows = np.flatnonzero(which == g)
+            p = explained(q[rows], assign(q[rows], x[rows], terms[masks[g]])[1], volume[rows], lattice)
+            indexed[rows] = (p > 0.95).sum(1)
+            with np.errstate(divide="ignore"):
+                info[rows] = -np.log2(-np.expm1(np.log(p).sum(1)))
+        order, stays = np.lexsort((pdf["candidate_id"].to_numpy(), volume)), np.zeros(len(m), bool)
+        for lo in range(0, len(order), block):
+            rows = order[lo : lo + block]
+            stays[rows[thinned(x[rows], m[rows], radius)]] = True
+        best = [i for i in np.argsort(-m, kind="stable") if stays[i]][:top]
+        return pd.DataFrame({"pattern_id": pdf["pattern_id"].to_numpy()[best], "candidate_id": pdf["candidate_id"].to_numpy()[best], "xnn": [x[i] for i in best], "m20": m[best], "m_info": info[best], "n_indexed": indexed[best], "extinction_group": [groups[which[i]].name for i in best]})
+
+    return cands.select("pattern_id", "candidate_id", "q", "xnn", "m20").groupBy("pattern_id").applyInPandas(run, FOUND)
+
+
+def search_lattice(patterns: DataFrame, lattice: str, quotas: dict[str, int], n_refs: int = 200, top: int = 20, steps: dict[str, tuple[int, int]] | None = None, generators: dict | None = None) -> DataFrame:
+    """FOUND columns: the best `top` cells of each pattern in one lattice, all stages in one lineage.
+
+    Candidates are generated, spread out where they are dense, refined by random
+    subsampling, refined on their explained peaks, put into their standard cell,
+    corrected for multiples and finished (see finish).
+    """
+    system, refs = system_of(lattice), reference_terms(patterns.sparkSession, lattice, n_refs)
+    n, keep = (steps or STEPS)[system]
+    most, radius, _ = SPREAD.get(system, ELSE_SPREAD)
+    cands = spread_dense(generate(patterns, refs, system, quotas, generators), system, radius, most)
+    cands = refine_step(cands, refs, system, "random_subsampling", n, keep)
+    cands = refine_step(refine_indexed(cands, refs, lattice), refs, system, "deterministic", 3)
+    return finish(correct_multiples(standardise_candidates(cands, refs, system), refs, system), lattice, top, n_refs)
+
+
+def index_patterns(patterns: DataFrame, lattices: list[str], quotas: dict[str, int], n_refs: int = 200, top: int = 20, steps: dict[str, tuple[int, int]] | None = None, generators: dict | None = None) -> DataFrame:
+    """FOUND columns, `lattice` and `rank`: the best `top` cells of each pattern over all of the lattices, by merit, then lattice and candidate.
+
+    patterns: (pattern_id, q array, ascending). A pattern with no peak or with a
+    peak that isn't finite has no rows.
+    """
+    fine = patterns.where((F.size("q") > 0) & F.forall("q", lambda v: v.isNotNull() & (F.abs(v) < float("inf"))))
+    each = [search_lattice(fine, lattice, quotas, n_refs, top, steps, generators).withColumn("lattice", F.lit(lattice)) for lattice in lattices]
+    order = Window.partitionBy("pattern_id").orderBy(F.desc("m20"), "lattice", "candidate_id")
+    return reduce(DataFrame.unionByName, each).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

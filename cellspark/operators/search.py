@@ -19,14 +19,15 @@ MULTIPLICITY = {"cF": 128, "cI": 64, "cP": 32, "hP": 14, "hR": 8, "tI": 26, "tP"
 def reference_hkl(spark: SparkSession, lattice: str, system: str, n: int, weights: list[float], reach: int = 6) -> DataFrame:
     """(ref_index, h, k, l, terms): n - 1 reflections in order of their terms' product with the weights, and (0, 0, 0) at the end.
 
-    All indices up to reach, without those that the centring forbids; of
+    All indices up to reach, without those that the centring forbids (an R
+    lattice has its primitive axes, on which nothing is forbidden); of
     reflections with equal terms the largest (h, k, l).
     """
     r = spark.range(-reach, reach + 1).select(F.col("id").cast("int").alias("h"))
     grid = r.crossJoin(r.withColumnRenamed("h", "k")).crossJoin(r.withColumnRenamed("h", "l"))  # a fixed (2 * reach + 1)**3 rows
     h, k, l = F.col("h"), F.col("k"), F.col("l")  # noqa: E741
     even = lambda x: x % 2 == 0
-    centring = {"F": even(h + k) & even(k + l), "I": even(h + k + l), "C": even(h + k), "R": (-h + k + l) % 3 == 0}.get(lattice[1:] if lattice != "mC" else "I", F.lit(True))
+    centring = {"F": even(h + k) & even(k + l), "I": even(h + k + l), "C": even(h + k)}.get(lattice[1:] if lattice != "mC" else "I", F.lit(True))
     rows = grid.where(~((h == 0) & (k == 0) & (l == 0)) & centring).withColumn("terms", hkl_terms(h, k, l, F.lit(system)))
     one = rows.groupBy("terms").agg(F.max(F.struct("h", "k", "l")).alias("m"))
     size = sum((F.get("terms", F.lit(i)) * w for i, w in enumerate(weights)), F.lit(0.0))
