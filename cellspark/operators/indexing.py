@@ -39,7 +39,16 @@ def reference_terms(spark: SparkSession, lattice: str, n: int = 200) -> np.ndarr
 
 
 def references(spark: SparkSession, lattice: str, n: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """(hkl, terms) of the n first reflections of a lattice (fewer, where so many differ): a fixed small table without the sentinel."""
+    """(hkl, terms) of the n first reflections of a lattice (fewer, where so many differ): a fixed small table without the sentinel, made once a process."""
+    if (lattice, n) not in _REFERENCES:
+        _REFERENCES[lattice, n] = _references(spark, lattice, n)
+    return _REFERENCES[lattice, n]
+
+
+_REFERENCES: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _references(spark: SparkSession, lattice: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     system = system_of(lattice)
     weights = [1.0] * len(FREE[system])
     if system == "monoclinic":
@@ -63,16 +72,16 @@ def draws(seed: int, step: int, pattern: np.ndarray, candidate: np.ndarray, n: i
 
 
 #: Differences of peaks and references that are held at once.
-HELD = 1 << 18
+HELD = 1 << 16
 
 
 def nearest(q: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index, value) of the reference nearest to each peak, row by row; of equally near ones the smaller value, of equal values the first."""
     d = np.abs(ref[:, None, :] - q[:, :, None])
     at = d.argmin(2)
-    least = np.take_along_axis(d, at[:, :, None], 2)
-    for i, j in zip(*np.nonzero((d == least).sum(2) > 1), strict=True):
-        tied = np.flatnonzero(d[i, j] == least[i, j])
+    last = d.shape[2] - 1 - d[:, :, ::-1].argmin(2)
+    for i, j in zip(*np.nonzero(at != last), strict=True):
+        tied = np.flatnonzero(d[i, j] == d[i, j, at[i, j]])
         at[i, j] = tied[ref[i, tied].argmin()]
     return at, np.take_along_axis(ref, at, 1)
 
@@ -153,6 +162,10 @@ def solve(terms: np.ndarray, q: np.ndarray, weight: np.ndarray, x: np.ndarray) -
     return out
 
 
+#: Of the reciprocal metric of a triclinic cell, over the lengths of its axes.
+LEAST_EIGENVALUE = 1e-3
+
+
 def physical(x: np.ndarray, system: str, least: float = 1e-6, most: float = 0.25) -> np.ndarray:
     """x made a cell: diagonal coefficients within least and most, cross terms drawn back until the reciprocal metric is positive; a row that isn't finite becomes a cube of 5 angstrom. Each row is judged by itself."""
     x = x.copy()
@@ -165,11 +178,14 @@ def physical(x: np.ndarray, system: str, least: float = 1e-6, most: float = 0.25
         room = 1.98 * np.sqrt(x[:, 0] * x[:, 2])
         x[:, 3] = np.clip(x[:, 3], -room, room)
     if system == "triclinic":
-        for _ in range(60):
-            bad = np.linalg.eigvalsh(reciprocal_metric(x))[:, 0] <= 1e-3 * x[:, :3].min(1)
-            if not bad.any():
-                break
-            x[bad, 3:] *= 0.9
+        g = reciprocal_metric(x)
+        edge = np.sqrt(np.einsum("nii->ni", g))
+        r = g / (edge[:, :, None] * edge[:, None, :])  # ones on the diagonal
+        minor = 1 - np.maximum.reduce([r[:, 0, 1] ** 2, r[:, 0, 2] ** 2, r[:, 1, 2] ** 2])
+        bad = np.flatnonzero((minor <= 0) | (np.linalg.det(r) <= 3 * LEAST_EIGENVALUE))
+        if len(bad):
+            lowest = np.linalg.eigvalsh(r[bad])[:, 0]
+            x[bad, 3:] *= np.minimum(1, (1 - LEAST_EIGENVALUE) / np.maximum(1 - lowest, 1e-9))[:, None]
     return x
 
 
@@ -357,24 +373,25 @@ def absence_groups(cands: DataFrame, lattice: str, n: int = 200) -> DataFrame:
 
 
 def peaks_of_cells(df: DataFrame, key: str, xnn: str, lattice: str, n: int = 20, n_refs: int = 200) -> DataFrame:
-    """(pattern_id, q, xnn): the n first different lines of each cell, rounded to nine places. df: rows of a key (whole number) and of coefficients."""
+    """(pattern_id, q, xnn): the n first different lines of each cell, rounded to twelve places. df: rows of a key (whole number) and of coefficients."""
     refs = reference_terms(df.sparkSession, lattice, n_refs)
 
     def run(batches):
         for pdf in batches:
             if len(pdf):
                 q = calculated(np.stack(pdf["xnn"].to_numpy()).astype(float), refs)
-                yield pdf.assign(q=[np.unique(np.round(row, 9))[:n] for row in q])[["pattern_id", "q", "xnn"]]
+                yield pdf.assign(q=[np.unique(np.round(row, 12))[:n] for row in q])[["pattern_id", "q", "xnn"]]
 
     return df.select(F.col(key).cast("long").alias("pattern_id"), F.col(xnn).alias("xnn")).mapInPandas(run, "pattern_id long, q array<double>, xnn array<double>")
 
 
 def near_cells(patterns: DataFrame, system: str, n: int, share: float, seed: int = 0) -> DataFrame:
-    """Candidates for a test of convergence: n cells of each pattern (pattern_id, q, xnn), whose coefficients are off by up to `share` of the first one."""
+    """Candidates for a test of convergence: n cells of each pattern (pattern_id, q, xnn), whose coefficients are off by up to `share` of the least of an axis."""
 
     def step(rows: pd.DataFrame, q: np.ndarray, x: np.ndarray):
         u = draws(seed, 0, rows["pattern_id"].to_numpy(), rows["candidate_id"].to_numpy(), x.shape[1])
-        return physical(x + share * (2 * u - 1) * x[:, :1], system), np.zeros(len(x))
+        least = x[:, : {"rhombohedral": 1}.get(system, min(3, x.shape[1]))].min(1, keepdims=True)
+        return physical(x + share * (2 * u - 1) * least, system), np.zeros(len(x))
 
     return _batches(patterns.withColumn("candidate_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("m20", F.lit(0.0)), step)
 
