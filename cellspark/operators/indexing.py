@@ -194,8 +194,18 @@ def reciprocal_metric(x: np.ndarray) -> np.ndarray:
     return np.stack([np.stack([x[:, 0], x[:, 5] / 2, x[:, 4] / 2], 1), np.stack([x[:, 5] / 2, x[:, 1], x[:, 3] / 2], 1), np.stack([x[:, 4] / 2, x[:, 3] / 2, x[:, 2]], 1)], 1)
 
 
-def _batches(df: DataFrame, step: Callable[[pd.DataFrame, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """df with the xnn and m20 that step gives for (rows, q, xnn); rows are taken by their number of peaks, some thousand at once."""
+def dealt(df: DataFrame) -> DataFrame:
+    """df by pattern, over as many tasks as a shuffle has: few bytes are much work here, so partitions must not be merged by size."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "pattern_id")
+
+
+#: (rows, q, xnn) to the new xnn and m20.
+Step = Callable[[pd.DataFrame, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def _batches(df: DataFrame, *steps: Step) -> DataFrame:
+    """df with the xnn and m20 that the steps give, one after the other; rows are taken by their number of peaks, some thousand at once."""
 
     def run(batches):
         for pdf in batches:
@@ -207,7 +217,9 @@ def _batches(df: DataFrame, step: Callable[[pd.DataFrame, np.ndarray, np.ndarray
                     if not size:
                         yield part.assign(m20=0.0)
                         continue
-                    x, m = step(part, np.stack(part["q"].to_numpy()).astype(float), np.stack(part["xnn"].to_numpy()).astype(float))
+                    q, x, m = np.stack(part["q"].to_numpy()).astype(float), np.stack(part["xnn"].to_numpy()).astype(float), part["m20"].to_numpy()
+                    for step in steps:
+                        x, m = step(part, q, x)
                     yield part.assign(xnn=list(x), m20=m)
 
     return df.select("pattern_id", F.col("candidate_id").cast("int").alias("candidate_id"), "q", "xnn", F.col("m20").cast("double").alias("m20")).mapInPandas(run, COLUMNS)
@@ -222,8 +234,8 @@ def score(cands: DataFrame, refs: np.ndarray) -> DataFrame:
 WORKERS = {"deterministic": (False, False), "random_subsampling": (True, False), "random_power": (False, True), "random_subsampling_power": (True, True)}
 
 
-def refine_step(cands: DataFrame, refs: np.ndarray, system: str, worker: str = "random_subsampling", steps: int = 1, keep: int = 6, power: tuple[float, float] = (0.0, 2.0), seed: int = 0) -> DataFrame:
-    """cands after steps of a worker: weights (a subsample of `keep` peaks, powers of q2, or neither), least squares, repair, assignment; a step stays where the merit grew."""
+def refining(refs: np.ndarray, system: str, worker: str = "random_subsampling", steps: int = 1, keep: int = 6, power: tuple[float, float] = (0.0, 2.0), seed: int = 0) -> Step:
+    """Steps of a worker: weights (a subsample of `keep` peaks, powers of q2, or neither), least squares, repair, assignment; a step stays where the merit grew."""
     subsample, powers = WORKERS[worker]
 
     def step(rows: pd.DataFrame, q: np.ndarray, x: np.ndarray):
@@ -245,7 +257,12 @@ def refine_step(cands: DataFrame, refs: np.ndarray, system: str, worker: str = "
             best[up], at[up], calc[up], merit[up] = new[up], a[up], c[up], m[up]
         return best, merit
 
-    return _batches(cands, step)
+    return step
+
+
+def refine_step(cands: DataFrame, refs: np.ndarray, system: str, *args, **options) -> DataFrame:
+    """cands after steps of a worker (see refining)."""
+    return _batches(cands, refining(refs, system, *args, **options))
 
 
 def explained(q: np.ndarray, calc: np.ndarray, volume: np.ndarray, lattice: str) -> np.ndarray:
@@ -254,8 +271,8 @@ def explained(q: np.ndarray, calc: np.ndarray, volume: np.ndarray, lattice: str)
         return 1 / (1 + 8 * np.pi * q * np.abs(np.sqrt(q) - np.sqrt(np.maximum(calc, 0))) / (volume[:, None] * MULTIPLICITY[lattice]))
 
 
-def refine_indexed(cands: DataFrame, refs: np.ndarray, lattice: str, over: float = 0.95) -> DataFrame:
-    """cands refined once more on those peaks alone that are explained with a probability of `over`; kept where the merit grew."""
+def refining_indexed(refs: np.ndarray, lattice: str, over: float = 0.95) -> Step:
+    """One more refinement, on those peaks alone that are explained with a probability of `over`; kept where the merit grew."""
     system = system_of(lattice)
 
     def step(rows: pd.DataFrame, q: np.ndarray, x: np.ndarray):
@@ -267,7 +284,12 @@ def refine_indexed(cands: DataFrame, refs: np.ndarray, lattice: str, over: float
         up = m > merit
         return np.where(up[:, None], new, x), np.where(up, m, merit)
 
-    return _batches(cands, step)
+    return step
+
+
+def refine_indexed(cands: DataFrame, refs: np.ndarray, lattice: str, over: float = 0.95) -> DataFrame:
+    """cands refined on their explained peaks (see refining_indexed)."""
+    return _batches(cands, refining_indexed(refs, lattice, over))
 
 
 def whole_xnn(x: np.ndarray, system: str) -> np.ndarray:
@@ -303,8 +325,8 @@ def multiples(system: str) -> np.ndarray:
     return f**2
 
 
-def correct_multiples(cands: DataFrame, refs: np.ndarray, system: str) -> DataFrame:
-    """cands, each in place of that one of its multiples which has the greatest merit; of equal ones the first of multiples()."""
+def correcting(refs: np.ndarray, system: str) -> Step:
+    """Each cell gives way to that one of its multiples which has the greatest merit; of equal ones the first of multiples()."""
     factors = multiples(system)
 
     def step(rows: pd.DataFrame, q: np.ndarray, x: np.ndarray):
@@ -315,7 +337,12 @@ def correct_multiples(cands: DataFrame, refs: np.ndarray, system: str) -> DataFr
             best[up], merit[up] = (x * f)[up], m[up]
         return best, merit
 
-    return _batches(cands, step)
+    return step
+
+
+def correct_multiples(cands: DataFrame, refs: np.ndarray, system: str) -> DataFrame:
+    """cands corrected for multiples (see correcting)."""
+    return _batches(cands, correcting(refs, system))
 
 
 def terms_of(hkl: np.ndarray, system: str) -> np.ndarray:
@@ -393,11 +420,11 @@ def near_cells(patterns: DataFrame, system: str, n: int, share: float, seed: int
         least = x[:, : {"rhombohedral": 1}.get(system, min(3, x.shape[1]))].min(1, keepdims=True)
         return physical(x + share * (2 * u - 1) * least, system), np.zeros(len(x))
 
-    return _batches(patterns.withColumn("candidate_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("m20", F.lit(0.0)), step)
+    return _batches(dealt(patterns).withColumn("candidate_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("m20", F.lit(0.0)), step)
 
 
-def standardise_candidates(cands: DataFrame, refs: np.ndarray, system: str) -> DataFrame:
-    """Triclinic candidates in their reduced cell, monoclinic ones with the least cross term; a cell that can't be reduced stays."""
+def standardising(refs: np.ndarray, system: str) -> Step:
+    """Triclinic cells in their reduced cell, monoclinic ones with the least cross term; a cell that can't be reduced stays."""
 
     def step(rows: pd.DataFrame, q: np.ndarray, x: np.ndarray):
         new = x.copy()
@@ -423,7 +450,12 @@ def standardise_candidates(cands: DataFrame, refs: np.ndarray, system: str) -> D
         new[back] = x[back]
         return new, np.where(back, assign(q, x, refs)[2], a)
 
-    return _batches(cands, step) if system in ("monoclinic", "triclinic") else cands
+    return step
+
+
+def standardise_candidates(cands: DataFrame, refs: np.ndarray, system: str) -> DataFrame:
+    """cands in their standard cell (see standardising); other systems' cells have but one."""
+    return _batches(cands, standardising(refs, system)) if system in ("monoclinic", "triclinic") else cands
 
 
 def template_candidates(patterns: DataFrame, templates: np.ndarray, refs: np.ndarray, system: str, top: int) -> DataFrame:
@@ -556,7 +588,7 @@ def spread_dense(cands: DataFrame, system: str, radius: float, most: int, rounds
         x[fine] = spread(x[fine], tuple(pdf[c].to_numpy()[fine] for c in ("pattern_id", "candidate_id")), system, radius, most, rounds, seed)
         return pdf.assign(xnn=list(x))
 
-    return cands.select("pattern_id", "candidate_id", "q", "xnn", "m20").groupBy("pattern_id").applyInPandas(run, COLUMNS)
+    return dealt(cands.select("pattern_id", "candidate_id", "q", "xnn", "m20")).groupBy("pattern_id").applyInPandas(run, COLUMNS)
 
 
 #: Of a pattern's candidates, how many may lie within which distance before they are spread, and the distance at which two count as one in the end. Fixed values, by lattice system.
@@ -621,7 +653,7 @@ def finish(cands: DataFrame, lattice: str, top: int, n_refs: int = 200, block: i
         best = [i for i in np.argsort(-m, kind="stable") if stays[i]][:top]
         return pd.DataFrame({"pattern_id": pdf["pattern_id"].to_numpy()[best], "candidate_id": pdf["candidate_id"].to_numpy()[best], "xnn": [x[i] for i in best], "m20": m[best], "m_info": info[best], "n_indexed": indexed[best], "extinction_group": [groups[which[i]].name for i in best]})
 
-    return cands.select("pattern_id", "candidate_id", "q", "xnn", "m20").groupBy("pattern_id").applyInPandas(run, FOUND)
+    return dealt(cands.select("pattern_id", "candidate_id", "q", "xnn", "m20")).groupBy("pattern_id").applyInPandas(run, FOUND)
 
 
 def search_lattice(patterns: DataFrame, lattice: str, quotas: dict[str, int], n_refs: int = 200, top: int = 20, steps: dict[str, tuple[int, int]] | None = None, generators: dict | None = None) -> DataFrame:
@@ -635,9 +667,14 @@ def search_lattice(patterns: DataFrame, lattice: str, quotas: dict[str, int], n_
     n, keep = (steps or STEPS)[system]
     most, radius, _ = SPREAD.get(system, ELSE_SPREAD)
     cands = spread_dense(generate(patterns, refs, system, quotas, generators), system, radius, most)
-    cands = refine_step(cands, refs, system, "random_subsampling", n, keep)
-    cands = refine_step(refine_indexed(cands, refs, lattice), refs, system, "deterministic", 3)
-    return finish(correct_multiples(standardise_candidates(cands, refs, system), refs, system), lattice, top, n_refs)
+    return finish(refined(cands, refs, lattice, n, keep), lattice, top, n_refs)
+
+
+def refined(cands: DataFrame, refs: np.ndarray, lattice: str, steps: int, keep: int, seed: int = 0) -> DataFrame:
+    """cands after all stages between generation and finish, in one pass over them."""
+    system = system_of(lattice)
+    standard = [standardising(refs, system)] if system in ("monoclinic", "triclinic") else []
+    return _batches(cands, refining(refs, system, "random_subsampling", steps, keep, seed=seed), refining_indexed(refs, lattice), refining(refs, system, "deterministic", 3), *standard, correcting(refs, system))
 
 
 def index_patterns(patterns: DataFrame, lattices: list[str], quotas: dict[str, int], n_refs: int = 200, top: int = 20, steps: dict[str, tuple[int, int]] | None = None, generators: dict | None = None) -> DataFrame:
@@ -647,6 +684,7 @@ def index_patterns(patterns: DataFrame, lattices: list[str], quotas: dict[str, i
     peak that isn't finite has no rows.
     """
     fine = patterns.where((F.size("q") > 0) & F.forall("q", lambda v: v.isNotNull() & (F.abs(v) < float("inf"))))
+    fine = dealt(fine)
     each = [search_lattice(fine, lattice, quotas, n_refs, top, steps, generators).withColumn("lattice", F.lit(lattice)) for lattice in lattices]
     order = Window.partitionBy("pattern_id").orderBy(F.desc("m20"), "lattice", "candidate_id")
     return reduce(DataFrame.unionByName, each).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
