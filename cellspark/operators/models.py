@@ -28,20 +28,6 @@ def fit_cell_forest(df: DataFrame, features: list[str], targets: list[str], weig
     return out
 
 
-def predict_trees(df: DataFrame, model: PipelineModel, out: str = "trees") -> DataFrame:
-    """df with the prediction of every tree (array), their mean and variance. Each tree adds one column to one plan; for some hundred trees split the forest."""
-    assembler, forest = model.stages
-    rows = assembler.transform(df)
-    names = []
-    for i, tree in enumerate(forest.trees):
-        names.append(f"_t{i}")
-        rows = tree.setPredictionCol(names[-1]).setFeaturesCol("features").transform(rows)
-    rows = rows.withColumn(out, F.array(*names)).drop(*names, "features")
-    mean = F.aggregate(out, F.lit(0.0), lambda s, x: s + x) / F.size(out)
-    rows = rows.withColumn(f"{out}_mean", mean)
-    return rows.withColumn(f"{out}_var", F.aggregate(out, F.lit(0.0), lambda s, x: s + (x - F.col(f"{out}_mean")) * (x - F.col(f"{out}_mean"))) / F.size(out))
-
-
 def fit_template_score(df: DataFrame, features: list[str], target: str, rounds: int = 10, depth: int = 3, seed: int = 1) -> PipelineModel:
     return Pipeline(stages=[assembled(features), GBTRegressor(featuresCol="features", labelCol=target, maxIter=rounds, maxDepth=depth, seed=seed)]).fit(df)
 

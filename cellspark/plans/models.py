@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cellspark.operators import models as op
+from cellspark.operators.forests import predict_trees
 from cellspark.plans.peaks import arrays
 from cellspark.plans.registry import query
 from cellspark.plans.views import WITH, view
@@ -20,7 +21,7 @@ def m1_m2_cell_forest(spark, sf_dir):
     """Every tree's prediction of the last peak from the first five."""
     v = peaks_wide(spark, sf_dir)
     model = op.fit_cell_forest(v, QS[:5], ["q9"], trees=5, depth=4)["q9"]
-    return op.predict_trees(v, model).select("pattern_id", "trees", "trees_mean", "trees_var")
+    return predict_trees(v, model).select("pattern_id", "trees", "trees_mean", "trees_var")
 
 
 @query()
