@@ -23,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import kept
+from .shared import kept, looked_up
 
 LINKS, TREES, BLOCK, SETTLED, BEAM, ENTRIES = 32, 4, 256, 50, 160, 16
+#: Members that meet at one point at once; those of a hub, which more points have among their nearest, meet in parts, others each round.
+MEETING = 512
 
 
 def valid(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -131,14 +133,20 @@ def build_graph(points: DataFrame, links: int = LINKS, trees: int = TREES, block
         pairs = near if pairs is None else pairs.union(near)
     graph = kept(_top(pairs, links))
     links_, new = n * min(links, n - 1), n * links
+    round_ = 0
     while new * settled > links_:  # a new link is a nearer one, so this ends
+        round_ += 1
         forward = graph.select("id", F.explode("near").alias("e")).select("id", F.col("e.other").alias("other"))
         order = Window.partitionBy("id").orderBy(F.xxhash64("id", "other"), "other")
         back = forward.select(F.col("other").alias("id"), F.col("id").alias("other")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= links).drop("r")
-        places = forward.union(back).groupBy("id").agg(F.collect_set("other").alias("places"))
+        each = forward.union(back).distinct().withColumnRenamed("other", "place")
+        hubs = kept(each.groupBy("place").count().where(F.col("count") > MEETING).select("place", F.ceil(F.col("count") / MEETING).cast("int").alias("parts")))
+        part = F.pmod(F.xxhash64("id", F.lit(round_)), F.coalesce("parts", F.lit(1))).cast("int")
+        each = looked_up(each, hubs, ["place"], "id").select("id", "place", part.alias("part"))
+        places = each.groupBy("id").agg(F.collect_list(F.struct("place", "part")).alias("places"))
         far = graph.select("id", F.when(F.size("near") < links, F.lit(float("inf"))).otherwise(F.element_at("near", -1)["d"]).cast("float").alias("far"))
         sent = points.join(far, "id").join(places, "id").select(F.explode("places").alias("place"), F.struct("id", "far", "v").alias("m"))
-        found = sent.groupBy("place").agg(F.collect_list("m").alias("members")).select("members").mapInArrow(_meet(links), given)
+        found = sent.groupBy("place.place", "place.part").agg(F.collect_list("m").alias("members")).select("members").mapInArrow(_meet(links), given)
         old = graph.select("id", F.explode("near").alias("e")).select("id", F.col("e.other").alias("other"), F.col("e.d").cast("float").alias("d"))
         now = kept(_top(old.union(found), links))
         each = now.select("id", F.explode("near").alias("e")).select("id", F.col("e.other").alias("other"))

@@ -37,6 +37,8 @@ from .shared import kept, lists, longs, looked_up, mixed, numbered, slices, spac
 SHINGLE, COORDINATES, SCREEN = 5, 128, 32
 #: Shingles of a block of documents that are compared with those of another block at once.
 BLOCK = 1 << 18
+#: What a document counts in a block besides its shingles, so that a block of short ones has a bound too: BLOCK / OWN documents.
+OWN = 32
 #: Greatest chance that a pair of just the asked similarity has too few lists, or values of the screen, in common.
 MISS, SCREEN_MISS = 2e-7, 2e-8
 _random = np.random.default_rng(7)
@@ -184,7 +186,7 @@ def _rest(docs: DataFrame, classes: DataFrame, star: DataFrame, group: DataFrame
     own = kept(looked_up(own, many, ["a"], "b", "inner"))
     sets = shingle_sets(docs, own.select(F.col("b").alias("doc_id")).distinct())
     facts = sets.join(classes.select("id", "n", "sig"), "id").withColumnsRenamed({"id": "b"})
-    sizes = own.join(facts.select("b", "n"), "b").groupBy("a").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    sizes = own.join(facts.select("b", "n"), "b").groupBy("a").agg(F.ceil(F.sum(F.col("n") + OWN) / block).cast("int").alias("blocks"))
     dealt = looked_up(own, sizes, ["a"], "b", "inner").withColumn("block", F.pmod(F.xxhash64("b"), "blocks").cast("int"))
     pair = F.struct(F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("a", "b", "component", "block", pair.alias("p")).select("a", "p.*", "b", "component", "block")

@@ -7,7 +7,7 @@
    scores; a second one goes back along the edges that have them: the Viterbi
    cut of each unit, its ids. A unit of more than PART characters (an unbroken
    run) is exploded and grouped in parts, and folded part by part.
-3. The ids of the most frequent units, HEAD at most (a fixed bound), are sent
+3. The ids of the most frequent units, HEAD at most and of HEAD_BYTES in all, are sent
    to the tasks that cut the texts again and put ids in place of units. Units
    beyond that bound are joined by shuffle, as rows of their documents.
 
@@ -29,16 +29,16 @@ from pyspark.sql import functions as F
 from .pieces import PieceTable, hashes, load, strings
 from .shared import kept, slices
 
-#: Units whose ids are sent to all tasks, each some 20 bytes: 80 MB at most. Different units that a task holds as strings.
-HEAD, HELD = 1 << 22, 1 << 17
+#: Units whose ids are sent to all tasks, and bytes of these ids, at most. Different units that a task holds as strings.
+HEAD, HEAD_BYTES, HELD = 1 << 22, 1 << 27, 1 << 17
 #: Characters of a unit that are folded at once; no piece has more.
 PART = 256
 #: What `before` says of a whole unit of more characters.
 WHOLE = -1
 #: An edge is one long: its end (in the part), its length, and 1 + id, or UNKNOWN + code point where no piece has the character.
 UNKNOWN = 1 << 23
-#: How ids travel; a vocabulary has fewer than 2**16.
-ID = np.dtype("<u2")
+#: How ids travel, of vocabularies of 2**16 pieces at most and of larger ones.
+ID, WIDE = np.dtype("<u2"), np.dtype("<u4")
 
 
 def parts(unit: str, longest: int) -> list[tuple[str, int]]:
@@ -224,31 +224,38 @@ class _Head:
         return out
 
 
-def _packed(batches):
-    """(hash of the unit, its ids as bytes), which take little room on the driver."""
-    for batch in batches:
+def _packed(kind: np.dtype):
+    """(hash of the unit, its ids as bytes of a kind), which take little room on the driver."""
+
+    def run(batches):
+        for batch in batches:
+            yield from pack(batch)
+
+    def pack(batch):
         units, ids = batch.column("unit").to_pylist(), batch.column("ids")
         if not units:
-            continue
+            return
         points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
         h = hashes(points, np.concatenate([[0], ends[:-1]]).astype(np.int64))
         offsets = ids.offsets.to_numpy()
-        values = ids.values.to_numpy()[offsets[0] : offsets[-1]].astype(ID)
-        offsets = ((offsets - offsets[0]) * ID.itemsize).astype(np.int32)
+        values = ids.values.to_numpy()[offsets[0] : offsets[-1]].astype(kind)
+        offsets = ((offsets - offsets[0]) * kind.itemsize).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.Array.from_buffers(pa.binary(), len(units), [None, pa.py_buffer(offsets), pa.py_buffer(values)])], ["h", "ids"])
 
+    return run
+
 
-def _head(units: DataFrame) -> _Head:
+def _head(units: DataFrame, kind: np.dtype) -> _Head:
     """The rows (unit, ids) as they are sent to all tasks."""
-    table = units.select("unit", "ids").mapInArrow(_packed, "h long, ids binary").toArrow()
+    table = units.select("unit", "ids").mapInArrow(_packed(kind), "h long, ids binary").toArrow()
     if not table.num_rows:
-        return _Head(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, ID))
+        return _Head(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, kind))
     h, ids = table["h"].to_numpy().view(np.uint64), table["ids"].combine_chunks()
     del table
     _, offsets, data = ids.buffers()
-    offsets = np.frombuffer(offsets, np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64) // ID.itemsize
-    return _Head(h, offsets, np.frombuffer(data, ID))
+    offsets = np.frombuffer(offsets, np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64) // kind.itemsize
+    return _Head(h, offsets, np.frombuffer(data, kind))
 
 
 def _array(values: pa.Array, counts: np.ndarray) -> pa.Array:
@@ -323,7 +330,19 @@ def _filled(n_keep: int):
     return run
 
 
-def encode(df: DataFrame, model_path: str, text: str = "text", keep: list[str] | None = None, head: int = HEAD, verify: bool = False) -> DataFrame:
+def _frequent(units: DataFrame, head: int, head_bytes: int, width: int) -> tuple[bool, DataFrame]:
+    """(are these all of the units?, those whose ids are sent to all tasks). Where the `head` most frequent have more than head_bytes of ids, of these the short ones alone, each of its share of the bytes at most."""
+    size = F.size("ids") * width
+    n, total = units.agg(F.count("*"), F.sum(size)).first()
+    if n <= head and (total or 0) <= head_bytes:
+        return True, units
+    top = kept(units.orderBy(F.desc("n"), "unit").limit(head)) if n > head else units
+    if n > head and (top.agg(F.sum(size)).first()[0] or 0) <= head_bytes:
+        return False, top
+    return False, kept(top.where(size <= head_bytes // max(1, min(n, head))))
+
+
+def encode(df: DataFrame, model_path: str, text: str = "text", keep: list[str] | None = None, head: int = HEAD, verify: bool = False, head_bytes: int = HEAD_BYTES) -> DataFrame:
     """df (or its columns `keep`) with ids: the best cut of each whole text, in order, without special tokens.
 
     Of equally good cuts that with the longest last piece counts. Characters
@@ -340,9 +359,9 @@ def encode(df: DataFrame, model_path: str, text: str = "text", keep: list[str] |
     rows = df.select(*[F.col(c).alias(k) for c, k in names.items()], F.col(text).alias("text"))
     seen = rows.select("text").mapInArrow(_distinct(model_path), "unit string, before int, n long").groupBy("unit", "before").agg(F.sum("n").alias("n"))
     units = unit_ids(seen, table)
-    whole = units.count() <= head
-    frequent = units if whole else kept(units.orderBy(F.desc("n"), "unit").limit(head))
-    sent = df.sparkSession.sparkContext.broadcast(_head(frequent))
+    kind = ID if len(table.names) <= 1 << 16 else WIDE
+    whole, frequent = _frequent(units, head, head_bytes, kind.itemsize)
+    sent = df.sparkSession.sparkContext.broadcast(_head(frequent, kind))
     results = [*[F.col(k).alias(c) for c, k in names.items()], "ids", *["round_trip"] * verify]
     if whole:
         return rows.mapInArrow(_encoded(model_path, sent, len(keep), verify), f"{kinds}ids array<int>, holes array<string>" + ", round_trip boolean" * verify).select(*results)
