@@ -136,8 +136,8 @@ def test_very_long_units(spark, library):
     r = random.Random(4)
     texts = ["".join(r.choice("abcdefghijklmnop") for _ in range(n)) for n in (255, 256, 257, 511, 513, 3000, 100_000)]
     texts += ["the" * 500, "a" * 2000, "\u00e9" * 600, "b" * 256 + " " + "c" * 256, texts[1] + " " + texts[1] + "x", (texts[5] + " ") * 3]
-    for head in (1 << 20, 0):
-        out = {x["doc_id"]: x for x in sentencepiece_lattice.encode(docs(spark, texts), MODEL, keep=["doc_id"], head=head, verify=True).collect()}
+    for head, most in ((1 << 20, 1 << 27), (0, 1 << 27), (1 << 20, 4000), (4, 4000)):  # the long ones have more bytes of ids than 4000
+        out = {x["doc_id"]: x for x in sentencepiece_lattice.encode(docs(spark, texts), MODEL, keep=["doc_id"], head=head, head_bytes=most, verify=True).collect()}
         for i, text in enumerate(texts):
             assert out[i]["round_trip"], i
             if len(text) < 10_000:  # sums of the library are single precision
@@ -146,6 +146,18 @@ def test_very_long_units(spark, library):
     assert counts == {i: len(x["ids"]) for i, x in out.items()}
 
 
+def test_head_bytes(spark):
+    """However long the units, the ids that are sent to all tasks stay within the bound."""
+    units = spark.range(200).selectExpr("concat('u', id) AS unit", "id AS n", "transform(sequence(1, CAST(id * 10 + 1 AS INT)), x -> 7) AS ids")
+    for head in (1 << 20, 100):
+        for most in (1 << 27, 50_000, 1000, 0):
+            whole, top = sentencepiece_lattice._frequent(units, head, most, 2)
+            sizes = [2 * len(r["ids"]) for r in top.collect()]
+            assert sum(sizes) <= most and len(sizes) <= head and whole == (head > 200 and most == 1 << 27)
+    sent = sentencepiece_lattice._head(units, sentencepiece_lattice.WIDE)
+    assert sent.ids.dtype == np.uint32 and sent.size.max() == 1991
+
+
 def test_counts_equal_library(spark, library):
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs(spark, TEXTS), MODEL).collect()}
     assert got == {i: len(library.encode(t or "")) for i, t in enumerate(TEXTS)}
@@ -183,6 +195,35 @@ def test_neighbours(spark):
     assert ann.nearest_neighbours(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_of_a_hub(spark, monkeypatch):
+    """A point that all others have among their nearest: its members meet in parts, and the graph is as good."""
+    monkeypatch.setattr(ann, "MEETING", 40)
+    r = np.random.default_rng(6)
+    x = r.normal(size=(700, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    x[0] = 1e-3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    seen, meet = [], ann._meet
+
+    def watched(links):
+        run = meet(links)
+
+        def out(batches):
+            for batch in batches:
+                assert max(batch.column("members").value_lengths().to_pylist()) < 120  # 700 in one, without parts
+                yield from run([batch])
+
+        seen.append(1)
+        return out
+
+    monkeypatch.setattr(ann, "_meet", watched)
+    graph = {g["id"]: [e["other"] for e in g["near"]] for g in ann.build_graph(df, links=16, trees=2, block=100).collect()}
+    d = ((x[:, None].astype(float) - x[None]) ** 2).sum(2)
+    want = {i: [j for j in np.argsort(d[i], kind="stable") if j != i][:16] for i in range(len(x))}
+    assert seen and sum(0 in v for k, v in graph.items() if k) > 500
+    assert np.mean([len(set(graph[i]) & set(want[i])) / 16 for i in want]) > 0.8
+
+
 # --- secrets
 
 
@@ -330,6 +371,19 @@ def test_near_duplicates(spark):
     assert minhash_dedup.near_duplicates(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_blocks_of_short_documents(spark):
+    """Thousands of documents of one or two shingles that share a head: blocks have a bound in documents too."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(6)]
+    texts = [" ".join(base[:5]) + f" x{i}" for i in range(600)] + [" ".join(base[:5])] * 3 + [prose(r.randrange(99), 5) for _ in range(50)]
+    got = {x["doc_id"]: x["component_id"] for x in minhash_dedup.near_duplicates(docs(spark, texts), 85, block=2048).collect()}
+    sets = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        sets.setdefault(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)), []).append(i)
+    assert got == {i: min(v) for v in sets.values() for i in v}  # one shingle of two in common is no link
+
+
 def test_near_duplicates_of_odd_ids(spark):
     """Null, repeated and textual ids: every row has a result, rows without an id come last."""
     texts = [prose(i, 60) for i in range(6)]
