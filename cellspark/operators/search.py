@@ -118,32 +118,3 @@ def keep_improved(old: DataFrame, new: DataFrame, key: list[str], score: str) ->
     both = old.select(*key, F.struct(*names).alias("_o")).join(new.select(*key, F.struct(*names).alias("_n")), key, "left")
     picked = F.when(F.col(f"_n.{score}") > F.col(f"_o.{score}"), F.col("_n")).otherwise(F.col("_o"))
     return both.select(*key, picked.alias("_p")).select(*key, "_p.*")
-
-
-#: Multiples by which a cell may be off. Fixed values.
-FACTORS = {"cubic": (0.5, 2.0), "tetragonal": (1 / 3, 0.5, 1.0, 2.0, 3.0), "hexagonal": (1 / 3, 0.5, 1.0, 2.0, 3.0), "orthorhombic": (0.5, 1.0, 2.0)}
-
-
-def close_cells(a: list[Column], b: list[Column], rtol: float = 0.01) -> Column:
-    out = F.lit(True)
-    for x, y in zip(a, b, strict=True):
-        out &= F.abs(x - y) <= 1e-8 + rtol * F.abs(y)
-    return out
-
-
-def match_cells(system: str, found: list[Column], truth: list[Column], rtol: float = 0.01) -> tuple[Column, Column]:
-    """(correct, off by a factor) of cubic [a], tetragonal and hexagonal [a, c] and orthorhombic [a, b, c] cells."""
-    import itertools
-
-    if system == "orthorhombic":
-        found, truth = ([F.get(F.array_sort(F.array(*v)), F.lit(i)) for i in range(3)] for v in (found, truth))
-    correct = close_cells(found, truth, rtol)
-    off = F.lit(False)
-    for f in itertools.product(FACTORS[system], repeat=len(found)):
-        if set(f) == {1.0}:
-            continue
-        moved = [x * m for x, m in zip(found, f, strict=True)]
-        if system == "orthorhombic":
-            moved = [F.get(F.array_sort(F.array(*moved)), F.lit(i)) for i in range(3)]
-        off |= close_cells(moved, truth, rtol)
-    return correct, off & ~correct

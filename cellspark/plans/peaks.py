@@ -268,20 +268,3 @@ SELECT pattern_id, candidate_id, round(x, 9) AS x, round(m20, 5) AS m20 FROM k W
 def c8_cubic_search(spark, sf_dir):
     out = search.cubic_search(view(spark, sf_dir, "first_peaks"), _SUMS, top=5)
     return out.select("pattern_id", "candidate_id", F.round("x", 9).alias("x"), F.round("m20", 5).alias("m20"))
-
-
-@query(f"""{C}, t AS (SELECT entry_id, a, CASE WHEN entry_id % 3 = 0 THEN a * 2 WHEN entry_id % 3 = 1 THEN a * 1.005e0 ELSE b END AS f FROM v) SELECT entry_id, abs(f - a) <= 1e-8 + 0.01e0 * a AS correct, NOT abs(f - a) <= 1e-8 + 0.01e0 * a AND (abs(f / 2 - a) <= 1e-8 + 0.01e0 * a OR abs(f * 2 - a) <= 1e-8 + 0.01e0 * a) AS off FROM t""")
-def e7_match_cells(spark, sf_dir):
-    a, i = F.col("a"), F.col("entry_id")
-    f = F.when(i % 3 == 0, a * 2).when(i % 3 == 1, a * 1.005).otherwise(F.col("b"))
-    correct, off = search.match_cells("cubic", [f], [a])
-    return view(spark, sf_dir, "cells").select("entry_id", correct.alias("correct"), off.alias("off"))
-
-
-@query("""SELECT user_id AS pattern_id, CASE WHEN bool_or(event_type = 'click' AND value < 5) THEN 'found' WHEN bool_or(event_type = 'view' AND value < 5) THEN 'incorrect_bl' WHEN bool_or(event_type = 'error' AND value < 20) THEN 'off_by_two' WHEN bool_or(value > 95) THEN 'explainer' ELSE 'not_found' END AS outcome FROM events GROUP BY 1""")
-def e8_classify_outcome(spark, sf_dir):
-    """One outcome a pattern, over all its candidates; the first that fits counts."""
-    v, kind, value = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_type"), F.col("value")
-    rules = (("found", (kind == "click") & (value < 5)), ("incorrect_bl", (kind == "view") & (value < 5)), ("off_by_two", (kind == "error") & (value < 20)), ("explainer", value > 95))
-    flags = v.groupBy(F.col("user_id").alias("pattern_id")).agg(*[F.bool_or(c).alias(n) for n, c in rules])
-    return flags.select("pattern_id", F.coalesce(*[F.when(F.col(n), n) for n, _ in rules], F.lit("not_found")).alias("outcome"))
