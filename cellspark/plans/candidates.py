@@ -39,33 +39,6 @@ def p7_validate_entries(spark, sf_dir):
     return op.validate_entries(b.withColumn("volume", F.coalesce(volume, F.lit(0.0)))).select("entry_id", "reason")
 
 
-@query(f"{C}, s AS (SELECT entry_id, {_LSYSTEM} AS s, CASE WHEN ({_LATTICE}) = 'hR' THEN 3*a*a + c*c ELSE a*a END AS l2, a*b*c*sqrt({_ROOT}) AS vol FROM v WHERE {_ROOT} > 0) SELECT entry_id, s AS lattice_system, round(vol, 6) AS volume FROM s WHERE s <> 'triclinic'")
-def p24_standardise_entries(spark, sf_dir):
-    """Reordering the axes of the closed-form systems leaves the volume as it is."""
-    v = symmetry.with_symmetry(view(spark, sf_dir, "cells")).where("lattice_system <> 'triclinic'")
-    order = cell.orthorhombic_order(F.lit("P"), F.col("a"), F.col("b"), F.col("c"))
-    v = v.withColumn("o", F.when(F.col("lattice_system") == "orthorhombic", order).otherwise("abc"))
-    lengths = cell.permuted(F.col("o"), cell.columns()[:3])
-    angles = cell.permuted(F.col("o"), cell.columns()[3:])
-    return v.select("entry_id", "lattice_system", F.round(cell.volume(*lengths, *angles), 6).alias("volume")).where("volume IS NOT NULL")
-
-
-@query(f"{C} SELECT entry_id, true AS ok FROM v WHERE {_ROOT} > 0")
-def p25_reindex_ok(spark, sf_dir):
-    """q2 of reflections is the same before and after the axes are permuted along with their indices."""
-    hkl = [(h, k, l) for h in range(3) for k in range(-1, 2) for l in range(3) if (h, k, l) != (0, 0, 0)]
-    v = view(spark, sf_dir, "cells").withColumn("o", cell.orthorhombic_order(F.lit("P"), F.col("a"), F.col("b"), F.col("c")))
-    moved = [*cell.permuted(F.col("o"), cell.columns()[:3]), *cell.permuted(F.col("o"), cell.columns()[3:])]
-    v = v.select("*", *[m.alias(f"n{i}") for i, m in enumerate(moved)])
-    before = v.select("entry_id", "o", F.array(*cell.xnn(cell.columns())).alias("x"), F.array(*cell.xnn([F.col(f"n{i}") for i in range(6)])).alias("y"))
-    refs = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(r, "hkl", strict=True)]) for r in hkl])).alias("r")
-    rows = before.where(F.get("x", F.lit(0)).isNotNull()).select("entry_id", "o", "x", "y", refs)
-    old = [F.col(f"r.{n}") for n in "hkl"]
-    terms = lambda h: cell.hkl_terms(*h, F.lit("triclinic")).cast("array<double>")
-    close = cell.close(cell.dot(terms(old), F.col("x")), cell.dot(terms(cell.permuted(F.col("o"), old)), F.col("y")))
-    return rows.withColumn("ok", close).groupBy("entry_id").agg(F.bool_and("ok").alias("ok"))
-
-
 @query()
 def p28_repair_cells(spark, sf_dir):
     v = view(spark, sf_dir, "cells").select("entry_id", "a", "b")
