@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellspark.functions import cell, symmetry
-from cellspark.operators.curation import draw
+from cellspark.operators.curation import draw, ordinals
 from cellspark.operators.indexing import thinned
 
 #: Widths of the error of q2: constant and in proportion. Fixed values.
@@ -34,24 +35,32 @@ def normal_at(seed: int, key: Column, i: Column) -> Column:
 
 
 def validate_entries(df: DataFrame) -> DataFrame:
-    """df with status and reason, of the first rule that fails.
+    """df with status and reason, the short name of the first rule that fails.
 
     Takes sg, crystal_system, symbol, a to c, angles alpha to gamma in degrees,
-    volume and atoms (per cell), and lattice, lattice_system from with_symmetry.
+    volume and atoms (per cell), and lattice, lattice_system from with_symmetry;
+    where df has them, also a reported reduced cell (array of six, angles in
+    degrees) and reduced_volume.
     """
     angles = [F.radians(n) for n in cell.ANGLES]
     c = F.col
     calculated = cell.volume(c("a"), c("b"), c("c"), *angles)
+    reduced = []
+    if {"reduced_cell", "reduced_volume"} <= set(df.columns):
+        r = [F.get("reduced_cell", F.lit(i)) for i in range(6)]
+        fits = cell.close(cell.volume(*r[:3], *map(F.radians, r[3:])), c("reduced_volume"))
+        reduced = [((F.array_min("reduced_cell") == 0) | (c("reduced_volume") == 0), "reduced_zero"), (c("reduced_cell").isNotNull() & ~F.coalesce(fits, F.lit(False)), "reduced_volume")]
     rules = (
-        (c("sg") > 230, "Spacegroup number greater than 230"),
-        (~symmetry.system_matches_lattice(c("crystal_system"), c("lattice")), "Crystal system bravais lattice mismatch"),
-        ((c("lattice_system") == "monoclinic") & c("symbol").startswith("F"), "Excluding F centered monoclinic"),
-        ((c("lattice_system") == "triclinic") & ~c("symbol").startswith("P"), "Excluding centered triclinic"),
-        ((F.least(*[c(n) for n in cell.NAMES]) == 0) | (c("volume") == 0), "Zeros in unit cell parameters"),
-        (~F.coalesce(cell.close(calculated, c("volume")), F.lit(False)), "Volume is not consistent with unit cell parameters"),
-        (~cell.matches_lattice(c("lattice"), *[c(n) for n in cell.NAMES]), "Inconsistent unit cell"),
-        (c("atoms").isNull(), "Could not parse chemical formula"),
-        ((c("volume") < 1.8 * c("atoms")) | (c("volume") > 180 * c("atoms")), "Number of atoms in unit cell are inconsistent with volume"),
+        (c("sg") > 230, "sg"),
+        (~symmetry.system_matches_lattice(c("crystal_system"), c("lattice")), "system"),
+        ((c("lattice_system") == "monoclinic") & c("symbol").startswith("F"), "f_monoclinic"),
+        ((c("lattice_system") == "triclinic") & ~c("symbol").startswith("P"), "centred_triclinic"),
+        ((F.least(*[c(n) for n in cell.NAMES]) == 0) | (c("volume") == 0), "zero"),
+        (~F.coalesce(cell.close(calculated, c("volume")), F.lit(False)), "volume"),
+        *reduced,
+        (~cell.matches_lattice(c("lattice"), *[c(n) for n in cell.NAMES]), "lattice"),
+        (c("atoms").isNull(), "formula"),
+        ((c("volume") < 1.8 * c("atoms")) | (c("volume") > 180 * c("atoms")), "atoms"),
     )
     reason = F.coalesce(*[F.when(rule, text) for rule, text in rules])
     return df.withColumn("reason", reason).withColumn("status", F.col("reason").isNull())
@@ -89,6 +98,30 @@ def repair_cells(df: DataFrame, key: str, values: list[str], low: dict[str, floa
     return df.withColumns(out)
 
 
+#: Rows of a group that lost ones may take their values from.
+DONORS = 64
+
+
+def with_donors(df: DataFrame, by: list[str], key: str, values: list[str], seed: int = 0) -> DataFrame:
+    """df where a row with a value that is null or not finite has all values of a sound row of its group, chosen by hash among the DONORS with the least hashes; where the group has none it stays.
+
+    Ties go to the smaller key. Which donor a row takes depends on the ids
+    alone, not on partitions or on other lost rows.
+    """
+    fits = reduce(lambda x, y: x & y, (F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double")) & (F.abs(v) < float("inf")) for v in values))
+    sound = F.coalesce(fits, F.lit(False))
+    few = df.where(sound).withColumn("_h", draw(seed, key))
+    for salt in (F.pmod(F.xxhash64(key), F.lit(32)), F.lit(0)):  # a group that holds most rows is cut down in parts first
+        few = few.withColumn("_s", salt).withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_s").orderBy("_h", key))).where(F.col("_r") <= DONORS)
+    donors = few.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_h", key, *values))), lambda d: F.struct(*[d[v].alias(v) for v in values])).alias("_donors"))
+    donors = donors.withColumnsRenamed({b: f"_by_{b}" for b in by})
+    lost = df.where(~sound)
+    met = lost.join(F.broadcast(donors) if not by else donors, reduce(lambda x, y: x & y, (lost[b].eqNullSafe(donors[f"_by_{b}"]) for b in by), F.lit(True)), "left")
+    pick = F.get("_donors", F.pmod(F.xxhash64(F.lit(seed), key), F.size("_donors")).cast("int"))
+    filled = met.withColumn("_d", pick).withColumns({v: F.when(F.col("_donors").isNotNull(), F.col(f"_d.{v}")).otherwise(F.col(v)) for v in values})
+    return df.where(sound).unionByName(filled.select(*df.columns))
+
+
 def random_cells(df: DataFrame, key: str, n: int, low: float, high: float, volume: Column, seed: int = 0) -> DataFrame:
     """n orthorhombic cells a row: uniform lengths, scaled to the wanted volume and ordered."""
     rows = df.withColumn("candidate_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -176,13 +209,13 @@ def keep_rate_grid(df: DataFrame, by: str, q2: str, kept: str, gaps: list[float]
 
 def rarity_weights(df: DataFrame, group: str, bin_: str, target: float, most: int) -> DataFrame:
     """df with n_copies: 1 / (share of the group * share of the bin within it), scaled to a median of target, rounded, at most `most`."""
-    total = Window.partitionBy()
-    by = df.groupBy(group, bin_).agg(F.count("*").alias("_n"))
-    of_group = Window.partitionBy(group)
-    by = by.withColumn("_g", F.sum("_n").over(of_group)).withColumn("_all", F.sum("_n").over(total)).withColumn("_rarity", 1 / ((F.col("_g") / F.col("_all")) * (F.col("_n") / F.col("_g"))))
-    rows = df.join(by.select(group, bin_, "_rarity"), [group, bin_])
-    middle = rows.agg(F.median("_rarity").alias("_m"))
-    return rows.crossJoin(F.broadcast(middle)).withColumn("n_copies", F.least(F.lit(most), F.round(target * F.col("_rarity") / F.col("_m"))).cast("int")).drop("_rarity", "_m")
+    by = df.groupBy(group, bin_).agg(F.count("*").alias("_n"))  # as many rows as bins: all that follows but the last join is over these
+    of_group = by.groupBy(group).agg(F.sum("_n").alias("_g"))
+    by = by.join(of_group, by[group].eqNullSafe(of_group[group])).drop(of_group[group])
+    by = by.crossJoin(F.broadcast(by.agg(F.sum("_n").alias("_all")))).withColumn("_rarity", 1 / ((F.col("_g") / F.col("_all")) * (F.col("_n") / F.col("_g"))))
+    middle = by.agg(F.percentile("_rarity", 0.5, F.col("_n")).alias("_m"))
+    copies = by.crossJoin(F.broadcast(middle)).select(F.col(group).alias("_group"), F.col(bin_).alias("_bin"), F.least(F.lit(most), F.round(target * F.col("_rarity") / F.col("_m"))).cast("int").alias("n_copies"))
+    return df.join(copies, df[group].eqNullSafe(F.col("_group")) & df[bin_].eqNullSafe(F.col("_bin"))).drop("_group", "_bin")
 
 
 def coverage_objective(df: DataFrame, by: list[str], value: str, curve: list[tuple[float, float]]) -> DataFrame:
@@ -200,8 +233,10 @@ def dedup_radius(df: DataFrame, by: list[str], key: str, vec: str, order: str, s
     Neighbours are nearer than radius. Ties: the densest with the least key,
     the best score with the least key. Rows with a null vector are dropped.
     """
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(order, key)) - 1
-    rows = df.where(F.col(vec).isNotNull()).withColumn("_block", (place / block).cast("int"))
+    rows = ordinals(df.where(F.col(vec).isNotNull()), [*by, order, key], "_ordinal")
+    first = rows.groupBy(*by).agg(F.min("_ordinal").alias("_first")).withColumnsRenamed({b: f"_by_{b}" for b in by})
+    rows = rows.join(first, reduce(lambda x, y: x & y, (rows[b].eqNullSafe(first[f"_by_{b}"]) for b in by))).drop(*[f"_by_{b}" for b in by])
+    rows = rows.withColumn("_block", F.floor((F.col("_ordinal") - F.col("_first")) / block)).drop("_ordinal", "_first")
 
     def thin(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key).reset_index(drop=True)

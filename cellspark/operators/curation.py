@@ -88,10 +88,26 @@ def stratified_split(df: DataFrame, by: list[str], key: str, seed: int = 0) -> D
     return out.withColumn("train", F.col("_rank") > F.floor(F.col("_n") * (F.lit(1.0) - F.lit(0.8)))).drop("_rank", "_n")
 
 
+def ordinals(df: DataFrame, order: list[str], name: str, ranges: int = 64) -> DataFrame:
+    """df with `name`: the place of each row by the order of these columns, from 1.
+
+    The rows are cut into ranges at a few of their own keys, drawn by hash;
+    each range is numbered on its own, after the rows of all ranges before it.
+    Rows of equal keys must be few: they are of one range.
+    """
+    key = F.struct(*order)
+    drawn = df.select(key.alias("_key")).orderBy(F.xxhash64("_key"), "_key").limit(ranges - 1).agg(F.array_distinct(F.array_sort(F.collect_list("_key"))).alias("_cuts"))
+    placed = df.crossJoin(F.broadcast(drawn)).withColumn("_part", F.size(F.filter("_cuts", lambda c: c <= key))).drop("_cuts")
+    upto = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # `ranges` rows at most
+    upto = upto.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return placed.withColumn("_within", within).join(F.broadcast(upto), "_part").withColumn(name, (F.col("_before") + F.col("_within")).cast("long")).drop("_part", "_within", "_before")
+
+
 def cap_per_group(df: DataFrame, by: list[str], key: str, n: int, seed: int = 0) -> DataFrame:
     """At most n drawn rows a group, with `ordinal`, the group's place among all by name (from 1)."""
     groups = df.select(*by).distinct()
-    number = groups.withColumn("ordinal", F.row_number().over(Window.orderBy(*by)).cast("int"))
+    number = ordinals(groups, by, "ordinal").withColumn("ordinal", F.col("ordinal").cast("int"))
     return top_n(df, by, [draw(seed, key), F.col(key)], n).join(number, by)
 
 

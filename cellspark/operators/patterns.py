@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cellspark.operators.candidates import coverage_objective, normal_at
 from cellspark.operators.curation import draw
-from cellspark.operators.peaks import maxima, pairs_within_frame
+from cellspark.operators.peaks import bound, maxima, nearest, pairs_within_frame
 from cellspark.operators.stats import covariance
 
 
@@ -32,8 +32,8 @@ def pick_secondary(y: Column, low: float, width: float, prominence: float, inclu
 
 
 def nearest_source_peak(picked: Column, true: Column) -> Column:
-    """The true peak nearest to each picked one; of equally near ones the first."""
-    return F.transform(picked, lambda p: F.array_min(F.transform(true, lambda t, i: F.struct(F.abs(t - p).alias("d"), i.alias("i"), t.alias("peak"))))["peak"])
+    """The true peak (of an ascending array) nearest to each picked one; of equally near ones the first."""
+    return bound(true, lambda t: F.transform(picked, lambda p: nearest(p, t)["ref"]))
 
 
 def fit_peaks(df: DataFrame, key: str, x: str, y: str, peaks: str, reach: float = 0.003, steps: int = 20) -> DataFrame:
@@ -114,7 +114,8 @@ def pick_triplets(pairs: DataFrame, peaks: list[float], factor: float = 5.0, bin
     whose prominence is at least factor * (std of the counts + 1), also in the
     first or last bin, gives the median angle within reach of its bin's centre,
     drawn to 0 or a right angle within snap of these. The median is exact, of
-    the angles about one maximum of one pair of peaks.
+    the angles about one maximum of one pair of peaks. What is sent to all tasks
+    are the maxima: fewer than the peaks squared times the bins.
     """
     right = math.pi / 2
     width = right / bins
@@ -128,7 +129,7 @@ def pick_triplets(pairs: DataFrame, peaks: list[float], factor: float = 5.0, bin
     zeros = F.array(F.lit(0.0))
     tops = F.filter(maxima(F.concat(zeros, "y", zeros), 0), lambda m: m["prominence"] >= F.col("_least"))
     found = wide.select("p0", "p1", F.explode(tops).alias("m")).select("p0", "p1", ((F.col("m.i") - 0.5) * width).alias("_c"), F.col("m.height").alias("weight"))
-    near = found.join(folded, ["p0", "p1"]).where((F.col("_a") > F.col("_c") - reach) & (F.col("_a") < F.col("_c") + reach))
+    near = folded.join(F.broadcast(found), ["p0", "p1"]).where((F.col("_a") > F.col("_c") - reach) & (F.col("_a") < F.col("_c") + reach))
     median = near.groupBy("p0", "p1", "_c", "weight").agg(F.median("_a").alias("angle"))
     snapped = F.when(F.col("angle") < snap, 0.0).when(F.col("angle") > right - snap, right).otherwise(F.col("angle"))
     q = F.array(*map(F.lit, peaks))

@@ -29,13 +29,48 @@ def unzip_hkl(hkl: str) -> list[Column]:
     return [F.col(hkl)[a].alias(a) for a in "hkl"]
 
 
+#: Halvings of a search in a sorted array: enough for 2**24 values.
+HALVINGS = 24
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), with value made once a row however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def place(refs: Column, x: Column) -> Column:
+    """How many values of a sorted array are less than x, by halving."""
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(HALVINGS - 1, -1, -1)]), lambda s: s <= F.size(refs))
+    fits = lambda at, s: F.coalesce(F.get(refs, at + s - 1) < x, F.lit(False))
+    return F.aggregate(steps, F.lit(0), lambda at, s: at + F.when(fits(at, s), s).otherwise(F.lit(0)))
+
+
 def nearest(q2: Column, refs: Column) -> Column:
-    """struct<d, i, ref>: the reference at least distance; of equally near ones the first."""
-    return F.array_min(F.transform(refs, lambda r, i: F.struct(F.abs(r - q2).alias("d"), i.alias("i"), r.alias("ref"))))
+    """struct<d, i, ref>: the reference at least distance; of equally near ones the first. refs: an ascending array; null for none or a null q2."""
+    one = lambda r, i: F.struct(F.abs(F.get(r, i) - q2).alias("d"), i.alias("i"), F.get(r, i).alias("ref"))
+
+    def found(r: Column) -> Column:
+        def both(at: Column) -> Column:
+            low = F.when(at > 0, one(r, place(r, F.get(r, at - 1))))
+            return F.array_min(F.array(low, F.when(at < F.size(r), one(r, at))))
+
+        return bound(place(r, q2), both)
+
+    return F.when(q2.isNotNull() & (F.size(refs) > 0), bound(refs, found))
 
 
 def k_nearest(q2: Column, refs: Column, k: int) -> Column:
-    return F.slice(F.array_sort(F.transform(refs, lambda r, i: F.struct(F.abs(r - q2).alias("d"), i.alias("i"), r.alias("ref")))), 1, k)
+    """array<struct<d, i, ref>> of the k nearest references (all, if fewer), nearest first, of equally near ones the first. refs: an ascending array of different values."""
+
+    def found(r: Column) -> Column:
+        def around(at: Column) -> Column:
+            first = F.greatest(F.lit(0), at - k)
+            part = F.slice(r, first + 1, F.least(F.size(r), at + k) - first)
+            return F.slice(F.array_sort(F.transform(part, lambda x, i: F.struct(F.abs(x - q2).alias("d"), (i + first).alias("i"), x.alias("ref")))), 1, k)
+
+        return bound(place(r, q2), around)
+
+    return F.when(q2.isNotNull(), bound(refs, found))
 
 
 def label_peaks(df: DataFrame, refs: DataFrame, terms: str, sentinel: Column) -> DataFrame:

@@ -55,6 +55,8 @@ def reduced(g: np.ndarray, steps: int = 200) -> np.ndarray:
         others[np.arange(len(bad)), i] = others[np.arange(len(bad)), j] = False
         m[bad] += others[:, :, None] * turned[:, None, :]
         m[bad, i] = -turned
+    dots = np.einsum("nic,ncd,njd->nij", m, g, m)[:, pairs[:, 0], pairs[:, 1]]
+    done = dots.max(1) <= tiny
     seven = np.einsum("vi,nic->nvc", SEVEN, m)
     length = np.einsum("nvc,ncd,nvd->nv", seven, g, seven)
     order = np.argsort(np.round(length, 9), axis=1, kind="stable")
@@ -75,7 +77,7 @@ def reduced(g: np.ndarray, steps: int = 200) -> np.ndarray:
     sign[free, 0] *= -1
     free = (np.abs(bc) <= tiny) & (sign[:, 0] * sign[:, 1] * np.sign(ab) * want < 0)
     sign[free, 1] *= -1
-    return out * sign[:, :, None]
+    return out * sign[:, :, None] * done[:, None, None]
 
 
 def reduce_triclinic(df: DataFrame, key: str) -> DataFrame:
@@ -98,6 +100,8 @@ def reduce_triclinic(df: DataFrame, key: str) -> DataFrame:
             values, axes = np.full(cell.shape, np.nan), [None] * len(pdf)
             if fine.any():
                 m = reduced(g[fine])
+                fine[fine] = m.any((1, 2))
+                m = m[m.any((1, 2))]
                 values[fine] = cell_of(np.einsum("nic,ncd,njd->nij", m, g[fine], m))
                 for i, row in zip(np.flatnonzero(fine), m.reshape(-1, 9).tolist(), strict=True):
                     axes[i] = row

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,29 +37,47 @@ def histogram2d(df: DataFrame, x: str, y: str, low: tuple[float, float], high: t
     return placed.where("bx IS NOT NULL AND by IS NOT NULL").groupBy("bx", "by").agg(F.count("*").alias("n"))
 
 
+#: Groups whose splits are sent to all tasks, PARTS numbers each; more are joined by shuffle.
+SENT_GROUPS = 4096
+
+
 def order_quantile(df: DataFrame, value: str, fractions: list[float], by: list[str] | None = None, parts: int = 100) -> DataFrame:
     """(by, fraction, value): the element at index int(fraction * n) of the sorted values, without interpolation.
 
-    Equal values are counted first, so one that very many rows have is one row.
-    A sketch gives rough splits; the parts between them are counted, and only
-    the parts that hold an asked rank are sorted. Nulls don't count.
+    A sketch gives rough splits; the rows between them are counted, and only
+    those of the parts that hold an asked rank are looked at again: there equal
+    values are counted first, so one that very many rows have is one row.
+    Nulls don't count.
     """
     by = by or []
     key = [F.lit(0).alias("_g")] if not by else [F.col(b) for b in by]
     names = by or ["_g"]
-    rows = df.where(F.col(value).isNotNull()).select(*key, F.col(value).cast("double").alias("_v")).groupBy(*names, "_v").agg(F.count("*").alias("_c"))
-    splits = rows.groupBy(*names).agg(F.array_distinct(F.percentile_approx("_v", [i / parts for i in range(1, parts)], 1000)).alias("_splits"), F.sum("_c").alias("_n"))
-    placed = rows.join(F.broadcast(splits.select(*names, "_splits")) if not by else splits.select(*names, "_splits"), names)
-    placed = placed.select(*names, "_v", "_c", F.size(F.filter("_splits", lambda s: s < F.col("_v"))).alias("_part"))
+    rows = df.where(F.col(value).isNotNull()).select(*key, F.col(value).cast("double").alias("_v"))
+    cuts = F.array_distinct(F.percentile_approx("_v", [i / parts for i in range(1, parts)], 1000)).alias("_splits")
+    splits = rows.groupBy(*names).agg(cuts, F.count("*").alias("_n"))
+    few = splits.limit(SENT_GROUPS + 1).collect()
+    small = len(few) <= SENT_GROUPS
+    splits = df.sparkSession.createDataFrame(few, splits.schema) if small else splits
+    sent = F.broadcast(splits.select(*names, "_splits")) if small else splits.select(*names, "_splits")
+    same = lambda x, y: reduce(lambda p, q: p & q, (x[n].eqNullSafe(y[f"_k_{n}"]) for n in names))
+    named = lambda d: d.withColumnsRenamed({n: f"_k_{n}" for n in names})
+    gone = [f"_k_{n}" for n in names]
+    sent = named(sent)
+    placed = rows.join(F.broadcast(sent) if small else sent, same(rows, sent)).drop(*gone)
+    placed = placed.select(*names, "_v", F.size(F.filter("_splits", lambda s: s < F.col("_v"))).alias("_part"))
     order = Window.partitionBy(*names).orderBy("_part")
-    sizes = placed.groupBy(*names, "_part").agg(F.sum("_c").alias("_m")).withColumn("_upto", F.sum("_m").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    asked = splits.select(*names, "_n", F.explode(F.array(*map(F.lit, fractions))).alias("fraction")).withColumn("_rank", F.least(F.floor(F.col("fraction") * F.col("_n")), F.col("_n") - 1))
-    where = asked.join(sizes, names).where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_m")))
+    sizes = placed.groupBy(*names, "_part").agg(F.count("*").alias("_m")).withColumn("_upto", F.sum("_m").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    asked = named(splits.select(*names, "_n", F.explode(F.array(*map(F.lit, fractions))).alias("fraction")).withColumn("_rank", F.least(F.floor(F.col("fraction") * F.col("_n")), F.col("_n") - 1)))
+    where = sizes.join(asked, same(sizes, asked)).where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_m")))
     where = where.select(*names, "_part", "fraction", (F.col("_rank") - F.col("_upto") + F.col("_m")).alias("_k"))
-    needed = placed.join(where.select(*names, "_part").distinct(), [*names, "_part"], "left_semi")
+    few_parts = named(where.select(*names, "_part").distinct()).withColumnRenamed("_part", "_p")  # groups times fractions at most
+    few_parts = F.broadcast(few_parts) if small else few_parts
+    needed = placed.join(few_parts, same(placed, few_parts) & (F.col("_part") == F.col("_p")), "left_semi").groupBy(*names, "_part", "_v").agg(F.count("*").alias("_c"))
     within = Window.partitionBy(*names, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     reached = needed.withColumn("_to", F.sum("_c").over(within))
-    return reached.join(where, [*names, "_part"]).where((F.col("_k") < F.col("_to")) & (F.col("_k") >= F.col("_to") - F.col("_c"))).select(*by, "fraction", F.col("_v").alias("value"))
+    ranks = named(where).withColumnRenamed("_part", "_p")
+    met = reached.join(ranks, same(reached, ranks) & (F.col("_part") == F.col("_p")))
+    return met.where((F.col("_k") < F.col("_to")) & (F.col("_k") >= F.col("_to") - F.col("_c"))).select(*by, "fraction", F.col("_v").alias("value"))
 
 
 def moments(df: DataFrame, values: list[str], by: list[str]) -> DataFrame:

@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from cellspark.functions import cell, symbols, symmetry
+from cellspark.operators import augmentation
 from cellspark.operators import candidates as op
 from cellspark.operators import search
-from cellspark.operators.curation import ranked
+from cellspark.operators.curation import draw, ranked
 from cellspark.plans.geometry import _LATTICE, _LSYSTEM, _ROOT, _SYSTEM
 from cellspark.plans.peaks import _SUMS, arrays
 from cellspark.plans.registry import query
@@ -25,12 +26,12 @@ _RAW = "b AS (SELECT *, a AS a1, CASE WHEN entry_id % 2 = 0 THEN a ELSE b END AS
 
 @query(f"""{C}, {_RAW}, w AS (SELECT entry_id, sg, {_LATTICE} AS lat, {_LSYSTEM} AS sys, CASE WHEN entry_id % 11 = 0 THEN 'F' ELSE 'P' END AS sym, CASE WHEN entry_id % 7 = 0 THEN 'cubic' ELSE CASE WHEN sg BETWEEN 143 AND 167 THEN 'trigonal' ELSE {_SYSTEM} END END AS cs, a1 AS a, b1 AS b, c1 AS c, al, be, ga, CASE WHEN entry_id % 13 = 0 THEN NULL ELSE 40e0 + entry_id % 9 * 100 END AS atoms,
   a1*b1*c1*sqrt(1 - cos(radians(al))*cos(radians(al)) - cos(radians(be))*cos(radians(be)) - cos(radians(ga))*cos(radians(ga)) + 2*cos(radians(al))*cos(radians(be))*cos(radians(ga))) * CASE WHEN entry_id % 17 = 0 THEN 1.1e0 ELSE 1 END AS vol FROM b)
-SELECT entry_id, CASE WHEN NOT (CASE cs WHEN 'cubic' THEN lat IN ('cF','cI','cP') WHEN 'monoclinic' THEN lat IN ('mC','mP') WHEN 'orthorhombic' THEN lat IN ('oC','oF','oI','oP') WHEN 'tetragonal' THEN lat IN ('tI','tP') WHEN 'triclinic' THEN lat = 'aP' ELSE lat IN ('hR','hP') END) THEN 'Crystal system bravais lattice mismatch'
-  WHEN sys = 'monoclinic' AND sym = 'F' THEN 'Excluding F centered monoclinic' WHEN sys = 'triclinic' AND sym <> 'P' THEN 'Excluding centered triclinic'
-  WHEN a = 0 OR b = 0 OR c = 0 OR vol = 0 THEN 'Zeros in unit cell parameters' WHEN entry_id % 17 = 0 THEN 'Volume is not consistent with unit cell parameters'
+SELECT entry_id, CASE WHEN NOT (CASE cs WHEN 'cubic' THEN lat IN ('cF','cI','cP') WHEN 'monoclinic' THEN lat IN ('mC','mP') WHEN 'orthorhombic' THEN lat IN ('oC','oF','oI','oP') WHEN 'tetragonal' THEN lat IN ('tI','tP') WHEN 'triclinic' THEN lat = 'aP' ELSE lat IN ('hR','hP') END) THEN 'system'
+  WHEN sys = 'monoclinic' AND sym = 'F' THEN 'f_monoclinic' WHEN sys = 'triclinic' AND sym <> 'P' THEN 'centred_triclinic'
+  WHEN a = 0 OR b = 0 OR c = 0 OR vol = 0 THEN 'zero' WHEN entry_id % 17 = 0 THEN 'volume'
   WHEN NOT (CASE WHEN lat IN ('cF','cI','cP') THEN al = 90 AND be = 90 AND ga = 90 AND a = b AND b = c WHEN lat IN ('tI','tP') THEN al = 90 AND be = 90 AND ga = 90 AND (a = b OR a = c OR b = c) WHEN lat IN ('oC','oF','oI','oP') THEN al = 90 AND be = 90 AND ga = 90
-    WHEN lat = 'hR' THEN (a = b AND b = c AND al = be AND be = ga) OR (a = b AND b <> c AND al = 90 AND be = 90 AND ga = 120) WHEN lat = 'hP' THEN a = b AND b <> c AND al = 90 AND be = 90 AND ga = 120 WHEN lat IN ('mC','mP') THEN al = 90 AND ga = 90 AND be <> 90 ELSE true END) THEN 'Inconsistent unit cell'
-  WHEN atoms IS NULL THEN 'Could not parse chemical formula' WHEN vol < 1.8e0 * atoms OR vol > 180e0 * atoms THEN 'Number of atoms in unit cell are inconsistent with volume' END AS reason FROM w""")
+    WHEN lat = 'hR' THEN (a = b AND b = c AND al = be AND be = ga) OR (a = b AND b <> c AND al = 90 AND be = 90 AND ga = 120) WHEN lat = 'hP' THEN a = b AND b <> c AND al = 90 AND be = 90 AND ga = 120 WHEN lat IN ('mC','mP') THEN al = 90 AND ga = 90 AND be <> 90 ELSE true END) THEN 'lattice'
+  WHEN atoms IS NULL THEN 'formula' WHEN vol < 1.8e0 * atoms OR vol > 180e0 * atoms THEN 'atoms' END AS reason FROM w""")
 def p7_validate_entries(spark, sf_dir):
     i = F.col("entry_id")
     v = symmetry.with_symmetry(view(spark, sf_dir, "cells"))
@@ -39,6 +40,22 @@ def p7_validate_entries(spark, sf_dir):
     return op.validate_entries(b.withColumn("volume", F.coalesce(volume, F.lit(0.0)))).select("entry_id", "reason")
 
 
+_D = "md5(concat_ws(':', '0', CAST(entry_id AS VARCHAR)))"
+
+
+@query(f"""{C}, l AS (SELECT entry_id, entry_id % 7 AS g, CASE WHEN entry_id % 11 = 0 THEN NULL ELSE a END AS a, CASE WHEN entry_id % 11 = 0 THEN NULL ELSE b END AS b FROM v),
+d AS (SELECT g, a, b FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY {_D}, entry_id) AS r FROM l WHERE a IS NOT NULL) WHERE r <= {op.DONORS})
+SELECT entry_id, a IS NOT NULL AS own, CASE WHEN a IS NULL THEN EXISTS (SELECT 1 FROM d WHERE d.g = l.g) ELSE true END AS from_donors FROM l""")
+def p28_with_donors(spark, sf_dir):
+    """Lost rows take both values of one sound row of their group: of those with the least hashes."""
+    i = F.col("entry_id")
+    v = view(spark, sf_dir, "cells").select("entry_id", (i % 7).alias("g"), *[F.when(i % 11 != 0, F.col(n)).alias(n) for n in "ab"])
+    few = ranked(v.where("a IS NOT NULL"), ["g"], [draw(0, "entry_id"), i]).where(F.col("_rank") <= op.DONORS).select(F.col("g").alias("_g"), F.col("a").alias("_a"), F.col("b").alias("_b")).distinct()
+    out = op.with_donors(v, ["g"], "entry_id", ["a", "b"])
+    known = out.join(few, (F.col("g") == F.col("_g")) & (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_semi").select("entry_id").withColumn("_known", F.lit(True))
+    return out.join(known, "entry_id", "left").select("entry_id", (i % 11 != 0).alias("own"), ((i % 11 != 0) | F.coalesce("_known", F.lit(False))).alias("from_donors"))
+
+
 @query()
 def p28_repair_cells(spark, sf_dir):
     v = view(spark, sf_dir, "cells").select("entry_id", "a", "b")
@@ -178,3 +195,14 @@ def c6_correct_multiples(spark, sf_dir):
     v = v.withColumn("refs", F.transform(s, lambda r: r * F.col("x"))).withColumn("c", F.transform("q2", lambda q: F.array_min(F.transform("refs", lambda r, i: F.struct(F.abs(r - q).alias("d"), i.alias("i"), r.alias("r"))))["r"]))
     v = v.withColumn("m", search.m20(F.col("q2"), F.col("c"), F.col("refs")))
     return ranked(v, ["pattern_id"], [F.desc("m"), F.col("factor")]).where("_rank = 1").select("pattern_id", "factor", F.round("m", 5).alias("m20"))
+
+
+@query(f"{C} SELECT entry_id, CAST(k AS INT) AS copy, true AS fits, 10 AS lines FROM v, (SELECT unnest([1, 2, 3]) AS k) t")
+def t17_augment_entries(spark, sf_dir):
+    """Three copies of each entry by the covariance of its group: axes in order, lengths within limits, ten lines that rise."""
+    i = F.col("entry_id")
+    axes = F.array_sort(F.array("a", "b", "c"))
+    v = view(spark, sf_dir, "cells").select("entry_id", (i % 5).alias("g"), *[F.get(axes, F.lit(k)).alias(n) for k, n in enumerate("abc")])
+    out = augmentation.augment_entries(v, "entry_id", "g", ["a", "b", "c"], "orthorhombic", "covariance", 3)
+    rises = lambda x: F.forall(F.sequence(F.lit(1), F.size(x) - 1), lambda k: F.get(x, k - 1) <= F.get(x, k))
+    return out.select("entry_id", "copy", (rises(F.col("cell")) & rises(F.col("q")) & (F.array_min("cell") >= 2.25)).alias("fits"), F.size("q").alias("lines"))

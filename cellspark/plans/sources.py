@@ -15,8 +15,12 @@ E, P, C = WITH["entries"], WITH["peaks"], WITH["cells"]
 
 
 def folder(spark) -> str:
-    """A new folder that all executors see; a local one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new folder that all executors see: under spark.checkpoint.dir, which a session may go without only where its tasks run in this very process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
