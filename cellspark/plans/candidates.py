@@ -7,7 +7,7 @@ from cellspark.operators import augmentation
 from cellspark.operators import candidates as op
 from cellspark.operators import search
 from cellspark.operators.curation import draw, ranked
-from cellspark.plans.geometry import _LATTICE, _LSYSTEM, _ROOT, _SYSTEM
+from cellspark.plans.geometry import _LATTICE, _LSYSTEM, _SYSTEM
 from cellspark.plans.peaks import _SUMS, arrays
 from cellspark.plans.registry import query
 from cellspark.plans.views import WITH, view

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from cellspark.functions import cell
 from cellspark.operators import forests as op
 from cellspark.operators import indexing
 from cellspark.plans.registry import query
