@@ -6,6 +6,10 @@ pattern or a bucket of the value), and the exact test runs within it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,19 +98,55 @@ def near_peak(reflections: DataFrame, peaks: DataFrame, q2: str, peak: str, widt
     return reflections.join(best, key).withColumn("peak", F.col("_b.peak")).drop("_b")
 
 
-def neighbours(df: DataFrame, key: str, vec: str, radius: float, by: list[str] | None = None) -> DataFrame:
-    """(key, other) of rows of one block nearer than radius, each row with itself.
+#: Rows of a block that neighbours() compares at once, and rows of distances that are held.
+BLOCK, HELD = 2048, 256
+
+
+def neighbours(df: DataFrame, key: str, vec: str, radius: float, by: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+    """(by, key, other) of rows with equal `by` nearer than radius, each row with itself.
 
-    The first two coordinates are cut into squares of side radius; a row is
-    only compared with those of its own and the eight squares around it.
+    The rows of equal `by` are dealt over blocks by hash, and each pair of blocks
+    meets in one task, which holds no more than two blocks. A product of matrices
+    leaves out what is clearly farther; the rest is summed in the order of the
+    components. A vector that is null, empty or has a null or non-finite
+    component has no rows; vectors of unlike lengths are no neighbours.
     """
     by = by or []
-    at = lambda i, d=0: (F.floor(F.get(vec, F.lit(i)).cast("double") / radius) + d).cast("long")
-    left = df.select(*by, key, F.col(vec).alias("_x"), at(0).alias("_p"), at(1).alias("_q"))
-    around = F.explode(F.array(*[F.struct(at(0, i).alias("_p"), at(1, j).alias("_q")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("_s")
-    right = df.select(*by, F.col(key).alias("other"), F.col(vec).alias("_y"), around).select(*by, "other", "_y", "_s._p", "_s._q")
-    d2 = F.aggregate(F.zip_with("_x", "_y", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, v: s + v)
-    return left.join(right, [*by, "_p", "_q"]).where(F.sqrt(d2) < radius).select(*by, key, "other")
+    x = F.col(vec).cast("array<double>")
+    rows = df.select(*by, F.col(key).alias("_k"), x.alias("_x")).where((F.size("_x") > 0) & F.forall("_x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))).withColumn("_n", F.size("_x"))
+    names = [*by, "_n"]
+    parts = rows.groupBy(*names).agg(F.ceil(F.count("*") / block).cast("int").alias("_parts"))
+    dealt = rows.join(parts, names).withColumn("_p", F.pmod(F.xxhash64("_k", "_x"), F.col("_parts")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    dealt = dealt.select(*names, "_k", "_x", (F.col("_p") <= F.col("_o")).alias("_first"), F.least("_p", "_o").alias("_i"), F.greatest("_p", "_o").alias("_j"))
+    spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
+    kinds = "".join(f"`{b}` {df.schema[b].dataType.simpleString()}, " for b in by)
+    schema = f"{kinds}`{key}` {kind}, other {kind}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches), ignore_index=True)
+        one = pdf["_i"].iat[0] == pdf["_j"].iat[0]
+        left, right = (pdf, pdf) if one else (pdf[pdf["_first"]], pdf[~pdf["_first"]])
+        if not len(left) or not len(right):
+            return
+        (k, x), (o, y) = ((d["_k"].to_numpy(), np.stack(d["_x"].to_numpy()).astype(float)) for d in (left, right))
+        group = {b: pdf[b].iat[0] for b in by}
+        x2, y2 = (x * x).sum(1), (y * y).sum(1)
+        for lo in range(0, len(x), HELD):
+            part = slice(lo, lo + HELD)
+            with np.errstate(over="ignore", invalid="ignore"):
+                size = x2[part, None] + y2
+                far = size - 2 * (x[part] @ y.T) > radius * radius + 1e-9 * (size + 1)
+                for at in np.array_split(np.argwhere(~far), max(1, int((~far).sum()) // (1 << 18))):
+                    i, j = at[:, 0] + lo, at[:, 1]
+                    d2 = np.zeros(len(at))
+                    for c in range(x.shape[1]):
+                        d2 += (x[i, c] - y[j, c]) ** 2
+                    near = np.sqrt(d2) < radius
+                    a, b = k[i[near]], o[j[near]]
+                    yield pd.DataFrame({**group, key: a if one else np.concatenate([a, b]), "other": b if one else np.concatenate([b, a])})
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return dealt.repartition(tasks, *names, "_i", "_j").groupBy(*names, "_i", "_j").applyInPandas(run, schema)
 
 
 def lookup_curve(df: DataFrame, curve: DataFrame, value: str, x: str, y: str, by: list[str]) -> DataFrame:
