@@ -23,6 +23,11 @@ def _moiety(m: Column) -> Column:
     return F.struct(F.when(grouped, times).otherwise(F.lit(1.0)).alias("times"), F.when(grouped, inner).otherwise(m).alias("body"))
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with value made once a row however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_formula(formula: Column) -> Column:
     """map<string, double> from element to count, by element.
 
@@ -31,24 +36,27 @@ def parse_formula(formula: Column) -> Column:
     a moiety has twice the last counts.
     """
     pair = "struct<element:string,n:double>"
+    symbols = F.array(*map(F.lit, ELEMENTS.split()))
 
-    def parts(moiety: Column) -> Column:
-        m = _moiety(F.trim(moiety))
-        atoms = F.filter(F.split(m["body"], " "), lambda t: (t != "") & ~t.rlike("[+-]"))
-        each = F.transform(
-            atoms,
-            lambda t: F.struct(
-                F.regexp_replace(F.regexp_extract(t, "^([^0-9]*)", 1), "^D$", "H").alias("element"),
-                (m["times"] * F.when(t.rlike("[0-9]"), F.regexp_extract(t, "^[^0-9]*([0-9.]+)", 1).cast("double")).otherwise(F.lit(1.0))).alias("n"),
-            ),
+    def atom(m: Column, t: Column) -> Column:
+        return F.struct(
+            F.regexp_replace(F.regexp_extract(t, "^([^0-9]*)", 1), "^D$", "H").alias("element"),
+            (m["times"] * F.when(t.rlike("[0-9]"), F.regexp_extract(t, "^[^0-9]*([0-9.]+)", 1).cast("double")).otherwise(F.lit(1.0))).alias("n"),
         )
-        known = F.filter(each, lambda p: F.array_contains(F.split(F.lit(ELEMENTS), " "), p["element"]))
-        return F.filter(known, lambda p, i: F.size(F.filter(F.slice(known, i + 2, F.size(known)), lambda q: q["element"] == p["element"])) == 0)
 
-    everything = F.flatten(F.transform(F.split(formula, ","), parts)).cast(f"array<{pair}>")
-    names = F.array_sort(F.array_distinct(F.transform(everything, lambda p: p["element"])))
-    counts = F.transform(names, lambda e: F.aggregate(F.filter(everything, lambda p: p["element"] == e), F.lit(0.0), lambda s, p: s + p["n"]))
-    return F.map_from_arrays(names, counts)
+    def last(known: Column) -> Column:
+        return F.filter(known, lambda p, i: ~F.exists(F.slice(known, i + 2, F.size(known)), lambda q: q["element"] == p["element"]))
+
+    def parts(moiety: Column) -> Column:
+        each = lambda m: F.transform(F.filter(F.split(m["body"], " "), lambda t: (t != "") & ~t.rlike("[+-]")), lambda t: atom(m, t))
+        known = F.filter(once(once(F.trim(moiety), _moiety), each), lambda p: F.array_contains(symbols, p["element"]))
+        return once(known, last)
+
+    def summed(everything: Column) -> Column:
+        names = F.array_sort(F.array_distinct(F.transform(everything, lambda p: p["element"])))
+        return F.map_from_entries(F.transform(names, lambda e: F.struct(e, F.aggregate(F.filter(everything, lambda p: p["element"] == e), F.lit(0.0), lambda s, p: s + p["n"]))))
+
+    return once(F.flatten(F.transform(F.split(formula, ","), parts)).cast(f"array<{pair}>"), summed)
 
 
 def n_atoms(composition: Column) -> Column:
@@ -57,13 +65,19 @@ def n_atoms(composition: Column) -> Column:
 
 def composition_keys(composition: Column) -> tuple[Column, Column]:
     """(key, strict key): rounded counts without zeros, halved while all are even, as `El n` parts; strict without H and elements up to 5 % of the rest."""
-    pairs = F.array_sort(F.map_entries(composition))
-    counts = F.filter(F.transform(pairs, lambda p: F.struct(p["key"].alias("e"), F.bround(p["value"]).cast("long").alias("n"))), lambda p: p["n"] > 0)
-    # The largest power of two that divides all: halving while every count is even.
-    half = F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.lit(1).cast("long"), lambda d, _: F.when(F.forall(counts, lambda p: p["n"] % (d * 2) == 0) & (F.size(counts) > 0), d * 2).otherwise(d))
-    halved = F.transform(counts, lambda p: F.struct(p["e"].alias("e"), (p["n"] / half).cast("long").alias("n")))
-    text = lambda p: F.concat(p["e"], p["n"].cast("string"))
-    rest = F.filter(halved, lambda p: p["e"] != "H")
-    total = F.aggregate(rest, F.lit(0).cast("long"), lambda s, p: s + p["n"])
-    strict = F.filter(rest, lambda p: p["n"] / total > 0.05)
-    return F.array_join(F.transform(halved, text), " "), F.array_join(F.transform(strict, lambda p: F.concat(text(p), F.lit(" "))), "")
+    rounded = F.filter(F.transform(F.array_sort(F.map_entries(composition)), lambda p: F.struct(p["key"].alias("e"), F.bround(p["value"]).cast("long").alias("n"))), lambda p: p["n"] > 0)
+
+    def halved(counts: Column) -> Column:
+        # The largest power of two that divides all is the least of those that divide one: halving while every count is even.
+        lowest = F.array_min(F.transform(counts, lambda p: p["n"].bitwiseAND(-p["n"])))
+        return once(F.least(lowest, F.lit(1 << 40)), lambda d: F.transform(counts, lambda p: F.struct(p["e"].alias("e"), (p["n"] / d).cast("long").alias("n"))))
+
+    def keys(counts: Column) -> Column:
+        rest = F.filter(counts, lambda p: p["e"] != "H")
+        text = lambda p: F.concat(p["e"], p["n"].cast("string"))
+        total = F.aggregate(rest, F.lit(0).cast("long"), lambda s, p: s + p["n"])
+        strict = once(total, lambda t: F.filter(rest, lambda p: p["n"] / t > 0.05))
+        return F.struct(F.array_join(F.transform(counts, text), " ").alias("key"), F.array_join(F.transform(strict, lambda p: F.concat(text(p), F.lit(" "))), "").alias("strict"))
+
+    both = once(once(rounded, halved), keys)
+    return both["key"], both["strict"]

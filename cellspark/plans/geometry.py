@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from cellspark.functions import cell, formula, optics, symmetry
+from cellspark.operators.indexing import dealt
 from cellspark.plans.registry import query
 from cellspark.plans.views import WITH, view
 
@@ -136,9 +137,13 @@ _COUNTS = """c AS (SELECT i, CASE i % 4
   ELSE [{'e': 'H', 'n': (i % 3 + 2) * (i % 7)}, {'e': 'O', 'n': i % 3 + 2}, {'e': 'Si', 'n': (i % 3 + 2) * s}] END AS m FROM (SELECT p_partkey AS i, p_size AS s FROM part) p)"""
 
 
+def formulas(spark, sf_dir):
+    return dealt(spark.sql(_FORMULAS.replace("FROM part", "FROM {part}"), part=spark.read.parquet(f"{sf_dir}/part.parquet")), "p_partkey")
+
+
 @query(f"WITH {_COUNTS} SELECT i AS p_partkey, array_to_string(list_transform(m, lambda x: x.e || ':' || x.n), ' ') AS counts, CAST(list_sum(list_transform(m, lambda x: x.n)) AS DOUBLE) AS atoms FROM c")
 def p17_parse_formula(spark, sf_dir):
-    f = spark.sql(_FORMULAS.replace("FROM part", "FROM {part}"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    f = formulas(spark, sf_dir)
     m = f.select("p_partkey", formula.parse_formula(F.col("f")).alias("m"))
     return m.select("p_partkey", F.array_join(F.transform(F.map_entries("m"), lambda x: F.concat_ws(":", x["key"], x["value"].cast("long").cast("string"))), " ").alias("counts"), formula.n_atoms(F.col("m")).alias("atoms"))
 
@@ -149,7 +154,7 @@ h AS (SELECT i, list_transform(m, lambda x: {{'e': x.e, 'n': x.n // g}}) AS m FR
 t AS (SELECT i, m, list_filter(m, lambda x: x.e <> 'H') AS r FROM h)
 SELECT i AS p_partkey, array_to_string(list_transform(m, lambda x: x.e || x.n), ' ') AS key, array_to_string(list_transform(list_filter(r, lambda x: x.n / list_sum(list_transform(r, lambda y: y.n)) > 0.05), lambda x: x.e || x.n || ' '), '') AS strict FROM t""")
 def p18_composition_keys(spark, sf_dir):
-    f = spark.sql(_FORMULAS.replace("FROM part", "FROM {part}"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    f = formulas(spark, sf_dir)
     key, strict = formula.composition_keys(F.col("m"))
     return f.select("p_partkey", formula.parse_formula(F.col("f")).alias("m")).select("p_partkey", key.alias("key"), strict.alias("strict"))
 
