@@ -153,12 +153,10 @@ def predict_cells(df: DataFrame, model: CellForests, key: str, group=None) -> Da
                 x = part.iloc[:, 1:].to_numpy(float)
                 fine = np.isfinite(x).all(1)
                 each = np.stack([walk(f, x[fine]) for f in sent.value], 1)
-                out = pd.DataFrame({key: part[key], "trees": None, "mean": None, "var": None})
-                for at, trees in zip(np.flatnonzero(fine), each, strict=True):
-                    out.iat[at, 1], out.iat[at, 2], out.iat[at, 3] = list(trees), trees.mean(1), trees.var(1)
-                yield out
+                yield pd.DataFrame({key: part[key].to_numpy()[fine], "trees": [list(t) for t in each], "mean": list(each.mean(2)), "var": list(each.var(2))})
+                yield pd.DataFrame({key: part[key].to_numpy()[~fine], "trees": None, "mean": None, "var": None})
 
-    return df.select(key, *[F.col(f).cast("double") for f in model.features]).mapInPandas(run, f"`{key}` {kind}, trees array<array<double>>, mean array<double>, var array<double>")
+    return indexing.dealt(df, key).select(key, *[F.col(f).cast("double") for f in model.features]).mapInPandas(run, f"`{key}` {kind}, trees array<array<double>>, mean array<double>, var array<double>")
 
 
 def xnn_of_cells(cells: np.ndarray, system: str) -> np.ndarray:
@@ -188,8 +186,18 @@ def _normal(seed: int, step: int, pattern: np.ndarray, candidate: np.ndarray, n:
     return np.sqrt(-2 * np.log1p(-u[:, :n])) * np.cos(2 * np.pi * u[:, n:])
 
 
-def _emitted(pattern: int, q: np.ndarray, x: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"pattern_id": pattern, "candidate_id": np.arange(len(x), dtype=np.int32), "q": [q] * len(x), "xnn": list(x), "m20": 0.0})
+def _emitted(patterns: np.ndarray, q: np.ndarray, x: np.ndarray) -> pd.DataFrame:
+    """Candidates of each pattern, numbered from 0. x: a pattern's cells follow each other."""
+    n = len(x) // len(patterns)
+    return pd.DataFrame({"pattern_id": np.repeat(patterns, n), "candidate_id": np.tile(np.arange(n, dtype=np.int32), len(patterns)), "q": list(q.repeat(n)), "xnn": list(x), "m20": 0.0})
+
+
+def _taken(pdf: pd.DataFrame, width: int, most: int = 256):
+    """(pattern ids, peaks, the first `width` peaks as a matrix) of the patterns that have as many, some at a time."""
+    pdf = pdf[pdf["q"].map(len) >= width]
+    for lo in range(0, len(pdf), most):
+        part = pdf.iloc[lo : lo + most]
+        yield part["pattern_id"].to_numpy(), part["q"].to_numpy(), np.stack(part["q"].map(lambda q: q[:width]).to_numpy()).astype(float)
 
 
 Generator = Callable[[DataFrame, np.ndarray, str, int], DataFrame]
@@ -203,18 +211,19 @@ def tree_candidates(model: CellForests, group=None, seed: int = 0) -> Generator:
 
         def run(batches):
             for pdf in batches:
-                pdf = pdf[pdf["q"].map(len) >= width]
-                if not len(pdf):
-                    continue
-                each = np.stack([walk(f, np.stack(pdf["q"].map(lambda q: q[:width]).to_numpy()).astype(float)) for f in sent.value], 1)
-                for pattern, q, trees in zip(pdf["pattern_id"], pdf["q"], each, strict=True):
-                    ids = np.full(trees.shape[1], pattern), np.arange(trees.shape[1])
-                    cells = trees.T[np.argsort(indexing.draws(seed, 0, *ids, 1)[:, 0], kind="stable")[:n]]
-                    if n > len(cells):
-                        more = np.full(n - len(cells), pattern), np.arange(n - len(cells))
-                        spread = np.linalg.cholesky(np.atleast_2d(np.cov(trees)) + 1e-9 * np.eye(len(trees)))
-                        cells = np.concatenate([cells, trees.mean(1) + _normal(seed, 1, *more, len(trees)) @ spread.T])
-                    yield _emitted(pattern, q, indexing.physical(xnn_of_cells(cells, system), system))
+                for patterns, q, first in _taken(pdf, width):
+                    trees = np.stack([walk(f, first) for f in sent.value], 1)
+                    each = np.repeat(patterns, trees.shape[2]), np.tile(np.arange(trees.shape[2]), len(patterns))
+                    order = np.argsort(indexing.draws(seed, 0, *each, 1)[:, 0].reshape(len(patterns), -1), axis=1, kind="stable")[:, :n]
+                    cells = np.take_along_axis(trees.transpose(0, 2, 1), order[:, :, None], 1)
+                    if n > cells.shape[1]:
+                        extra, size = n - cells.shape[1], trees.shape[1]
+                        away = trees - trees.mean(2, keepdims=True)
+                        cov = np.einsum("pit,pjt->pij", away, away) / max(trees.shape[2] - 1, 1)
+                        root = np.linalg.cholesky(cov + 1e-9 * np.eye(size))
+                        z = _normal(seed, 1, np.repeat(patterns, extra), np.tile(np.arange(extra), len(patterns)), size).reshape(len(patterns), extra, size)
+                        cells = np.concatenate([cells, trees.mean(2)[:, None] + np.einsum("pki,pji->pkj", z, root)], 1)
+                    yield _emitted(patterns, q, indexing.physical(xnn_of_cells(cells.reshape(-1, trees.shape[1]), system), system))
 
         return patterns.select("pattern_id", "q").mapInPandas(run, indexing.COLUMNS)
 
@@ -268,17 +277,14 @@ def volume_candidates(model: VolumeModel, predicted: bool = True, seed: int = 0)
 
         def run(batches):
             for pdf in batches:
-                for pattern, q in zip(pdf["pattern_id"], pdf["q"], strict=True):
-                    if len(q) < width:
-                        continue
-                    ids = np.full(n, pattern), np.arange(n)
-                    u = indexing.draws(seed, 2, *ids, 7)
+                for patterns, q, first in _taken(pdf, width):
+                    u = indexing.draws(seed, 2, np.repeat(patterns, n), np.tile(np.arange(n), len(patterns)), 7)
                     if predicted:
-                        volumes = walk(sent.value, np.asarray(q, float)[None, :width])[0]
-                        volumes = volumes[(u[:, 6] * len(volumes)).astype(int)]
+                        volumes = walk(sent.value, first)
+                        volumes = np.take_along_axis(volumes, (u[:, 6] * volumes.shape[1]).astype(int).reshape(-1, n), 1).ravel()
                     else:
                         volumes = model.limits[0] + (model.limits[1] - model.limits[0]) * u[:, 6]
-                    yield _emitted(pattern, q, indexing.physical(random_coefficients(u, system, np.maximum(volumes, 1e-12)), system))
+                    yield _emitted(patterns, q, indexing.physical(random_coefficients(u, system, np.maximum(volumes, 1e-12)), system))
 
         return patterns.select("pattern_id", "q").mapInPandas(run, indexing.COLUMNS)
 
