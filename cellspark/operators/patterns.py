@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cellspark.operators.candidates import coverage_objective, normal_at
 from cellspark.operators.curation import draw
+from cellspark.operators.indexing import dealt
 from cellspark.operators.peaks import bound, maxima, nearest, pairs_within_frame
 from cellspark.operators.stats import covariance
 
@@ -166,21 +167,30 @@ def draw_templates(df: DataFrame, key: str, labels: str, n: int, seed: int | str
 def resample_predictions(df: DataFrame, key: str, predictions: str, n: int, seed: int = 0) -> DataFrame:
     """(key, candidate_id, values): n of the predictions (array of arrays) of each row, drawn by hash; where there are fewer, all of them and normal draws with their mean and covariance."""
     kind = df.schema[key].dataType.simpleString()
-    chosen = df.select(key, F.slice(F.transform(F.array_sort(F.transform(predictions, lambda v, i: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), i.cast("string")).cast("binary")).alias("d"), v.alias("v")))), lambda s: s["v"]), 1, n).alias("own"))
-    size = F.size(F.get("own", 0))
-    noise = F.transform(F.sequence(F.lit(0), n * size - 1), lambda i: normal_at(seed, F.col(key), i))
-    rows = chosen.where(F.size("own") > 0).select(key, "own", noise.alias("z"))
+    chosen = dealt(df, key).select(key, F.slice(F.transform(F.array_sort(F.transform(predictions, lambda v, i: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), i.cast("string")).cast("binary")).alias("d"), v.alias("v")))), lambda s: s["v"]), 1, n).alias("own"))
+    size, more = F.size(F.get("own", 0)), n - F.size("own")
+    noise = F.when((F.size("own") > 0) & (more > 0) & (size > 0), F.transform(F.sequence(F.lit(0), more * size - 1), lambda i: normal_at(seed, F.col(key), i)))
+    flat = F.when(F.forall("own", lambda v: F.size(v) == size), F.flatten("own")).otherwise(F.raise_error(F.lit("predictions of unlike lengths")))
+    rows = chosen.select(key, F.size("own").alias("n"), F.when(F.size("own") > 0, flat).alias("own"), noise.alias("z"))
+
+    def drawn(x: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """(rows, more, width): normal draws with the mean and covariance of (rows, predictions, width)."""
+        mean, many, width = x.mean(1), *x.shape[1:]
+        away = x - mean[:, None]
+        cov = np.einsum("nki,nkj->nij", away, away) / max(many - 1, 1)
+        scale = 1e-12 * np.maximum(np.trace(cov, axis1=1, axis2=2), 1e-12)
+        root = np.linalg.cholesky(cov + np.eye(width) * scale[:, None, None])
+        return mean[:, None] + np.einsum("nki,nji->nkj", z.reshape(len(x), -1, width), root)
 
     def run(batches):
         for pdf in batches:
-            for k, own, z in zip(pdf[key], pdf["own"], pdf["z"], strict=True):
-                x = np.stack(own).astype(float)
-                more = n - len(x)
-                if more > 0:
-                    cov = np.cov(x, rowvar=False).reshape(x.shape[1], -1) if len(x) > 1 else np.zeros((x.shape[1],) * 2)
-                    root = np.linalg.cholesky(cov + np.eye(len(cov)) * (1e-12 * max(np.trace(cov), 1e-12)))
-                    x = np.concatenate([x, x.mean(0) + np.asarray(z, float).reshape(n, -1)[:more] @ root.T])
-                yield pd.DataFrame({key: k, "candidate_id": np.arange(len(x), dtype=np.int32), "values": list(x)})
+            count, length = pdf["n"].fillna(0).to_numpy(int), pdf["own"].map(lambda v: 0 if v is None else len(v)).to_numpy(int)
+            for many, size in sorted({p for p in zip(count, length, strict=True) if p[0] > 0}):
+                part = pdf[(count == many) & (length == size)]
+                x = np.stack(part["own"].to_numpy()).astype(float).reshape(len(part), many, -1)
+                if many < n and size:
+                    x = np.concatenate([x, drawn(x, np.stack(part["z"].to_numpy()).astype(float))], 1)
+                yield pd.DataFrame({key: part[key].repeat(x.shape[1]).to_numpy(), "candidate_id": np.tile(np.arange(x.shape[1], dtype=np.int32), len(x)), "values": list(x.reshape(-1, x.shape[2]))})
 
     return rows.mapInPandas(run, f"`{key}` {kind}, candidate_id int, values array<double>")
 

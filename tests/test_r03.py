@@ -64,3 +64,17 @@ def test_trees_are_walked_in_all_tasks(spark):
     assert out.rdd.getNumPartitions() > 1
     got = {r["id"]: (r["trees"], r["mean"], r["var"]) for r in out.collect()}
     assert len(got) == 30 and got[3] == (None, None, None) and got[1] == ([[5.0]], [5.0], [0.0]) and got[2] == ([[7.0]], [7.0], [0.0])
+
+
+def test_predictions_are_drawn_in_all_tasks(spark):
+    from cellspark.operators import patterns
+
+    rows = [(1, [[1.0, 2.0]] * 3), (2, [[float(i), i * 2.0] for i in range(9)]), (3, []), (4, None), (5, [[1.0, 5.0], [3.0, 5.0]])]
+    out = patterns.resample_predictions(spark.createDataFrame(rows, "id long, p array<array<double>>").coalesce(1), "id", "p", 6)
+    assert out.rdd.getNumPartitions() > 1
+    got = {}
+    for r in out.orderBy("id", "candidate_id").collect():
+        got.setdefault(r["id"], []).append(r["values"])
+    assert sorted(got) == [1, 2, 5] and all(len(v) == 6 for v in got.values())
+    assert all(v in rows[1][1] for v in got[2])
+    assert np.allclose(got[1], [[1.0, 2.0]] * 6, atol=1e-5) and np.allclose(np.array(got[5])[:, 1], 5.0, atol=1e-5) and len({v[0] for v in got[5]}) == 6
