@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellspark.functions.cell import FREE
 from cellspark.operators import indexing
 from cellspark.operators.forests import _normal, xnn_of_cells
 from cellspark.operators.stats import covariance
@@ -66,34 +67,47 @@ def augment_entries(df: DataFrame, key: str, group: str, values: list[str], syst
     sent = spark.sparkContext.broadcast(group_spread(df, group, values) if method != "scale" else {})
     refs, lengths = indexing.reference_terms(spark, {"cubic": "cP", "tetragonal": "tP", "hexagonal": "hP", "rhombohedral": "hR", "orthorhombic": "oP", "monoclinic": "mP", "triclinic": "aP"}[system]), LENGTHS.get(system, 3)
     times = copies if isinstance(copies, Column) else F.lit(copies)
-    rows = df.where(times > 0).select(key, F.col(key).cast("long").alias("_id"), F.col(group).alias("_g"), F.explode(F.sequence(F.lit(1), times)).alias("copy"), F.array(*[F.col(v).cast("double") for v in values]).alias("_v"))
+    rows = indexing.dealt(df.where(times > 0), key).select(key, F.col(key).cast("long").alias("_id"), F.col(group).alias("_g"), F.explode(F.sequence(F.lit(1), times)).alias("copy"), F.array(*[F.col(v).cast("double") for v in values]).alias("_v"))
+
+    def drawn(v: np.ndarray, m: np.ndarray | None, ids: np.ndarray, draw: np.ndarray) -> np.ndarray:
+        z = _normal(seed, 0, ids, draw, p)
+        if method == "scale":
+            cells = v * np.where(np.arange(p) < lengths, 1 + share * z, 1.0)
+        elif method == "principal":
+            at = (indexing.draws(seed, 1, ids, draw, 1)[:, 0] * p).astype(int)
+            cells = v + share * np.take_along_axis(m, at[:, None, None], 2)[:, :, 0] * z[:, :1]
+        else:
+            cells = v + share * np.einsum("nj,nij->ni", z, m)
+        return restored(cells, system)
+
+    def judged(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = xnn_of_cells(cells, system)
+        fits = np.isfinite(x).all(1) & (cells[:, :lengths] >= limits[0]).all(1) & (cells[:, :lengths] <= limits[1]).all(1)
+        if system in ("rhombohedral", "monoclinic", "triclinic"):
+            fits &= (cells[:, lengths:] > 0).all(1) & (cells[:, lengths:] < np.pi).all(1)
+        return x, fits
 
     def run(batches):
         for pdf in batches:
-            for k, i, g, copy, v in pdf.itertuples(index=False):
-                v = np.asarray(v, float)
-                if not np.isfinite(v).all():
-                    continue
-                ids = np.full(tries, i), np.arange(tries) + tries * copy
-                z = _normal(seed, 0, *ids, p)
-                if method == "scale":
-                    cells = v * np.where(np.arange(p) < lengths, 1 + share * z, 1.0)
-                else:
-                    m = sent.value.get(g if g == g else None)
-                    if method == "principal":
-                        at = (indexing.draws(seed, 1, *ids, 1)[:, 0] * p).astype(int)
-                        cells = v + share * m[:, at].T * z[:, :1]
-                    else:
-                        cells = v + share * z @ m.T
-                cells = restored(cells, system)
-                x = xnn_of_cells(cells, system)
-                fits = np.isfinite(x).all(1) & (cells[:, :lengths] >= limits[0]).all(1) & (cells[:, :lengths] <= limits[1]).all(1)
-                if system in ("rhombohedral", "monoclinic", "triclinic"):
-                    fits &= (cells[:, lengths:] > 0).all(1) & (cells[:, lengths:] < np.pi).all(1)
-                if fits.any():
-                    one = int(fits.argmax())
-                    q = np.unique(np.round(indexing.calculated(x[one : one + 1], refs)[0], 12))[:n_peaks]
-                    yield pd.DataFrame({key: [k], "copy": [copy], "cell": [cells[one]], "q": [q]})
+            v = np.stack(pdf["_v"].to_numpy()).astype(float) if len(pdf) else np.empty((0, p))
+            ids, copy = pdf["_id"].to_numpy(), pdf["copy"].to_numpy()
+            out, lines = np.full(v.shape, np.nan), np.full((len(v), len(FREE[system])), np.nan)
+            left = np.flatnonzero(np.isfinite(v).all(1))
+            m = None
+            if method != "scale" and len(left):
+                m = np.full((len(v), p, p), np.nan)
+                m[left] = np.stack([sent.value[g if g == g else None] for g in pdf["_g"].to_numpy()[left]])
+            for t in range(tries):  # only rows that no draw has fitted yet go on
+                if not len(left):
+                    break
+                cells = drawn(v[left], None if m is None else m[left], ids[left], t + tries * copy[left].astype(np.int64))
+                x, fits = judged(cells)
+                out[left[fits]], lines[left[fits]] = cells[fits], x[fits]
+                left = left[~fits]
+            found = np.flatnonzero(np.isfinite(lines).all(1))
+            for lo in range(0, len(found), 1024):
+                at = found[lo : lo + 1024]
+                yield pd.DataFrame({key: pdf[key].to_numpy()[at], "copy": copy[at], "cell": list(out[at]), "q": indexing.first_lines(indexing.calculated(lines[at], refs), n_peaks)})
 
     kind = df.schema[key].dataType.simpleString()
     return rows.select(key, "_id", "_g", F.col("copy").cast("int").alias("copy"), "_v").mapInPandas(run, f"`{key}` {kind}, copy int, cell array<double>, q array<double>")

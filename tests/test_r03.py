@@ -78,3 +78,18 @@ def test_predictions_are_drawn_in_all_tasks(spark):
     assert sorted(got) == [1, 2, 5] and all(len(v) == 6 for v in got.values())
     assert all(v in rows[1][1] for v in got[2])
     assert np.allclose(got[1], [[1.0, 2.0]] * 6, atol=1e-5) and np.allclose(np.array(got[5])[:, 1], 5.0, atol=1e-5) and len({v[0] for v in got[5]}) == 6
+
+
+def test_copies_are_drawn_in_all_tasks(spark):
+    """Most draws of the first row are out of the limits; its copies come from later ones."""
+    from cellspark.operators import augmentation
+
+    rows = [(1, 0, 2.251, 2.252, 2.253), (2, 0, 9.0, 12.0, 15.0), (3, 0, 4.0, None, 8.0)] + [(i, 0, 5.0 + i, 6.0 + i, 7.0 + 2 * i) for i in range(4, 24)]
+    df = spark.createDataFrame(rows, "id long, g int, a double, b double, c double").coalesce(1)
+    for method in augmentation.METHODS:
+        out = augmentation.augment_entries(df, "id", "g", ["a", "b", "c"], "orthorhombic", method, 3)
+        assert out.rdd.getNumPartitions() > 1
+        got = out.collect()
+        assert sorted((r["id"], r["copy"]) for r in got if r["id"] > 1) == [(i, k) for i in range(2, 24) if i != 3 for k in (1, 2, 3)]
+        assert any(r["id"] == 1 for r in got)
+        assert all(r["cell"] == sorted(r["cell"]) and r["cell"][0] >= 2.25 and len(set(r["q"])) == 10 and r["q"] == sorted(r["q"]) for r in got)
