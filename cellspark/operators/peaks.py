@@ -225,9 +225,11 @@ def profile(df: DataFrame, by: list[str], q2: str, intensity: str, grid: tuple[f
     """(by, g, y): Gaussians of the peaks' intensities, summed at grid points up to reach widths away."""
     low, high, n = grid
     step = (high - low) / (n - 1)
-    first = F.greatest(F.lit(0), F.ceil((F.col(q2) - reach * F.col("_w") - low) / step)).cast("int")
-    last = F.least(F.lit(n - 1), F.floor((F.col(q2) + reach * F.col("_w") - low) / step)).cast("int")
+    # One point more to both sides: a division may round past a point just reach widths away, so each is tested itself.
+    first = F.greatest(F.lit(0), F.ceil((F.col(q2) - reach * F.col("_w") - low) / step) - 1).cast("int")
+    last = F.least(F.lit(n - 1), F.floor((F.col(q2) + reach * F.col("_w") - low) / step) + 1).cast("int")
     rows = df.withColumn("_w", breadth(F.col(q2))).withColumn("_a", first).withColumn("_b", last).where("_a <= _b").withColumn("g", F.explode(F.sequence("_a", "_b")))
+    rows = rows.where(F.abs(low + F.col("g") * step - F.col(q2)) <= reach * F.col("_w"))
     return rows.groupBy(*by, "g").agg(F.sum(F.col(intensity) * F.exp(-0.5 * F.pow((low + F.col("g") * step - F.col(q2)) / F.col("_w"), 2))).alias("y"))
 
 

@@ -93,3 +93,14 @@ def test_copies_are_drawn_in_all_tasks(spark):
         assert sorted((r["id"], r["copy"]) for r in got if r["id"] > 1) == [(i, k) for i in range(2, 24) if i != 3 for k in (1, 2, 3)]
         assert any(r["id"] == 1 for r in got)
         assert all(r["cell"] == sorted(r["cell"]) and r["cell"][0] >= 2.25 and len(set(r["q"])) == 10 and r["q"] == sorted(r["q"]) for r in got)
+
+
+def test_profile_reaches_just_its_widths(spark):
+    """0.065 is just five widths from 0.064 and 0.066 on paper; what counts is the test on doubles."""
+    from cellspark.functions import optics
+    from cellspark.operators import peaks
+
+    values = [0.065, *(k / 1000 for k in range(3, 99, 2)), *(k / 10000 for k in range(25, 990, 7))]
+    df = spark.createDataFrame([(i, q, 1) for i, q in enumerate(values)], "id long, q2 double, i int")
+    got = {(r["id"], r["g"]) for r in peaks.profile(df, ["id"], "q2", "i", (0.0, 0.1, 101), optics.breadth).collect()}
+    assert got == {(i, g) for i, q in enumerate(values) for g in range(101) if abs(0.001 * g - q) <= 5 * (0.00007 + 0.002 * q)}
