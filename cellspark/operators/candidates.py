@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cellspark.functions import cell, symmetry
 from cellspark.operators.curation import draw, ordinals
-from cellspark.operators.indexing import thinned
+from cellspark.operators.indexing import dealt, thinned
 
 #: Widths of the error of q2: constant and in proportion. Fixed values.
 NOISE = (8.7e-5, 9.2e-4)
@@ -124,10 +124,10 @@ def with_donors(df: DataFrame, by: list[str], key: str, values: list[str], seed:
 
 def random_cells(df: DataFrame, key: str, n: int, low: float, high: float, volume: Column, seed: int = 0) -> DataFrame:
     """n orthorhombic cells a row: uniform lengths, scaled to the wanted volume and ordered."""
-    rows = df.withColumn("candidate_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    rows = dealt(df.withColumn("_volume", volume), key).withColumn("candidate_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     lengths = [low + (high - low) * uniform(f"{seed}{a}", key, "candidate_id") for a in "abc"]
-    scale = F.cbrt(volume / (lengths[0] * lengths[1] * lengths[2]))
-    return rows.withColumn("cell", F.array_sort(F.array(*[v * scale for v in lengths])))
+    scale = F.cbrt(F.col("_volume") / (lengths[0] * lengths[1] * lengths[2]))
+    return rows.withColumn("cell", F.sort_array(F.array(*[v * scale for v in lengths]))).drop("_volume")
 
 
 def greedy_assignments(df: DataFrame, by: str, peak: str, label: str, p: str) -> DataFrame:

@@ -104,3 +104,14 @@ def test_profile_reaches_just_its_widths(spark):
     df = spark.createDataFrame([(i, q, 1) for i, q in enumerate(values)], "id long, q2 double, i int")
     got = {(r["id"], r["g"]) for r in peaks.profile(df, ["id"], "q2", "i", (0.0, 0.1, 101), optics.breadth).collect()}
     assert got == {(i, g) for i, q in enumerate(values) for g in range(101) if abs(0.001 * g - q) <= 5 * (0.00007 + 0.002 * q)}
+
+
+def test_cells_are_made_in_all_tasks(spark):
+    from cellspark.operators import candidates
+
+    out = candidates.random_cells(spark.range(40).withColumn("v", F.lit(100.0)).coalesce(1), "id", 2, 3.0, 20.0, F.col("v"))
+    assert out.rdd.getNumPartitions() > 1 and out.count() == 80
+    from cellspark.plans import catalog
+
+    for name in ("p15_q2_of", "p25_reindex_ok"):
+        assert "REPARTITION_BY_NUM" in catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
