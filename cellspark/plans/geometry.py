@@ -117,10 +117,11 @@ def p14_hkl_terms(spark, sf_dir):
 
 @query(f"{_XNN}, h AS ({_HKL}, x0, x1, x2, x3, x4, x5 FROM x) SELECT entry_id, round(x0*h*h + x1*k*k + x2*l*l + x3*k*l + x4*h*l + x5*h*k, 9) AS q2 FROM h")
 def p15_q2_of(spark, sf_dir):
-    v = cells(spark, sf_dir).select("*", *_hkl())
+    v = dealt(cells(spark, sf_dir), "entry_id").select("*", *_hkl())
     x = F.array(*cell.xnn(cell.columns()))
     terms = cell.hkl_terms(F.col("h"), F.col("k"), F.col("l"), F.lit("triclinic"))
-    return v.select("entry_id", F.round(cell.dot(terms.cast("array<double>"), x), 9).alias("q2")).where("q2 IS NOT NULL")
+    q2 = F.array(F.round(cell.dot(terms.cast("array<double>"), x), 9))
+    return v.select("entry_id", F.explode(F.filter(q2, lambda q: q.isNotNull())).alias("q2"))  # a filter of rows would make q2 twice
 
 
 @query("SELECT event_id, round(pow(2 * sin(radians(value / 10) / 2) / 1.5406e0, 2), 9) AS q2, round((1 + pow(cos(radians(value / 10)), 2)) / (2 * sin(radians(value / 10))), 6) AS lp FROM events WHERE value > 1")
