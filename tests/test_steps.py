@@ -89,3 +89,25 @@ def test_spread_dense_of_patterns_of_many_sizes(spark):
         want = ix.spread(x, (np.full(n, p), np.arange(n)), "orthorhombic", 0.0007, 2)
         assert [outs[0][p, c] for c in range(n)] == want.tolist()
     assert str(outs[0][4, 24]) == str(rows[-1][3])
+
+
+def test_planted_volumes_that_are_halves(spark, tmp_path):
+    """All entries up to 120,000 whose cell has a volume of just a half (a tetragonal one of 9.5 * 9.5 * 6), and some others."""
+    import duckdb
+
+    from cellspark.plans.catalog import ORACLE_SQL
+
+    def millionths(k):
+        a, b, c = 400 + 11 * (k % 97), 500 + 13 * (k % 89), 600 + 17 * (k % 83)
+        return {0: a * a * a, 1: a * a * c, 4: a * b * c}.get(k % 7, 0)
+
+    halves = [k for k in range(120_000) if millionths(k) % 1_000_000 == 500_000]
+    assert 35358 in halves and len(halves) == 3
+    spark.createDataFrame([(k,) for k in [*halves, 3, 12, 20]], "p_partkey long").createOrReplaceTempView("halves")
+    part = spark.table("halves").selectExpr("p_partkey", "'' AS p_type", "'' AS p_brand", "0e0 AS p_retailprice", "1 AS p_size", "'' AS p_name")
+    part.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    got = {r["entry_id"]: (r["lattice"], r["volume"]) for r in QUERIES["c8_planted_cells"](spark, str(tmp_path)).collect()}
+    assert all(got[k][1] == (millionths(k) + 500_000) // 1_000_000 for k in halves)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert got == {e: (lattice, v) for e, lattice, v in con.execute(ORACLE_SQL["c8_planted_cells"]).fetchall()}
