@@ -202,13 +202,11 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, block: int = BLOCK)
     heads = posts.groupBy("v").agg(F.max(F.struct("centre", "id")).alias("head"), F.count("*").alias("len")).where("len > 1").select("v", F.col("head.id").alias("a"))
     star = kept(posts.join(heads, "v").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct())
     sig = classes.select("id", "sig")
-    head = sig.join(star.select(F.col("a").alias("id")).distinct(), "id", "left_semi").toDF("a", "x")
-    both = looked_up(star.join(sig.toDF("b", "y"), "b"), head, ["a"], "b", "inner")
+    both = looked_up(star.join(sig.toDF("b", "y"), "b"), sig.toDF("a", "x"), ["a"], "b", "inner", star)
     hits = F.aggregate(F.zip_with("x", "y", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     near = kept(both.where(hits >= matches(percent, COORDINATES, MISS)).select("a", "b"))
     sets = shingle_sets(docs, near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    head = sets.join(near.select(F.col("a").alias("id")).distinct(), "id", "left_semi").toDF("a", "x")
-    both = looked_up(near.join(sets.toDF("b", "y"), "b"), head, ["a"], "b", "inner").withColumn("common", F.size(F.array_intersect("x", "y")))
+    both = looked_up(near.join(sets.toDF("b", "y"), "b"), sets.toDF("a", "x"), ["a"], "b", "inner", near).withColumn("common", F.size(F.array_intersect("x", "y")))
     linked = kept(both.where(alike(F.col("common"), F.size("x"), F.size("y"), percent)).select("a", "b"))
     return linked.union(_rest(docs, classes, star, components(linked), percent, block))
 

@@ -172,10 +172,13 @@ def numbered(df: DataFrame, key: str = "doc_id", text: str = "text", name: str =
     return kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())), False
 
 
-def looked_up(rows: DataFrame, table: DataFrame, on: list[str], by: str, how: str = "left") -> DataFrame:
-    """rows joined with a table of one row for each `on`. Rows of one `on` are dealt out to SALTS tasks by the column `by`, so that no task gets all rows of a frequent one."""
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str], by: str, how: str = "left", used: DataFrame | None = None) -> DataFrame:
+    """rows joined with a table of one row for each `on`. Rows of one `on` are dealt out to SALTS tasks by the column `by`, so that no task gets all rows of a frequent one. `used`: rows with the same `on` and `by`, where the table's rows are large: these then go only to tasks that have such rows."""
     salt = F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
-    many = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    if used is None:
+        many = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    else:
+        many = table.join(used.select(*on, salt.alias("_salt")).distinct(), on)
     return rows.withColumn("_salt", salt).join(many, [*on, "_salt"], how).drop("_salt")
 
 

@@ -44,3 +44,26 @@ def test_near_copies_of_80_percent(spark):
     want = {i for i, (_, c) in plain_groups({r[0]: r[1] for r in rows}, 80).items() if c == i}
     got = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, DOC), "").collect()}
     assert got == want and len(want) < 25
+
+
+def test_large_rows_go_to_the_tasks_that_need_them(spark):
+    """A table's row travels to one task for one row that looks it up, not to all that a frequent key would have."""
+    from pyspark.sql import functions as F
+
+    from cellspark.llm import shared
+
+    rows = spark.createDataFrame([(1, 10), (2, 20), *((3, i) for i in range(400))], "a long, b long")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    table = spark.range(0, 50).select(F.col("id").alias("a"), (F.col("id") * 2).alias("x"))
+    got = shared.looked_up(rows, table, ["a"], "b", "inner", rows)
+    assert sorted((r["a"], r["b"], r["x"]) for r in got.collect()) == sorted((r["a"], r["b"], 2 * r["a"]) for r in rows.collect())
+    many = table.join(rows.select("a", F.pmod(F.xxhash64("b"), F.lit(shared.SALTS)).alias("s")).distinct(), "a").mapInArrow(counted, "a long, x long, s long")
+    many.write.format("noop").mode("overwrite").save()
+    assert seen.value == 2 + shared.SALTS
+    assert sorted(shared.looked_up(rows, table.where("a <> 2"), ["a"], "b").where("x IS NULL").select("a", "b").collect()) == [(2, 20)]
