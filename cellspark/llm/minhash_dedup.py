@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import kept, lists, longs, looked_up, mixed, numbered, slices, spaced
+from .shared import among, kept, lists, longs, looked_up, mixed, numbered, others, slices, spaced
 
 SHINGLE, COORDINATES, SCREEN = 5, 128, 32
 #: Shingles of a block of documents that are compared with those of another block at once.
@@ -96,7 +96,7 @@ def _sets(batches):
 
 def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, items) of the documents `ids`."""
-    return kept(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, items array<long>"))
+    return kept(among(docs, ids, "doc_id").mapInArrow(_sets, "id long, items array<long>"))
 
 
 def alike(common, n, m, percent: int):
@@ -104,26 +104,28 @@ def alike(common, n, m, percent: int):
     return 100 * common >= percent * (n + m - common)
 
 
-def _posts(classes: DataFrame, coordinates: int) -> DataFrame:
+def _posts(classes: DataFrame, values: str) -> DataFrame:
     """id and v, the key of each (coordinate, value) list that it is posted in."""
-    return classes.select("id", F.posexplode(F.slice("sig", 1, coordinates)).alias("j", "x")).select("id", (F.shiftleft(F.col("j").cast("long"), 32) + F.col("x").bitwiseAND(F.lit(0xFFFFFFFF))).alias("v"))
+    return classes.select("id", F.posexplode(values).alias("j", "x")).select("id", (F.shiftleft(F.col("j").cast("long"), 32) + F.col("x").bitwiseAND(F.lit(0xFFFFFFFF))).alias("v"))
 
 
 def _shared(posts: DataFrame) -> DataFrame:
     return posts.groupBy("v").agg(F.count("*").alias("len")).where("len > 1")
 
 
-def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
+def _able(heads: DataFrame, percent: int) -> DataFrame:
+    """The classes with enough values of their screen in common with others: id."""
+    posts = _posts(heads, "screen")
+    hits = posts.join(_shared(posts), "v", "left_semi").groupBy("id").agg(F.count("*").alias("hits"))
+    return hits.where(F.col("hits") >= matches(percent, SCREEN, SCREEN_MISS)).select("id")
+
+
+def _prefixes(able: DataFrame, percent: int) -> DataFrame:
     """Classes that can have a partner: id, centre (how common its values are) and prefix, array of list keys, short lists first."""
-    least, screen = matches(percent, COORDINATES, MISS), matches(percent, SCREEN, SCREEN_MISS)
-    posts = _posts(classes, SCREEN)
-    able = posts.join(_shared(posts), "v", "left_semi").groupBy("id").agg(F.count("*").alias("hits")).where(F.col("hits") >= screen)
-    able = kept(classes.join(able, "id", "left_semi"))
-    posts = _posts(able, COORDINATES)
+    least, posts = matches(percent, COORDINATES, MISS), _posts(able, "sig")
     own = posts.join(_shared(posts), "v").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("len", "v"))).alias("lists"))
     room = F.size("lists") - least + 1  # lists of one class come before these and give no candidates
-    own = own.where(F.size("lists") >= least).select("id", F.aggregate("lists", F.lit(0.0), lambda s, x: s + F.log1p(x["len"])).alias("centre"), F.transform(F.slice("lists", 1, room), lambda x: x["v"]).alias("prefix"))
-    return own
+    return own.where(F.size("lists") >= least).select("id", F.aggregate("lists", F.lit(0.0), lambda s, x: s + F.log1p(x["len"])).alias("centre"), F.transform(F.slice("lists", 1, room), lambda x: x["v"]).alias("prefix"))
 
 
 def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -195,10 +197,11 @@ def _rest(docs: DataFrame, classes: DataFrame, star: DataFrame, group: DataFrame
     return groups.select("i", "j", "members").mapInArrow(_linked(percent), "a long, b long")
 
 
-def links(docs: DataFrame, classes: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Confirmed edges (a, b) between ids that give the components of all links."""
-    able = _prefixes(classes, percent)
-    posts = able.select("id", "centre", F.explode("prefix").alias("v"))
+def links(docs: DataFrame, heads: DataFrame, facts: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Confirmed edges (a, b) between ids that give the components of all links. heads: id and screen of each class; facts: of all documents."""
+    classes = kept(among(facts.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig"), _able(heads, percent), "id"))
+    own = kept(_prefixes(classes, percent))
+    posts = own.select("id", "centre", F.explode("prefix").alias("v"))
     heads = posts.groupBy("v").agg(F.max(F.struct("centre", "id")).alias("head"), F.count("*").alias("len")).where("len > 1").select("v", F.col("head.id").alias("a"))
     star = kept(posts.join(heads, "v").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct())
     sig = classes.select("id", "sig")
@@ -239,7 +242,7 @@ def without_near_duplicates(df: DataFrame, percent: int = 85, block: int = BLOCK
     name = "_row" + "_" * max(map(len, df.columns))
     rows, _ = numbered(df, name=name)
     found = classified(rows.select(F.col(name).alias("doc_id"), "text"), percent, block)
-    return rows.join(found.where("row <> component").select(F.col("row").alias(name)), name, "left_anti").select(*df.columns)
+    return others(rows, found.where("row <> component").select(F.col("row").alias(name)), name).select(*df.columns)
 
 
 def classified(docs: DataFrame, percent: int, block: int) -> DataFrame:
@@ -247,9 +250,10 @@ def classified(docs: DataFrame, percent: int, block: int) -> DataFrame:
     facts = kept(docs.mapInArrow(_facts, "doc_id long, n_shingles long, set_a long, set_b long, sig array<int>"))
     same = ["n_shingles", "set_a", "set_b"]
     copies = facts.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("id"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    member = looked_up(facts, copies, same, "doc_id").withColumn("id", F.coalesce("id", "doc_id"))
-    member = kept(member.select("doc_id", "id", "n_shingles", F.when(F.col("doc_id") == F.col("id"), F.col("sig")).alias("sig")))
-    heads = member.where("doc_id = id AND n_shingles > 0").select("id", F.col("n_shingles").alias("n"), "sig")
-    group = kept(components(links(docs, heads, percent, block)))
-    named = looked_up(member.drop("sig"), group.withColumnsRenamed({"node": "id"}), ["id"], "doc_id")
+    member = looked_up(facts.drop("sig"), copies, same, "doc_id").withColumn("id", F.coalesce("id", "doc_id"))
+    member = kept(member.select("doc_id", "id", "n_shingles"))
+    screens = facts.where("n_shingles > 0").select(F.col("doc_id").alias("id"), F.slice("sig", 1, SCREEN).alias("screen"))
+    heads = kept(others(screens, member.where("doc_id <> id").select(F.col("doc_id").alias("id")), "id"))
+    group = kept(components(links(docs, heads, facts, percent, block)))
+    named = looked_up(member, group.withColumnsRenamed({"node": "id"}), ["id"], "doc_id")
     return named.select(F.col("doc_id").alias("row"), "n_shingles", F.coalesce("component", "id").alias("component"))

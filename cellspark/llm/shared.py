@@ -6,6 +6,7 @@ numpy, a quarter of a megabyte at a time, so that memory doesn't grow with the b
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,13 +14,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are handled at once; a longer text is handled alone.
 CHUNK = 1 << 18
 #: Tasks that the rows of one key are dealt out to.
 SALTS = 16
+#: Bits of a sieve for each of its ids, bits that an id sets, and the most 64-bit words of a sieve, which all tasks get.
+BITS, MARKS, WORDS = 16, 4, 1 << 19
 #: Odd multipliers of the polynomial hashes, modulo 2**64.
 BASE, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -182,6 +185,33 @@ def looked_up(rows: DataFrame, table: DataFrame, on: list[str], by: str, how: st
     return rows.withColumn("_salt", salt).join(many, [*on, "_salt"], how).drop("_salt")
 
 
+def _sifted(rows: DataFrame, ids: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose `on` may be one of ids: all that are and a few others; the rest). A Bloom filter: each id sets MARKS bits of one of its words. Beyond WORDS * 64 / BITS ids it isn't larger, but lets more others through."""
+    words = min(WORDS, 1 << (ids.count() * BITS // 64).bit_length())
+    far = "_" * max(map(len, rows.columns))  # longer than any column
+    word, marks, bits = f"w{far}", f"m{far}", f"b{far}"
+    h = F.xxhash64(on)
+    each = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 32 + 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(MARKS)]
+    own = {word: h.bitwiseAND(F.lit(words - 1).cast("long")), marks: functools.reduce(Column.bitwiseOR, each)}
+    table = ids.select(*[c.alias(n) for n, c in own.items()]).groupBy(word).agg(F.bit_or(marks).alias(bits))
+    told = rows.withColumns(own).join(F.broadcast(table), word, "left")
+    within = F.coalesce(F.col(bits).bitwiseAND(F.col(marks)) == F.col(marks), F.lit(False))
+    return told.where(within).select(*rows.columns), told.where(~within).select(*rows.columns)
+
+
+def among(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """A semi join of large rows with few ids: those that can't match stay where they are, the others are joined exactly."""
+    ids = kept(ids.select(on))
+    return _sifted(rows, ids, on)[0].join(ids, on, "left_semi")
+
+
+def others(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """An anti join of large rows with few ids, as among()."""
+    ids = kept(ids.select(on))
+    may, not_ = _sifted(rows, ids, on)
+    return not_.union(may.join(ids, on, "left_anti").select(*rows.columns))
+
+
 def spaced(column, lower: bool = False) -> Words:
     """Words as runs of bytes that are not white space (20 and 09 to 0D, hexadecimal); lower turns A-Z into a-z."""
     data, offsets = utf8(column)

@@ -67,3 +67,52 @@ def test_large_rows_go_to_the_tasks_that_need_them(spark):
     many.write.format("noop").mode("overwrite").save()
     assert seen.value == 2 + shared.SALTS
     assert sorted(shared.looked_up(rows, table.where("a <> 2"), ["a"], "b").where("x IS NULL").select("a", "b").collect()) == [(2, 20)]
+
+
+def test_semi_and_anti_joins_leave_most_rows_in_place(spark):
+    """Rows that can't be among the ids aren't shuffled, whatever the size; the result is that of the plain joins, also if the sieve is too small."""
+    from pyspark.sql import functions as F
+
+    from cellspark.llm import shared
+
+    rows = spark.range(0, 20000).select(F.when(F.col("id") != 7, F.col("id")).alias("k"), F.repeat(F.lit("x"), 50).alias("text"))
+    ids, words = spark.range(0, 20000, 40).select(F.col("id").alias("k")), shared.WORDS
+    assert shared.others(rows, ids.limit(0), "k").count() == 20000 and shared.among(rows, ids.limit(0), "k").count() == 0
+    may, rest = shared._sifted(rows, ids, "k")
+    assert 500 <= may.count() < 800 and may.count() + rest.count() == 20000
+    try:
+        for shared.WORDS in (words, 1):
+            assert sorted(r["k"] for r in shared.among(rows, ids, "k").collect()) == list(range(0, 20000, 40))
+            left = shared.others(rows, ids, "k")
+            assert left.columns == rows.columns and left.where("k IS NULL").count() == 1
+            assert sorted(r["k"] for r in left.where("k IS NOT NULL").collect()) == [i for i in range(20000) if i % 40 and i != 7]
+    finally:
+        shared.WORDS = words
+
+
+def test_texts_are_not_shuffled_for_a_few_copies(spark):
+    """Without broadcast joins by size, as large inputs are: far less than all texts goes through shuffles."""
+    rows = [(i, " ".join(prose(9000 + 50 * i + j, 60) for j in range(50)), "aa", "s", None) for i in range(100)]
+    rows += [(100 + i, "more " + rows[i][1], "aa", "s", None) for i in range(4)]
+    docs, before = spark.createDataFrame(rows, DOC), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        none = spark.sparkContext._jvm.java.util.ArrayList()
+        stages = sc.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), none)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    docs.write.format("noop").mode("overwrite").save()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        at = shuffled()
+        docs.repartition(3).write.format("noop").mode("overwrite").save()
+        texts = shuffled() - at
+        at = shuffled()
+        got = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+        moved = shuffled() - at
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == set(range(100))
+    assert moved < texts, (moved, texts)
