@@ -1,12 +1,15 @@
-"""Forests as flat arrays: many small MLlib forests that one Arrow pass walks, and the candidates they generate.
+"""Forests as flat arrays: many small forests that one Arrow pass walks, and the candidates they generate.
 
-MLlib fits each forest on the cluster. Fitted trees become arrays of nodes,
-which travel to the tasks once; a batch of rows goes down all trees together,
-one level a step. So the trees of all ratio bins add no columns to a plan.
+MLlib fits the forest of volumes on the cluster; those of cells grow here, all
+together, by counts that don't depend on the partitions, which SQL can state
+too. Fitted trees become arrays of nodes, which travel to the tasks once; a
+batch of rows goes down all trees together, one level a step. So the trees of
+all ratio bins add no columns to a plan.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 from typing import NamedTuple
@@ -15,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellspark.functions.cell import FREE
@@ -104,41 +107,166 @@ class CellForests(NamedTuple):
     edges: list[float]
 
 
-def fit_cell_forests(df: DataFrame, features: list[str], targets: list[str], ratio: str | None = None, group: str | None = None, weight: str | None = None, bins: int = 10, limits: tuple[float, float] = (0.0, 1.0), trees: int = 200, depth: int = 10, least: int = 2, share: float = 0.05, seed: int = 0) -> CellForests:
-    """A forest for each group, bin of `ratio` and target; rows with a null feature, target or ratio are left out.
+#: Thresholds tried of a feature: as many as between MLlib's 32 bins.
+CUTS = 31
+#: Labels are summed as whole parts of the largest one, weights as whole parts of one: sums don't depend on their order.
+GRID, WEIGHED = 1 << 20, 1 << 10
+#: Nodes whose counts a task holds before it gives them away.
+HELD = 10_000
+
+
+def copies(key: Column, trees: int, share: float, seed: int) -> Column:
+    """How often each tree draws a row, from its key alone: Poisson's distribution with mean `share`, as in MLlib's subsamples."""
+    chance = np.cumsum([math.exp(-share) * share**j / math.factorial(j) for j in range(64)])
+    steps = [int(c * 2**32) for c in chance if c * 2**32 < 2**32 - 1]
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda i: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), key, i)), 1, 8), 16, 10).cast("long"))
+    return F.transform(drawn, lambda u: sum(((u >= s).cast("int") for s in steps), F.lit(0)))
+
+
+def _counted(rows: DataFrame, cuts: dict, grown: dict, trees: int, targets: int) -> DataFrame:
+    """(tree, path, f, code, n, w, s): sums of copies, weights and weighted labels of the rows at each open node of the grown trees, by feature and by the number of its thresholds that are below the row's value."""
+    sent = rows.sparkSession.sparkContext.broadcast((cuts, grown))
+
+    def told(held):
+        for (tree, path), sums in held.items():
+            f, code = np.nonzero(sums[0])
+            yield pd.DataFrame({"tree": tree, "path": path, "f": f, "code": code, "n": sums[0][f, code], "w": sums[1][f, code], "s": sums[2][f, code]})
+
+    def run(batches):
+        cuts, grown = sent.value
+        held: dict = {}
+        for pdf in batches:
+            for part, own in pdf.groupby("part"):
+                x, y, w, drawn = (np.stack(own[n].to_numpy()) for n in ("x", "y", "w", "drawn"))
+                code = np.stack([np.searchsorted(cut, x[:, f]) for f, cut in enumerate(cuts[part])], 1)
+                place = np.arange(x.shape[1]) * (CUTS + 1) + code
+                for i, forest in grown.get(part, {}).items():
+                    taken = np.flatnonzero(drawn[:, i])
+                    paths = walk(forest, x[taken]).astype(np.int64)
+                    for t in range(targets):
+                        at = taken[paths[:, t] > 0]
+                        nodes, node = np.unique(paths[paths[:, t] > 0, t], return_inverse=True)
+                        size = x.shape[1] * (CUTS + 1)
+                        cell = (node[:, None] * size + place[at]).ravel()
+                        n, weight = drawn[at, i], drawn[at, i] * w[at]
+                        sums = [np.bincount(cell, np.repeat(v, x.shape[1]), len(nodes) * size).astype(np.int64).reshape(len(nodes), x.shape[1], CUTS + 1) for v in (n, weight, weight * y[at, t])]
+                        for path, *own_sums in zip(nodes, *sums, strict=True):
+                            name = ((part * targets + t) * trees + i, path)
+                            held[name] = held[name] + np.stack(own_sums) if name in held else np.stack(own_sums)
+                if len(held) > HELD:
+                    yield from told(held)
+                    held = {}
+        yield from told(held)
+
+    return rows.mapInPandas(run, "tree int, path long, f int, code int, n long, w long, s long")
+
+
+def _best_splits(cells: DataFrame, least: int, tried: int, seed: int) -> DataFrame:
+    """(tree, path, n, w, s, best): the sums of each node and its best split, of as many features as are tried there, drawn by hash: the least sum of squares, then the first feature, then the least threshold."""
+    own = Window.partitionBy("tree", "path", "f")
+    upto = own.orderBy("code").rowsBetween(Window.unboundedPreceding, 0)
+    summed = cells.groupBy("tree", "path", "f", "code").agg(*[F.sum(c).alias(c) for c in "nws"])
+    c = summed.select("tree", "path", "f", "code", *[F.sum(c).over(upto).alias(f"l{c}") for c in "nws"], *[F.sum(c).over(own).alias(c) for c in "nws"])
+    square = lambda s, w: s.cast("double") * s.cast("double") / w.cast("double")
+    score = square(F.col("ls"), F.col("lw")) + square(F.col("s") - F.col("ls"), F.col("w") - F.col("lw"))
+    both = (F.col("ln") >= max(least, 1)) & (F.col("n") - F.col("ln") >= max(least, 1))
+    split = F.when(both, F.struct(score.alias("score"), (-F.col("f")).alias("f"), (-F.col("code")).alias("code"), "ln", "lw", "ls"))
+    of_feature = c.groupBy("tree", "path", "f").agg(F.max(split).alias("split"), *[F.max(v).alias(v) for v in "nws"])
+    drawn = F.slice(F.array_sort(F.collect_list(F.struct(F.md5(F.concat_ws(":", F.lit(seed), "tree", "path", "f")).alias("h"), "split"))), 1, tried)
+    return of_feature.groupBy("tree", "path").agg(*[F.max(v).alias(v) for v in "nws"], F.array_max(F.transform(drawn, lambda d: d["split"])).alias("best"))
+
+
+class _Tree:
+    """A tree while it grows: its nodes as in Forest, and the paths of the open ones (1: the root; 2p, 2p + 1: below p)."""
+
+    def __init__(self):
+        self.nodes, self.open = [[-1, np.inf, 0, 0, 0.0]], {1: 0}
+
+    def forest(self, paths: bool = False) -> Forest:
+        feature, threshold, left, right, value = (np.array(c) for c in zip(*self.nodes, strict=True))
+        if paths:
+            value = np.zeros(len(value))
+            value[list(self.open.values())] = list(self.open)
+        return Forest(np.array([0], np.int32), feature.astype(np.int16), threshold.astype(float), left.astype(np.int32), right.astype(np.int32), value.astype(float))
+
+
+def fit_cell_forests(df: DataFrame, features: list[str], targets: list[str], ratio: str | None = None, group: str | None = None, weight: str | None = None, bins: int = 10, limits: tuple[float, float] = (0.0, 1.0), trees: int = 200, depth: int = 10, least: int = 2, share: float = 0.05, seed: int = 0, key: str | None = None) -> CellForests:
+    """A forest for each group, bin of `ratio` and target; rows with a feature, target or ratio that is null or not finite are left out.
 
     Bins hold about as many rows each; the ends are the limits. `weight` is a
     column whose density the rows are weighted against (see
-    stats.inverse_density_weights). Bins of a group without rows have no trees.
-    Groups are few (lattices and their splits): each model is one fit on the cluster.
+    stats.inverse_density_weights). Bins of a group without rows have no trees,
+    nor has a tree that drew none.
+
+    All trees grow together, a level a pass over the rows: tasks count rows by
+    node, feature and threshold, the counts are summed, the best split of each
+    node is taken. What a tree draws depends on `key` (without one: on the
+    features and targets), sums are of whole numbers; so the same rows make the
+    same forests in any session, on any partitioning.
     """
-    given = df.dropna(subset=[*features, *targets, *([ratio] if ratio else [])])
-    if weight:
-        given = stats.inverse_density_weights(given, weight)
-    rows = assembled(features).transform(given).persist()
+    numbers = [*features, *targets, *([ratio] if ratio else [])]
+    given = df.dropna(subset=numbers)
+    for n in numbers:
+        given = given.where(F.abs(F.col(n).cast("double")) < float("inf"))
+    given = given.withColumn("_key", F.col(key) if key else F.xxhash64(*features, *targets)).persist()
     edges = [limits[0], limits[1]]
     if ratio and bins > 1:
-        inner = [r["value"] for r in stats.order_quantile(rows, ratio, [k / bins for k in range(1, bins)]).orderBy("fraction").collect()]
+        inner = [r["value"] for r in stats.order_quantile(given, ratio, [k / bins for k in range(1, bins)]).orderBy("fraction").collect()]
         edges = [limits[0], *inner, limits[1]]
-    keys = [r[0] for r in rows.select(group).distinct().collect()] if group else [None]
-    found = {}
-    for key in keys:
-        own = rows.where(F.col(group).eqNullSafe(key)) if group else rows
-        parts: list[list[Forest]] = [[] for _ in targets]
-        for k in range(len(edges) - 1):
-            upper = F.col(ratio) < edges[k + 1] if ratio and k < len(edges) - 2 else F.lit(True)
-            part = own.where((F.col(ratio) >= edges[k]) & upper) if ratio else own
-            if part.isEmpty():
+    top = given.agg(*[F.max(F.abs(F.col(t).cast("double"))) for t in targets]).first()
+    unit = [(m or 1.0) / GRID for m in top]
+    keys = sorted((r[0] for r in given.select(group).distinct().collect()), key=lambda v: (v is not None, v)) if group else [None]
+    place = sum((F.when(F.col(group).eqNullSafe(F.lit(v)), i).otherwise(0) for i, v in enumerate(keys)), F.lit(0)) if group else F.lit(0)
+    size = len(edges) - 1
+    part = place * size + sum(((F.col(ratio) >= e).cast("int") for e in edges[1:-1]), F.lit(0))
+    label = F.array(*[F.floor(F.col(t).cast("double") / F.lit(float(m or 1.0)) * GRID + 0.5).cast("long") for t, m in zip(targets, top, strict=True)])
+    weighted = stats.inverse_density_weights(given, weight) if weight else given
+    rows = indexing.dealt(weighted.where(F.col(ratio) >= limits[0]) if ratio else weighted, "_key").select(
+        part.cast("int").alias("part"),
+        F.array(*[F.col(f).cast("double") for f in features]).alias("x"),
+        label.alias("y"),
+        (F.floor(F.col("weight") * WEIGHED + 0.5).cast("long") if weight else F.lit(1).cast("long")).alias("w"),
+        copies(F.col("_key").cast("string"), trees, share, seed).alias("drawn"),
+    )
+    rows.persist()
+    values = rows.select("part", F.posexplode("x").alias("f", "v"))
+    cuts: dict = {p: [[] for _ in features] for p in range(len(keys) * size)}
+    for r in stats.order_quantile(values, "v", [j / (CUTS + 1) for j in range(1, CUTS + 1)], ["part", "f"]).select("part", "f", "value").distinct().collect():
+        cuts[r["part"]][r["f"]].append(r["value"])
+    cuts = {p: [np.sort(np.array(c, float)) for c in own] for p, own in cuts.items()}
+    full = {n: _Tree() for n in range(len(cuts) * len(targets) * trees)}
+    number = lambda p, t, i: (p * len(targets) + t) * trees + i
+    tried = len(features) if trees == 1 else math.ceil(len(features) / 3)
+    seen = set()
+    for level in range(max(depth, 1)):
+        grown = {p: {i: merged([full[number(p, t, i)].forest(paths=True) for t in range(len(targets))]) for i in range(trees) if any(full[number(p, t, i)].open for t in range(len(targets)))} for p in cuts}
+        found = _best_splits(_counted(rows, cuts, grown, trees, len(targets)), least, tried, seed).collect()
+        following: dict = {n: {} for n in full}
+        for r in found:
+            tree, n, best = full[r["tree"]], r["tree"], r["best"]
+            at, p, worth = tree.open[r["path"]], n // (len(targets) * trees), unit[n // trees % len(targets)]
+            seen.add(n)
+            tree.nodes[at][4] = r["s"] / r["w"] * worth
+            if best is None or level >= depth or not best["score"] > float(r["s"]) * float(r["s"]) / float(r["w"]):
                 continue
-            for i, target in enumerate(targets):
-                forest = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, minInstancesPerNode=least, subsamplingRate=share, seed=seed + k)
-                if weight:
-                    forest = forest.setWeightCol("weight")
-                parts[i].append(flattened(forest.fit(part)))
-        if parts[0]:
-            found[key] = [merged(p) for p in parts]
+            new = len(tree.nodes)
+            tree.nodes[at][:4] = [-best["f"], cuts[p][-best["f"]][-best["code"]], new, new + 1]
+            for side, (m, w, s) in enumerate(((best["ln"], best["lw"], best["ls"]), (r["n"] - best["ln"], r["w"] - best["lw"], r["s"] - best["ls"]))):
+                tree.nodes.append([-1, np.inf, 0, 0, s / w * worth])
+                if m >= 2 * max(least, 1):
+                    following[n][2 * r["path"] + side] = new + side
+        for n, tree in full.items():
+            tree.open = following[n]
+        if not any(following.values()):
+            break
     rows.unpersist()
-    return CellForests(features, targets, found, edges)
+    given.unpersist()
+    told = {}
+    for g, name in enumerate(keys):
+        own = [[full[n].forest() for p in range(g * size, (g + 1) * size) for i in range(trees) if (n := number(p, t, i)) in seen] for t in range(len(targets))]
+        if own[0]:
+            told[name] = [merged(o) for o in own]
+    return CellForests(features, targets, told, edges)
 
 
 def predict_cells(df: DataFrame, model: CellForests, key: str, group=None) -> DataFrame:
