@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellspark.operators import indexing as ix
+from cellspark.operators.search import reference_hkl
 from cellspark.plans.catalog import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -59,3 +60,11 @@ def test_many_patterns_are_thinned_as_one_by_one():
     x, score = r.integers(0, 4, (50, 12, 2)) * 1.0, r.integers(0, 5, (50, 12)) * 1.0
     got = ix.thinned_many(x, score, 1.5)
     assert all((got[i] == ix.thinned(x[i], score[i], 1.5)).all() for i in range(50)) and not got.all()
+
+
+@pytest.mark.parametrize("lattice", ["cF", "hR", "oC", "mC", "aP"])
+def test_references_of_all_lattices_are_the_listed_ones(spark, lattice):
+    system = ix.system_of(lattice)
+    rows = reference_hkl(spark, lattice, system, 201, ix.weights(system)).orderBy("ref_index").collect()[:-1]
+    hkl, terms = ix.references(spark, lattice, 200)
+    assert [(r["h"], r["k"], r["l"]) for r in rows] == [tuple(v) for v in hkl.tolist()] and [list(map(float, r["terms"])) for r in rows] == terms.tolist()
